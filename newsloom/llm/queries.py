@@ -20,5 +20,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, ranks))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.digests(simhash.dedup(table(spark, sf_dir, "documents")))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    return media.store_and_read(table(spark, sf_dir, "documents")).drop("pts", "rap_bytes")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash, "op10_media": op10_media}
 ORACLES: dict[str, str] = {}
