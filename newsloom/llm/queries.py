@@ -38,5 +38,29 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(table(spark, sf_dir, "documents")).drop("pts", "rap_bytes")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash, "op10_media": op10_media}
+def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import tokenfile
+
+    return tokenfile.write_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import counts
+
+    docs = table(spark, sf_dir, "documents")
+    return counts.rollup_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k").totals()
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op4_token_counts": op4_token_counts,
+    "op5_secrets": op5_secrets,
+    "op6_simhash": op6_simhash,
+    "op7_tokenfile": op7_tokenfile,
+    "op10_media": op10_media,
+}
 ORACLES: dict[str, str] = {}
