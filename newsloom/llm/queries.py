@@ -55,8 +55,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.rollup_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k").totals()
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("pieces")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op3_topk": op3_topk,
     "op4_token_counts": op4_token_counts,
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
