@@ -67,6 +67,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -75,6 +81,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op7_tokenfile": op7_tokenfile,
+    "op9_lm": op9_lm,
     "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {}

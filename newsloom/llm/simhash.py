@@ -38,11 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pick, slices, utf8_buffer
 
-#: The hash seed, ASCII white space, and A-Z to a-z.
+#: The hash seed, and A-Z to a-z.
 SEED = 42
-SPACES = bytes([0x20, *range(0x09, 0x0E)])
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_TO_SPACE = bytes.maketrans(SPACES, b" " * len(SPACES))
 
 #: Hashes turned into bits at once.
 HASHES = 1 << 16
@@ -68,8 +66,7 @@ def fingerprints(parts: list[bytes], width: int) -> np.ndarray:
         ends.clear()
 
     for k, text in enumerate(parts):
-        words = text.translate(FOLD).translate(_TO_SPACE).split(b" ")
-        words = [w for w in words if w]
+        words = text.translate(FOLD).split()  # cuts at the six bytes of ASCII white space
         if not words:
             continue
         n = max(1, len(words) - width + 1)
