@@ -73,6 +73,12 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -81,6 +87,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op7_tokenfile": op7_tokenfile,
+    "op8_quality": op8_quality,
     "op9_lm": op9_lm,
     "op10_media": op10_media,
 }
