@@ -229,7 +229,7 @@ def draw_documents(df: DataFrame, seed: int = 20, shards: int = 16, text_col: st
     )
     drawn = drawn.select("_row", "_draw", F.col("size").alias("_size"), F.coalesce(F.element_at("_runs", 1)["shard"], F.lit(0)).alias("_shard"), F.transform("_runs", lambda r: F.struct(r.start, r.end)).alias("_runs"))
     wide = keyed.join(drawn, "_row")
-    wide = wide.repartition(F.col("_shard"), F.pmod(F.xxhash64("_row"), F.lit(16))).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_row", "_draw"))
+    wide = wide.repartition(F.col("_shard"), F.pmod(F.xxhash64("_row"), F.lit(1024))).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_row", "_draw"))
     names = df.columns
     at = names.index(text_col)
     chars = names.index(n_chars_col) if n_chars_col in names else None

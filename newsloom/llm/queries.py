@@ -79,6 +79,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -90,5 +96,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_lm": op9_lm,
     "op10_media": op10_media,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}

@@ -212,3 +212,12 @@ def dedup(df: DataFrame, width: int = 3, max_bits: int = 2, id_col: str = "doc_i
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(F.col(f"`{id_col}`"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, width: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near copies: of each component the row with the smallest id stays (rows without an id come last, repeated rows count as copies)."""
+    order = F.struct(F.col(f"`{id_col}`").isNull().alias("absent"), F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"))
+    keyed = materialize(df.withColumn("__order", order), "dedup-rows")
+    found = dedup(keyed, width, max_bits, "__order", text_col)
+    kept = found.where("__order = component_id").select(F.col("__order.row").alias("__row"))
+    return keyed.join(kept, F.col("__order.row") == F.col("__row"), "left_semi").drop("__order")
