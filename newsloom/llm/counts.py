@@ -121,7 +121,7 @@ def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text", *carry:
 
         encoder = json_encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "_text", 4 << 20):
+            for part in slices(batch, "_text", 1 << 20):
                 n = pa.array([len(x) // 4 for x in encoder.encode(texts(part.column(part.num_columns - 1)))], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], n], names=[*part.schema.names[:-1], "n_tokens"])
 

@@ -206,7 +206,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 8 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 raw, at = utf8_buffer(part.column(1))
                 media = [mux(padded(raw[a:b])) for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -234,7 +234,7 @@ def read(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "media", 8 << 20):
+            for part in slices(batch, "media", 1 << 20):
                 rows = []
                 for media in part.column(2).to_pylist():
                     payload, seen = demux(media)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, pick, texts, word_count
+from .common import WORD, materialize, pick, slices, texts, word_count
 
 #: The weights in turn, the share of all sizes, the most a source is repeated.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -237,25 +237,26 @@ def draw_documents(df: DataFrame, seed: int = 20, shards: int = 16, text_col: st
 
     def run(batches):
         for batch in batches:
-            columns = batch.columns[: len(names)]
-            words, runs = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            valid = batch.column(at).is_valid().to_pylist()
-            out, n = [], []
-            for text, ok, size, cuts in zip(texts(batch.column(at)), valid, words, runs):
-                merged: list[list[int]] = []
-                for r in cuts:
-                    if r["start"] is None:
-                        continue
-                    if merged and merged[-1][1] == r["start"]:
-                        merged[-1][1] = r["end"]
-                    else:
-                        merged.append([r["start"], r["end"]])
-                whole = not merged or merged == [[0, size]]
-                out.append((text if whole else cut_words(text, merged)) if ok else None)
-                n.append(None if whole else len(out[-1]))
-            columns[at] = pa.array(out, pa.string())
-            if chars is not None:
-                columns[chars] = pa.array([old if new is None else new for old, new in zip(columns[chars].to_pylist(), n)], columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in slices(batch, text_col, 1 << 20):
+                columns = part.columns[: len(names)]
+                words, runs = part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist()
+                valid = part.column(at).is_valid().to_pylist()
+                out, n = [], []
+                for text, ok, size, cuts in zip(texts(part.column(at)), valid, words, runs):
+                    merged: list[list[int]] = []
+                    for r in cuts:
+                        if r["start"] is None:
+                            continue
+                        if merged and merged[-1][1] == r["start"]:
+                            merged[-1][1] = r["end"]
+                        else:
+                            merged.append([r["start"], r["end"]])
+                    whole = not merged or merged == [[0, size]]
+                    out.append((text if whole else cut_words(text, merged)) if ok else None)
+                    n.append(None if whole else len(out[-1]))
+                columns[at] = pa.array(out, pa.string())
+                if chars is not None:
+                    columns[chars] = pa.array([old if new is None else new for old, new in zip(columns[chars].to_pylist(), n)], columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return kept.mapInArrow(run, df.schema)

@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "words", 8 << 20):
+            for part in slices(batch, "words", 1 << 20):
                 x = features(*utf8_buffer(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -190,7 +190,7 @@ def score(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 8 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 scores = predict(model, features(*utf8_buffer(part.column(at))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, "_score"])
 

@@ -78,7 +78,7 @@ def char_class(candidate: str) -> str | None:
 
 def window_entropy(text: str, width: int):
     """(start, bits) of every window, from counts that change by two characters a step."""
-    term = [0.0] + [n * math.log2(n) for n in range(1, width + 1)]
+    term = [0.0] + [n * math.log2(n) for n in range(1, width + 2)]
     counts: dict[str, int] = {}
     total = 0.0
     for at, char in enumerate(text):
@@ -137,7 +137,7 @@ def scan(df: DataFrame, rule: EntropyRule | None = None, id_col: str = "doc_id",
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 8 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 spans = _as_arrow([scan_text(x, rule) for x in texts(part.column(1))])
                 yield pa.RecordBatch.from_arrays([part.column(0), spans], names=[id_col, "spans"])
 
@@ -162,7 +162,7 @@ def redact(df: DataFrame, rule: EntropyRule | None = None, text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 8 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 known = part.column(at).is_valid().to_pylist()
                 out = [redact_text(x, scan_text(x, rule), mark) if ok else None for x, ok in zip(texts(part.column(at)), known)]
                 columns = part.columns

@@ -98,7 +98,7 @@ def fingerprint(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 8 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 raw, at = utf8_buffer(part.column(1))
                 data = raw.tobytes()
                 fps = fingerprints([data[a:b] for a, b in zip(at[:-1], at[1:])], width)
