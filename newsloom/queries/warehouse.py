@@ -9,7 +9,10 @@ from newsloom.plans import warehouse
 from .registry import query
 
 AS_OF = "2024-01-31 00:00:00"
-TS = F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def events(load):
@@ -62,12 +65,12 @@ def source_reliability(load):
 
 @query(f"SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND ts < TIMESTAMP '{AS_OF}' GROUP BY 1 ORDER BY n DESC, user_id LIMIT 100")
 def top_entities(load):
-    return warehouse.top_k(events(load), ["user_id"], "ts", TS, 30, 100)
+    return warehouse.top_k(events(load), ["user_id"], "ts", as_of(), 30, 100)
 
 
 @query(f"SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND ts < TIMESTAMP '{AS_OF}' GROUP BY 1, 2 ORDER BY n DESC, user_id, event_type LIMIT 50")
 def top_events_7d(load):
-    return warehouse.top_k(events(load), ["user_id", "event_type"], "ts", TS, 7, 50)
+    return warehouse.top_k(events(load), ["user_id", "event_type"], "ts", as_of(), 7, 50)
 
 
 @query(
@@ -127,7 +130,7 @@ def unprocessed_anti_join(load):
 
 @query(f"SELECT user_id, max(ts) AS last_seen, max(ts) < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS concluded FROM events GROUP BY 1")
 def event_inactivity(load):
-    return warehouse.inactive(events(load), "user_id", "ts", TS)
+    return warehouse.inactive(events(load), "user_id", "ts", as_of())
 
 
 STATES = "CASE event_type WHEN 'view' THEN 'identified' WHEN 'click' THEN 'active' WHEN 'purchase' THEN 'concluded' WHEN 'signup' THEN 'merged' ELSE 'archived' END"
