@@ -6,13 +6,13 @@ and every split of a token into two known tokens becomes a merge of that
 token's rank.  Text is cut before each space that precedes a non-space: no
 match of the split pattern crosses such a place and no look-ahead sees beyond
 it, so a piece encodes alone exactly as it does in its text.  Pieces repeat
-(words do), so each worker keeps the ids of recent pieces in a cache of fixed
-size and hands only new pieces to the library.
+(words do), so each worker keeps the ids of recent pieces and matches in caches
+of fixed size and hands only new ones to the library.
 
 A rank file defines merges by token, the library by pair: where overlapping
 pairs spell the same token (runs such as ``aaa``), the two may choose
-differently.  New pieces are therefore checked against tiktoken, whose ids are
-the definition, once per piece and not per occurrence.
+differently.  What is new is therefore checked against tiktoken, whose ids are
+the definition, once and not at every occurrence.
 
 Decoding looks ids up in the reversed byte table; text is assembled from bytes,
 so a character split over tokens is whole again.  ``char_offsets`` maps token
@@ -30,6 +30,7 @@ import base64
 import functools
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ from pyspark.sql import functions as F
 from .common import pick, slices, texts
 
 #: Bytes of text worked on at once, and pieces a worker remembers.
-SLICE_BYTES, CACHE_PIECES = 4 << 20, 300_000
+SLICE_BYTES, CACHE_PIECES = 1 << 20, 200_000
 
+#: Pieces follow such a space, which is theirs.
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -51,6 +53,10 @@ def byte_table() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
 
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @functools.lru_cache(maxsize=4)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -92,48 +98,87 @@ def bpe_from_json(path: str):
     return made
 
 
+class _Recent:
+    """What is known of about ``most`` keys, in two generations: the older one goes when the younger is full."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that are not known; those that are will be in ``young``."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for key in keys - young.keys():
+            if (known := old.get(key)) is not None:
+                young[key] = known
+            else:
+                out.append(key)
+        return out
+
+
 class PieceEncoder:
-    """Ids of texts as packed bytes, piece by piece through two generations of cache."""
+    """Ids of texts as packed bytes, through what is remembered of pieces and of the pattern's matches in them.
 
-    def __init__(self, tokenizer, exact=None, pieces: int = CACHE_PIECES):
-        self.tokenizer, self.exact, self.half = tokenizer, exact, pieces // 2
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    Below ``PLAIN`` the classes of characters are the same in all engines, and new pieces
+    are cut into matches here (a space and letters is one match); other pieces go through
+    the library whole.  New matches go to the library's BPE model in batches, in the
+    characters that stand for their bytes.
+    """
+
+    PLAIN = "\u0530"
+
+    def __init__(self, tokenizer, pattern: str, exact=None, pieces: int = CACHE_PIECES):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.whole, self.bare, self.exact = tokenizer, Tokenizer(tokenizer.model), exact
+        self.find, self.shown = regex.compile(pattern).findall, dict(enumerate(byte_table()))
+        self.matches, self.pieces = _Recent(pieces), _Recent(pieces)
+
+    def _settled(self, text: str, ids: list[int]) -> bytes:
+        if self.exact is not None and ids != (truth := self.exact.encode_ordinary(text)):
+            ids = truth
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _cut(self, rest: str) -> list[str] | None:
+        """Matches of a piece, less its space; None if it is for the library."""
+        if rest.isascii() or max(rest) < self.PLAIN:
+            return [" " + rest] if rest.isalpha() else [" " + rest[:-1], rest[-1]] if rest[:-1].isalpha() and rest[-1] in ".,;:!?" else self.find(" " + rest)
+        return None
 
     def _learn(self, new: list[str]) -> None:
-        for piece, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = made.ids
-            if self.exact is not None and ids != (truth := self.exact.encode_ordinary(piece)):
-                ids = truth
-            self.young[piece] = np.array(ids, "<u4").tobytes()
+        cut = {rest: self._cut(rest) for rest in new}
+        ask = self.matches.missing({m for found in cut.values() if found for m in found})
+        known = self.matches.young
+        for lo in range(0, len(ask), 5_000):
+            part = ask[lo : lo + 5_000]
+            shown = [m.encode().decode("latin-1").translate(self.shown) for m in part]
+            for match, made in zip(part, self.bare.encode_batch_fast(shown, add_special_tokens=False)):
+                known[match] = self._settled(match, made.ids)
+        for rest, found in cut.items():
+            self.pieces.young[rest] = self._through(" " + rest) if found is None else b"".join([known[m] for m in found])
+
+    def _through(self, piece: str) -> bytes:
+        return self._settled(piece, self.whole.encode(piece, add_special_tokens=False).ids) if piece else b""
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        cut = []
-        for text in batch:
-            first, *rest = _CUT.split(text)
-            cut.append([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
-        if len(self.young) > self.half:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for piece in {p for pieces in cut for p in pieces}:
-            if piece not in young:
-                if (known := old.get(piece)) is not None:
-                    young[piece] = known
-                else:
-                    new.append(piece)
-        for lo in range(0, len(new), 20_000):
-            self._learn(new[lo : lo + 20_000])
-        return [b"".join([young[p] for p in pieces]) for pieces in cut]
+        cut = [_CUT.split(text) for text in batch]
+        new = self.pieces.missing({p for first, *rest in cut for p in rest})
+        self._learn(new)
+        known = self.pieces.young.__getitem__
+        return [self._through(pieces[0]) + b"".join(map(known, pieces[1:])) for pieces in cut]
 
 
 @functools.lru_cache(maxsize=4)
 def rank_encoder(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(bpe_from_ranks(path), definition(path, pattern))
+    return PieceEncoder(bpe_from_ranks(path), pattern, definition(path, pattern))
 
 
 @functools.lru_cache(maxsize=4)
 def json_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(bpe_from_json(path))
+    """Of a file whose pre-tokenizer is the byte-level one, with the pattern that it has built in."""
+    return PieceEncoder(bpe_from_json(path), BYTE_LEVEL_PATTERN)
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,34 +225,49 @@ def char_offsets(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(~inner) - 1)[start], inner[start]
 
 
+def _decoded(packed: list[bytes], ranks: str) -> list[pa.Array]:
+    """decoded, n_chars and n_split of packed runs of ids."""
+    size, _, _ = _id_table(ranks)
+    ids = np.frombuffer(b"".join(packed), "<u4")
+    data = decode_ids(ids, ranks)
+    inner = (data & 0xC0) == 0x80
+    edge = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(size[ids])]).astype(np.int64)
+    split = np.concatenate([[0], np.cumsum(inner[at[:-1]])])
+    whole = np.concatenate([[0], np.cumsum(~inner)])
+    raw, cut = data.tobytes(), at[edge]
+    texts_ = [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    return [pa.array(texts_, pa.binary()), pa.array(np.diff(whole[cut]), pa.int64()), pa.array(np.diff(split[edge]), pa.int64())]
+
+
+DECODED = ["decoded", "n_chars", "n_split"]
+
+
+def round_trip(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one Arrow stage: ids cross to the JVM once, and a task needs one Python worker."""
+    kept = pick(df, id_col, text_col)
+    id_type = kept.schema[0].dataType
+
+    def run(batches):
+        encoder = rank_encoder(ranks, pattern)
+        for batch in batches:
+            for part in slices(batch, text_col, SLICE_BYTES):
+                packed = encoder.encode(texts(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), *_decoded(packed, ranks)], names=[id_col, "ids", *DECODED])
+
+    return kept.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, ids binary, decoded binary, n_chars long, n_split long")
+
+
 def decode(df: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Adds to (id, ids): decoded binary, n_chars, and n_split, the tokens that start inside a character."""
     kept = pick(df, id_col, ids_col)
     id_type = kept.schema[0].dataType
 
     def run(batches):
-        size, _, _ = _id_table(ranks)
         for batch in batches:
             for part in slices(batch, ids_col, SLICE_BYTES):
                 packed = [x or b"" for x in part.column(1).to_pylist()]
-                ids = np.frombuffer(b"".join(packed), "<u4")
-                data = decode_ids(ids, ranks)
-                inner = (data & 0xC0) == 0x80
-                edge = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])])
-                at = np.concatenate([[0], np.cumsum(size[ids])])
-                split = np.concatenate([[0], np.cumsum(inner[at[:-1]])])
-                whole = np.concatenate([[0], np.cumsum(~inner)])
-                raw, cut = data.tobytes(), at[edge]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                        pa.array(np.diff(whole[cut]), pa.int64()),
-                        pa.array(np.diff(split[edge]), pa.int64()),
-                    ],
-                    names=[id_col, ids_col, "decoded", "n_chars", "n_split"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_decoded(packed, ranks)], names=[id_col, ids_col, *DECODED])
 
     return kept.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, `{ids_col}` binary, decoded binary, n_chars long, n_split long")
 

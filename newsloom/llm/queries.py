@@ -16,8 +16,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(ids, ranks))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
