@@ -43,7 +43,7 @@ from .common import fold_ascii, in_fold, pick, shared_dir, slices, utf8_buffer
 from .simhash import FOLD, SEED
 
 #: Tokens a task counts before it sends; text bytes of a pair shard and of a word shard; sampled rows and heavy contexts at most.
-FLUSH_TOKENS, PAIR_BYTES, WORD_BYTES, SAMPLE_ROWS, HEAVY = 3_000_000, 32 << 20, 64 << 20, 4000, 1000
+FLUSH_TOKENS, PAIR_BYTES, WORD_BYTES, SAMPLE_ROWS, HEAVY = 2_000_000, 16 << 20, 64 << 20, 4000, 1000
 
 MASK48 = np.uint64((1 << 48) - 1)
 #: Hashes of what is no word: the empty string ends a text, a space begins it.
@@ -338,7 +338,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "record"])
 
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 raw, at = utf8_buffer(part.column(0))
                 hashes, sizes = tokens(raw.tobytes(), at)
                 held.append((contexts(hashes, sizes), hashes))
@@ -434,7 +434,7 @@ def score(df: DataFrame, spec: dict, *carry: str, text_col: str = "text") -> Dat
     def run(batches):
         model = _model(spec)
         for batch in batches:
-            for part in slices(batch, text_col, 8 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 raw, at = utf8_buffer(part.column(part.num_columns - 1))
                 hashes, sizes = tokens(raw.tobytes(), at)
                 known, base, full = model.score(hashes, sizes)
