@@ -5,7 +5,9 @@ every stage's rows as Parquet to the shared folder and hands the next stage what
 it reads from there.  All stages but the last return the columns of documents.
 
 * quality: documents that the classifier rejects go.
-* simhash: of each group of near copies the document with the smallest id stays.
+* simhash: of each group of near copies (five-word shingles, Jaccard .8 or more,
+  verified on the whole texts) the document with the smallest id stays; operator
+  6's two bits are its contract and not used here, see ``newsloom.llm.shingles``.
 * secrets: spans are replaced by ``[SECRET]``, documents stay; ``n_chars`` follows.
 * mixing: each source is drawn to its target; a document drawn twice is two rows,
   one drawn in part holds the words drawn.
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, mixing, quality, secrets, simhash
+from newsloom.llm import bpe, mixing, quality, secrets, shingles
 from newsloom.llm.common import materialize
 
 #: No SQL form: training, sampling and tokenizing have none.
@@ -29,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return shingles.keep_one(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
