@@ -5,8 +5,8 @@ without overlap, each over the whole text.  Beside them an entropy rule looks at
 candidate strings, runs of token characters that mix letters with digits: a
 window slides over each candidate, the counts of its characters change by one
 leaving and one entering character, and the Shannon entropy follows from those
-counts.  The threshold depends on the candidate's character class (hex, letters
-and digits, base64).  Windows above it merge into spans; the allow list drops
+counts.  The threshold depends on the character class (hex, letters and digits,
+base64) of the candidate or of the window, whichever asks for less.  Windows above it merge into spans; the allow list drops
 candidates that are known not to be secrets (UUIDs, dates, paths, words joined
 by hyphens, and given literals).
 
@@ -103,12 +103,15 @@ def entropy_spans(text: str, rule: EntropyRule) -> list[tuple[int, int]]:
             continue
         least = rule.bits[kind]
         for at, bits in window_entropy(candidate, rule.window):
-            if bits >= least:
-                lo, hi = match.start() + at, match.start() + at + rule.window
-                if found and lo <= found[-1][1]:
-                    found[-1] = (found[-1][0], hi)
-                else:
-                    found.append((lo, hi))
+            if bits < least:  # a key behind a name: the window's own class may ask for less
+                own = char_class(candidate[at : at + rule.window])
+                if own is None or bits < rule.bits[own]:
+                    continue
+            lo, hi = match.start() + at, match.start() + at + rule.window
+            if found and lo <= found[-1][1]:
+                found[-1] = (found[-1][0], hi)
+            else:
+                found.append((lo, hi))
     return found
 
 

@@ -57,3 +57,14 @@ def test_redaction_keeps_rows_and_columns(odd_docs, no_docs):
     assert "hunter2secret" not in text and "AKIA" not in text and text.count("[SECRET]") == 3
     assert made.where("doc_id = 3").first().text is None
     assert secrets.redact(no_docs).count() == 0 and secrets.digests(secrets.scan(no_docs)).count() == 0
+
+
+def test_upper_case_hex_behind_a_name():
+    rng, rule = random.Random(11), secrets.EntropyRule()
+    for name in ("KEY=", "id-", "ID=", "a/b_"):
+        for size in (20, 32, 40):
+            for _ in range(50):
+                key = "".join(rng.choice("0123456789ABCDEF") for _ in range(size))
+                alone = {len(name) + k for a, b in secrets.entropy_spans(key, rule) for k in range(a, b)}
+                behind = {k for a, b in secrets.entropy_spans(name + key, rule) for k in range(a, b)}
+                assert alone <= behind, (name, key)
