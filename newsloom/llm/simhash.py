@@ -13,7 +13,8 @@ other pair can link.  What is left of a fingerprint under a key is ``max_bits``
 bytes, so a posting holds at most 65,536 of them at two bits, however large the
 corpus or its largest group.  Inside a posting, a fingerprint's neighbours are
 looked up by flipping up to ``max_bits`` bits (137 look-ups), pairs are verified
-by tally and Hamming distance, and one edge per member of a connected part goes
+by Hamming distance (no tally is computed: the keys replace the count filter over
+single bytes), and one edge per member of a connected part goes
 out: no posting emits its pairs.
 
 Equal fingerprints are one node from the start, so copies cost one row each.
