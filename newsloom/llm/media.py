@@ -31,6 +31,9 @@ from .common import materialize, pick, slices, utf8_buffer
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, ES_PID, PRIVATE_STREAM, PRIVATE_TYPE = 0, 0x100, 0x101, 0xBD, 0x06
 
+#: Stuffing.
+NULL_PID = 0x1FFF
+
 #: Payload bytes of a PES packet, sample clock in Hz, PES packets from one random-access point to the next.
 PES_BYTES, SAMPLE_RATE, RAP_EVERY = 16_384, 8_000, 4
 CLOCK = 90_000
@@ -166,8 +169,11 @@ def demux(stream: bytes) -> tuple[np.ndarray, dict]:
     es_pid = (es[1] & 0x1F) << 8 | es[2]
     own = np.flatnonzero(pid == es_pid)
     data = packets[own]
-    counter = data[:, 3] & 15
-    gaps = int(((counter[1:] - counter[:-1]) & 15 != 1).sum())
+    # packets of every PID in their order; null packets have no counter
+    order = np.argsort(pid, kind="stable")
+    order = order[pid[order] != NULL_PID]
+    which, counter = pid[order], packets[order, 3] & 15
+    gaps = int(((which[1:] == which[:-1]) & ((counter[1:] - counter[:-1]) & 15 != 1)).sum())
     if gaps:
         raise ValueError(f"{gaps} continuity errors")
     has_field = (data[:, 3] & 0x20) > 0

@@ -45,3 +45,13 @@ def test_columns(odd_docs, no_docs):
     one, two = [r for r in rows if r.doc_id == 1]
     assert one == two
     assert media.store_and_read(no_docs).count() == 0
+
+
+def test_a_lost_table_packet_is_noticed():
+    stream = media.mux(np.zeros(640, np.uint8))
+    table = bytearray(stream[: media.PACKET])
+    table[3] = table[3] & 0xF0 | (table[3] + 1) & 15
+    assert len(media.demux(stream + bytes(table))[0]) == 640
+    table[3] = table[3] & 0xF0 | (table[3] + 1) & 15
+    with pytest.raises(ValueError, match="continuity"):
+        media.demux(stream + bytes(table))
