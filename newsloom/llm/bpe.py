@@ -3,16 +3,20 @@
 Encoding runs the tokenizers library over Arrow batches.  A BPE model is built
 from a rank file: every byte maps to one printable character (the byte table),
 and every split of a token into two known tokens becomes a merge of that
-token's rank.  Text is cut before each space that precedes a non-space: no
-match of the split pattern crosses such a place and no look-ahead sees beyond
-it, so a piece encodes alone exactly as it does in its text.  Pieces repeat
-(words do), so each worker keeps the ids of recent pieces and matches in caches
-of fixed size and hands only new ones to the library.
+token's rank.  Text is cut at places (``cuts``) that no match of the split
+pattern crosses and beyond which no look-ahead sees, so a piece encodes alone
+exactly as it does in its text.  The cuts are a few comparisons over the bytes
+of a slice of an Arrow column, Arrow's own dictionary encoding finds the
+distinct pieces of the slice, and only those meet Python: known ones are looked
+up, new ones go to the library many at a time.  A piece that is one match by its
+ASCII form goes to the BPE model at once, in the characters that stand for its
+bytes; others pass the library's pre-tokenizer first.  The ids of all texts then
+follow in one gather.  What a worker remembers is bounded (two generations).
 
 A rank file defines merges by token, the library by pair: where overlapping
 pairs spell the same token (runs such as ``aaa``), the two may choose
-differently.  What is new is therefore checked against tiktoken, whose ids are
-the definition, once and not at every occurrence.
+differently.  New pieces are therefore checked against tiktoken, whose ids are
+the definition: as one text a batch, by halves where that differs.
 
 Decoding looks ids up in the reversed byte table; text is assembled from bytes,
 so a character split over tokens is whole again.  ``char_offsets`` maps token
@@ -28,22 +32,19 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import re
-import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, texts
+from .common import pick, slices, utf8_buffer
 
-#: Bytes of text worked on at once, and pieces a worker remembers.
-SLICE_BYTES, CACHE_PIECES = 1 << 20, 200_000
-
-#: Pieces follow such a space, which is theirs.
-_CUT = re.compile(r" (?=\S)")
+#: Bytes of text worked on at once, pieces of a generation, pieces handed over at once, and the longest piece that is remembered.
+SLICE_BYTES, CACHE_PIECES, ASK, REMEMBERED = 4 << 20, 250_000, 5_000, 128
 
 
 def byte_table() -> list[str]:
@@ -53,10 +54,6 @@ def byte_table() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
 
-#: Fixed value: the pattern of byte-level pre-tokenizers.
-BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
 @functools.lru_cache(maxsize=4)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -65,19 +62,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @functools.lru_cache(maxsize=4)
 def bpe_from_ranks(path: str):
-    """A tokenizers.Tokenizer for a rank file."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
+    """(tokenizers.Tokenizer for a rank file, its bare model)."""
     ranks, table = read_ranks(path), byte_table()
     shown = {token: "".join(table[b] for b in token) for token in ranks}
     merges = []
     for token in sorted(ranks, key=ranks.get):
         pairs = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
         merges += [(shown[a], shown[b]) for a, b in sorted(pairs, key=lambda p: (ranks[p[0]], ranks[p[1]]))]
-    made = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges))
+    from tokenizers import pre_tokenizers
+
+    vocab = {shown[t]: r for t, r in ranks.items()}
+    made = _bare(vocab, merges)
     made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-    return made
+    return made, _bare(vocab, merges)
+
+
+def _bare(vocab: dict[str, int], merges: list[tuple[str, str]]):
+    """A tokenizer of a model alone; it sees each word once, so it keeps none."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, models
+
+    return Tokenizer(models.BPE(vocab=vocab, merges=merges, cache_capacity=0))
 
 
 @functools.lru_cache(maxsize=4)
@@ -89,96 +94,188 @@ def definition(path: str, pattern: str):
 
 @functools.lru_cache(maxsize=4)
 def bpe_from_json(path: str):
-    """A tokenizers.Tokenizer from its own file; strings of special tokens are ordinary text."""
+    """(tokenizers.Tokenizer from its own file, its bare model); the strings of its added tokens are those tokens, as in a plain call."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    kept = json.loads(made.to_str())["model"]
+    return made, _bare(kept["vocab"], [tuple(m) for m in kept["merges"]])
+
+
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after the other."""
+    end = np.cumsum(size)
+    return values[np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)]
+
+
+class _Generation:
+    """Ids of pieces: a piece's place, and its run in one array."""
+
+    def __init__(self):
+        self.place, self.start, self.size, self.ids = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, pieces: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
+        self.place.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def runs(self, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array(places, np.int64)
+        return self.size[at], gather(self.ids, self.start[at], self.size[at])
+
 
+#: Classes of bytes: white space, space, letters, digits, marks, the apostrophe, and others (controls, parts of wide characters).
+_WHITE, _SPACE, _LETTER, _DIGIT, _MARKS, _QUOTE, _OTHER = range(7)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[0x21:0x7F] = _MARKS
+_CLASS[0x30:0x3A], _CLASS[0x41:0x5B], _CLASS[0x61:0x7B] = _DIGIT, _LETTER, _LETTER
+_CLASS[0x09:0x0E], _CLASS[0x20], _CLASS[0x27] = _WHITE, _SPACE, _QUOTE
+#: What a byte is for a space before it: the start of a character that is not white space (C2, E1, E2 and E3 may start one that is).
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x7F] = _SOLID[0xC3:0xE1] = _SOLID[0xE4:0xF5] = True
+#: Classes between which a match always ends: visible ASCII of two kinds, or visible ASCII before white space; a quote may begin a match with the letter after it, and is a mark among marks.
+_APART = np.zeros((7, 7), bool)
+for _a, _b in ((_LETTER, _DIGIT), (_LETTER, _MARKS), (_DIGIT, _MARKS)):
+    _APART[_a, _b] = _APART[_b, _a] = True
+_APART[_LETTER, _QUOTE] = _APART[_DIGIT, _QUOTE] = _APART[_QUOTE, _DIGIT] = True
+for _a in (_LETTER, _DIGIT, _MARKS, _QUOTE):
+    _APART[_a, _WHITE] = _APART[_a, _SPACE] = True
 
-class _Recent:
-    """What is known of about ``most`` keys, in two generations: the older one goes when the younger is full."""
+#: A piece that is one match.
+_ONE = re.compile(rb" ?(?:[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 
-    def __init__(self, most: int):
-        self.half, self.young, self.old = most // 2, {}, {}
 
-    def missing(self, keys: set) -> list:
-        """Keys that are not known; those that are will be in ``young``."""
-        if len(self.young) > self.half:
-            self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for key in keys - young.keys():
-            if (known := old.get(key)) is not None:
-                young[key] = known
-            else:
-                out.append(key)
-        return out
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Places between bytes at which a text may be cut (before the byte of that number)."""
+    kind = _CLASS[raw]
+    apart = _APART[kind[:-1], kind[1:]]
+    space = np.flatnonzero((raw[:-1] == 0x20) & _SOLID[raw[1:]])
+    return np.concatenate([np.flatnonzero(apart) + 1, space])
 
 
 class PieceEncoder:
-    """Ids of texts as packed bytes, through what is remembered of pieces and of the pattern's matches in them.
-
-    Below ``PLAIN`` the classes of characters are the same in all engines, and new pieces
-    are cut into matches here (a space and letters is one match); other pieces go through
-    the library whole.  New matches go to the library's BPE model in batches, in the
-    characters that stand for their bytes.
-    """
-
-    PLAIN = "\u0530"
-
-    def __init__(self, tokenizer, pattern: str, exact=None, pieces: int = CACHE_PIECES):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.whole, self.bare, self.exact = tokenizer, Tokenizer(tokenizer.model), exact
-        self.find, self.shown = regex.compile(pattern).findall, dict(enumerate(byte_table()))
-        self.matches, self.pieces = _Recent(pieces), _Recent(pieces)
-
-    def _settled(self, text: str, ids: list[int]) -> bytes:
-        if self.exact is not None and ids != (truth := self.exact.encode_ordinary(text)):
-            ids = truth
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _cut(self, rest: str) -> list[str] | None:
-        """Matches of a piece, less its space; None if it is for the library."""
-        if rest.isascii() or max(rest) < self.PLAIN:
-            return [" " + rest] if rest.isalpha() else [" " + rest[:-1], rest[-1]] if rest[:-1].isalpha() and rest[-1] in ".,;:!?" else self.find(" " + rest)
-        return None
-
-    def _learn(self, new: list[str]) -> None:
-        cut = {rest: self._cut(rest) for rest in new}
-        ask = self.matches.missing({m for found in cut.values() if found for m in found})
-        known = self.matches.young
-        for lo in range(0, len(ask), 5_000):
-            part = ask[lo : lo + 5_000]
-            shown = [m.encode().decode("latin-1").translate(self.shown) for m in part]
-            for match, made in zip(part, self.bare.encode_batch_fast(shown, add_special_tokens=False)):
-                known[match] = self._settled(match, made.ids)
-        for rest, found in cut.items():
-            self.pieces.young[rest] = self._through(" " + rest) if found is None else b"".join([known[m] for m in found])
-
-    def _through(self, piece: str) -> bytes:
-        return self._settled(piece, self.whole.encode(piece, add_special_tokens=False).ids) if piece else b""
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        cut = [_CUT.split(text) for text in batch]
-        new = self.pieces.missing({p for first, *rest in cut for p in rest})
-        self._learn(new)
-        known = self.pieces.young.__getitem__
-        return [self._through(pieces[0]) + b"".join(map(known, pieces[1:])) for pieces in cut]
+    """Ids of the texts of an Arrow column."""
+
+    #: Stands between words that go to the library together: a character of one token, which only it spells.
+    MARK = "\0"
+
+    def __init__(self, tokenizer, model, exact=None, pieces: int = CACHE_PIECES):
+        """``model``: the tokenizer's BPE model alone, for words in the characters of the byte table."""
+        self.library, self.model, self.exact, self.most = tokenizer, model, exact, pieces
+        self.young, self.old = _Generation(), _Generation()
+        (self.mark,) = self._words(self.library, [self.MARK])
+        self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    @staticmethod
+    def _words(tokenizer, words: list[str]) -> np.ndarray:
+        (made,) = tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)
+        return np.array(made.ids, np.uint32)
+
+    def _split(self, tokenizer, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words that do not hold the mark: one call."""
+        marked = [mark] * (2 * len(words))
+        marked[::2] = words
+        ids = self._words(tokenizer, marked)
+        inner = ids != self.mark
+        return np.diff(np.flatnonzero(~inner), prepend=-1) - 1, ids[inner]
+
+    def _settle(self, pieces: list[str], size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As the definition has it; ``pieces`` stand side by side as they would in a text."""
+        if self.exact is None or np.array_equal(self.exact.encode_to_numpy("".join(pieces)), ids):
+            return size, ids
+        if len(pieces) == 1:
+            ids = self.exact.encode_to_numpy(pieces[0])
+            return np.array([len(ids)], np.int64), ids
+        half = len(pieces) // 2
+        cut = int(size[:half].sum())
+        parts = [self._settle(pieces[:half], size[:half], ids[:cut]), self._settle(pieces[half:], size[half:], ids[cut:])]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _learn(self, new: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(pieces in an order of their own, sizes, ids). Pieces that begin with a space and a mark, digit or letter are checked side by side, others alone."""
+        spaced, bare, rest, marked, mark = [], [], [], [], self.MARK.encode()
+        for x in new:
+            ((spaced if x[0] == 0x20 else bare) if _ONE.fullmatch(x) else marked if mark in x else rest).append(x)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+        for lo in range(0, len(spaced), ASK):
+            words = b"\0".join(spaced[lo : lo + ASK]).decode()
+            parts.append(self._settle(words.split("\0"), *self._split(self.model, words.replace(" ", "\u0120").split("\0"), "\u0100")))
+        for lo in range(0, len(bare), ASK):
+            words = b"\0".join(bare[lo : lo + ASK]).decode().split("\0")
+            parts += self._one_by_one(words, *self._split(self.model, words, "\u0100"))
+        for lo in range(0, len(rest), ASK):
+            words = [x.decode("utf-8", "replace") for x in rest[lo : lo + ASK]]
+            parts += self._one_by_one(words, *self._split(self.library, words, self.MARK))
+        for x in marked:
+            ids = self._words(self.library, [x.decode("utf-8", "replace")])
+            parts += self._one_by_one([x.decode("utf-8", "replace")], np.array([len(ids)], np.int64), ids)
+        return [*spaced, *bare, *rest, *marked], *(np.concatenate(x) for x in zip(*parts))
+
+    def _one_by_one(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.exact is None:
+            return [(size, ids)]
+        at = np.concatenate([[0], np.cumsum(size)])
+        return [self._settle(words[k : k + 1], size[k : k + 1], ids[at[k] : at[k + 1]]) for k in range(len(words))]
+
+    def _runs(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size) of each distinct piece in an array of ids."""
+        if len(self.young.place) > self.most:
+            self.old, self.young = self.young, _Generation()
+        known, older = self.young.place, self.old.place
+        new = [x for x in pieces if x not in known]
+        if back := [x for x in new if x in older]:
+            self.young.add(back, *self.old.runs([older[x] for x in back]))
+            new = [x for x in new if x not in older]
+        if short := [x for x in new if len(x) <= REMEMBERED]:
+            self.young.add(*self._learn(short))
+        start, size, ids, spare = self.young.start, self.young.size, self.young.ids, {}
+        if len(short) < len(new):  # long pieces, of which there are few, are not remembered
+            long, more, their = self._learn([x for x in new if len(x) > REMEMBERED])
+            spare = {x: len(start) + k for k, x in enumerate(long)}
+            start, size, ids = np.concatenate([start, len(ids) + np.cumsum(more) - more]), np.concatenate([size, more]), np.concatenate([ids, their])
+        at = np.fromiter((known[x] if x in known else spare[x] for x in pieces) if spare else map(known.__getitem__, pieces), np.int64, len(pieces))
+        return start[at], size[at], ids
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, n + 1 places at which each text's begin)."""
+        raw, at = utf8_buffer(column)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        first = np.zeros(len(raw) + 1, bool)
+        first[cuts(raw)] = True
+        data = raw.tobytes() if self.added else b""
+        for token in self.added:  # a text that spells an added token goes to the library whole
+            hit = data.find(token)
+            while hit >= 0:
+                text = int(np.searchsorted(at, hit, "right"))
+                first[at[text - 1] : at[text]] = False
+                hit = data.find(token, int(at[text]))
+        first[at] = True
+        edges = np.flatnonzero(first)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        start, size, ids = self._runs(pieces.dictionary.to_pylist())
+        which = pieces.indices.to_numpy()
+        size = size[which]
+        before = np.concatenate([[0], np.cumsum(size)])
+        return gather(ids, start[which], size), before[np.searchsorted(edges, at)]
+
+
+def packed(ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary column of runs of ids."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((4 * edges).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
 
 
 @functools.lru_cache(maxsize=4)
 def rank_encoder(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(bpe_from_ranks(path), pattern, definition(path, pattern))
+    return PieceEncoder(*bpe_from_ranks(path), definition(path, pattern))
 
 
 @functools.lru_cache(maxsize=4)
 def json_encoder(path: str) -> PieceEncoder:
-    """Of a file whose pre-tokenizer is the byte-level one, with the pattern that it has built in."""
-    return PieceEncoder(bpe_from_json(path), BYTE_LEVEL_PATTERN)
+    """Of a file whose pre-tokenizer is the byte-level one."""
+    return PieceEncoder(*bpe_from_json(path))
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,8 +287,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text
         encoder = rank_encoder(ranks, pattern)
         for batch in batches:
             for part in slices(batch, text_col, SLICE_BYTES):
-                ids = encoder.encode(texts(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), packed(*encoder.encode(part.column(1)))], names=[id_col, "ids"])
 
     return kept.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, ids binary")
 
@@ -200,7 +296,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text
 def _id_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each id: its bytes' length and place in one buffer, read off the reversed byte table."""
     back = {c: b for b, c in enumerate(byte_table())}
-    vocab = bpe_from_ranks(path).get_vocab()
+    vocab = bpe_from_ranks(path)[0].get_vocab()
     tokens = [b""] * (max(vocab.values()) + 1)
     for shown, i in vocab.items():
         tokens[i] = bytes(back[c] for c in shown)
@@ -211,10 +307,7 @@ def _id_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def decode_ids(ids: np.ndarray, path: str) -> np.ndarray:
     """Bytes of a run of ids, in one gather."""
     size, place, data = _id_table(path)
-    n = size[ids]
-    end = np.cumsum(n)
-    step = np.arange(end[-1] if len(end) else 0) - np.repeat(end - n, n)
-    return data[np.repeat(place[ids], n) + step]
+    return gather(data, place[ids], size[ids])
 
 
 def char_offsets(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -225,19 +318,17 @@ def char_offsets(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(~inner) - 1)[start], inner[start]
 
 
-def _decoded(packed: list[bytes], ranks: str) -> list[pa.Array]:
-    """decoded, n_chars and n_split of packed runs of ids."""
+def _decoded(ids: np.ndarray, edge: np.ndarray, ranks: str) -> list[pa.Array]:
+    """decoded, n_chars and n_split of runs of ids."""
     size, _, _ = _id_table(ranks)
-    ids = np.frombuffer(b"".join(packed), "<u4")
     data = decode_ids(ids, ranks)
     inner = (data & 0xC0) == 0x80
-    edge = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(size[ids])]).astype(np.int64)
     split = np.concatenate([[0], np.cumsum(inner[at[:-1]])])
     whole = np.concatenate([[0], np.cumsum(~inner)])
-    raw, cut = data.tobytes(), at[edge]
-    texts_ = [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
-    return [pa.array(texts_, pa.binary()), pa.array(np.diff(whole[cut]), pa.int64()), pa.array(np.diff(split[edge]), pa.int64())]
+    cut = at[edge]
+    texts = pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data)])
+    return [texts, pa.array(np.diff(whole[cut]), pa.int64()), pa.array(np.diff(split[edge]), pa.int64())]
 
 
 DECODED = ["decoded", "n_chars", "n_split"]
@@ -252,8 +343,8 @@ def round_trip(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
         encoder = rank_encoder(ranks, pattern)
         for batch in batches:
             for part in slices(batch, text_col, SLICE_BYTES):
-                packed = encoder.encode(texts(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), *_decoded(packed, ranks)], names=[id_col, "ids", *DECODED])
+                made = encoder.encode(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), packed(*made), *_decoded(*made, ranks)], names=[id_col, "ids", *DECODED])
 
     return kept.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, ids binary, decoded binary, n_chars long, n_split long")
 
@@ -266,8 +357,8 @@ def decode(df: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "id
     def run(batches):
         for batch in batches:
             for part in slices(batch, ids_col, SLICE_BYTES):
-                packed = [x or b"" for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_decoded(packed, ranks)], names=[id_col, ids_col, *DECODED])
+                raw, at = utf8_buffer(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_decoded(raw.view("<u4"), at // 4, ranks)], names=[id_col, ids_col, *DECODED])
 
     return kept.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, `{ids_col}` binary, decoded binary, n_chars long, n_split long")
 

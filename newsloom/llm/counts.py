@@ -27,11 +27,12 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, shared_dir, slices, texts, word_count
+from .common import materialize, pick, shared_dir, slices, word_count
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, batch string"
@@ -117,12 +118,12 @@ def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text", *carry:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", n_tokens long"
 
     def run(batches):
-        from .bpe import json_encoder
+        from .bpe import SLICE_BYTES, json_encoder
 
         encoder = json_encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
-                n = pa.array([len(x) // 4 for x in encoder.encode(texts(part.column(part.num_columns - 1)))], pa.int64())
+            for part in slices(batch, "_text", SLICE_BYTES):
+                n = pa.array(np.diff(encoder.encode(part.column(part.num_columns - 1))[1]), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], n], names=[*part.schema.names[:-1], "n_tokens"])
 
     return kept.mapInArrow(run, schema)

@@ -1,6 +1,6 @@
 """Operator 7: token ids as bit-packed binary files.
 
-Format.  A file is a run of blocks.  A block is
+Format.  A file is a run of blocks and an index of them.  A block is
 
     magic "NLTB", version u8, bits u8, zero u16,
     block length in bytes u32 (from the magic to the end byte), file number u32,
@@ -9,10 +9,15 @@ Format.  A file is a run of blocks.  A block is
     ids at ``bits`` bits each, least significant bit first, zero-padded to a byte,
     end byte 0x0A
 
+and the index, which closes the file,
+
+    magic "NLTI", number of blocks u32, for each its byte offset u64,
+    for each its first id's place u64, length of the index in bytes u32, 0x0A
+
 all little-endian.  ``bits`` is the least that holds the vocabulary.  A reader
-skips from block to block by length, unpacks a block with a few numpy
-operations, and ``read_range`` fetches ids from any place of a block without
-unpacking the rest.  Documents do not straddle blocks; a null doc_id is written
+finds the index from the file's end and any id's block in it, unpacks a block
+with a few numpy operations, and ``read_range`` fetches ids from any place of a
+block without unpacking the rest (``read_ids`` from any place of a file).  Documents do not straddle blocks; a null doc_id is written
 as the least i64.
 
 Files are written by Spark's own text sink, one row a block, its line separator
@@ -39,10 +44,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, shared_dir, slices, texts
+from .common import materialize, pick, shared_dir, slices
 
 MAGIC, VERSION, END = b"NLTB", 1, b"\n"
 HEAD = struct.Struct("<4sBBHIIIIQ")
+INDEX_MAGIC, INDEX_HEAD, INDEX_TAIL = b"NLTI", struct.Struct("<4sI"), struct.Struct("<I")
 NO_ID = -(1 << 63)
 
 #: Ids in a block before it is closed, and text bytes aimed at for a file.
@@ -75,22 +81,46 @@ def unpack(data, bits: int, n: int, first: int = 0) -> np.ndarray:
     return (word >> (at & 7).astype(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def make_block(bits: int, file: int, first: int, doc_ids: list, runs: list[np.ndarray]) -> bytes:
-    sizes = np.array([len(r) for r in runs], "<u4")
-    ids = np.concatenate(runs)
-    body = np.array([NO_ID if d is None else d for d in doc_ids], "<i8").tobytes() + sizes.tobytes() + pack(ids, bits)
-    return HEAD.pack(MAGIC, VERSION, bits, 0, HEAD.size + len(body) + 1, file, len(runs), len(ids), first) + body
+def make_block(bits: int, file: int, first: int, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    body = doc_ids.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + pack(ids, bits)
+    return HEAD.pack(MAGIC, VERSION, bits, 0, HEAD.size + len(body) + 1, file, len(sizes), len(ids), first) + body
+
+
+def make_index(offsets: list[int], firsts: list[int]) -> bytes:
+    body = INDEX_HEAD.pack(INDEX_MAGIC, len(offsets)) + np.array([*offsets, *firsts], "<u8").tobytes()
+    return body + INDEX_TAIL.pack(len(body) + INDEX_TAIL.size + 1)
+
+
+def read_index(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(byte offsets of the blocks, places of their first ids) of a file."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    at = len(data) - INDEX_TAIL.unpack_from(data, len(data) - 1 - INDEX_TAIL.size)[0] if len(data) > INDEX_HEAD.size + INDEX_TAIL.size else -1
+    if at < 0 or data[-1:] != END or data[at : at + 4] != INDEX_MAGIC:
+        raise ValueError("a file without its index")
+    n = INDEX_HEAD.unpack_from(data, at)[1]
+    return tuple(np.frombuffer(data, "<u8", 2 * n, at + INDEX_HEAD.size).reshape(2, n))
 
 
 def blocks(data: bytes):
-    """(offset, bits, file, n_docs, n_ids, first) of each block of a file, by skipping."""
-    at = 0
-    while at < len(data):
+    """(offset, bits, file, n_docs, n_ids, first) of each block of a file, by its index."""
+    for at in read_index(data)[0].tolist():
         magic, version, bits, _, size, file, n_docs, n_ids, first = HEAD.unpack_from(data, at)
         if magic != MAGIC or version != VERSION or data[at + size - 1 : at + size] != END:
             raise ValueError(f"no block at byte {at}")
         yield at, bits, file, n_docs, n_ids, first
-        at += size
+
+
+def read_ids(data: bytes, place: int, n: int) -> np.ndarray:
+    """``n`` ids from a place of the file on, of the blocks that hold them."""
+    offsets, firsts = read_index(data)
+    out, k = [np.zeros(0, np.uint32)], int(np.searchsorted(firsts, place, "right")) - 1
+    while n > 0 and k < len(offsets):
+        at, skip = int(offsets[k]), place - int(firsts[k])
+        take = min(n, HEAD.unpack_from(data, at)[7] - skip)
+        out.append(read_range(data, at, skip, take))
+        place, n, k = place + take, n - take, k + 1
+    return np.concatenate(out)
 
 
 def read_block(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,28 +150,38 @@ def write(df: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: str
     from .bpe import bpe_from_json
 
     kept = pick(df, id_col, text_col)
-    bits = bits_for(bpe_from_json(tokenizer).get_vocab_size(with_added_tokens=True))
+    bits = bits_for(bpe_from_json(tokenizer)[0].get_vocab_size(with_added_tokens=True))
     volume = kept.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     files = max(1, -(-volume // FILE_BYTES))
     order = [F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))]
     placed = kept.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     def run(batches):
-        from .bpe import json_encoder
+        from .bpe import SLICE_BYTES, json_encoder
 
         encoder, file, place = json_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        at, offsets, firsts = 0, [], []
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
-                docs = part.column(0).to_pylist()
-                runs = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in encoder.encode(texts(part.column(1)))]
-                lo = n = 0
-                out = []
-                for k, ids in enumerate(runs):
-                    n += len(ids)
-                    if n >= BLOCK_IDS or k + 1 == len(runs):
-                        out.append(make_block(bits, file, place, docs[lo : k + 1], runs[lo : k + 1]))
-                        place, lo, n = place + n, k + 1, 0
+            for part in slices(batch, text_col, SLICE_BYTES):
+                docs = part.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                ids, edges = encoder.encode(part.column(1))
+                ended = edges + np.arange(len(edges))
+                closed = np.full(ended[-1], end_id, np.uint32)
+                mine = np.ones(len(closed), bool)
+                mine[ended[1:] - 1] = False
+                closed[mine] = ids
+                lo, out = 0, []
+                while lo < len(docs):  # a block ends with the document that fills it
+                    hi = min(len(docs), int(np.searchsorted(ended, ended[lo] + BLOCK_IDS, "left")))
+                    hi = max(hi, lo + 1)
+                    out.append(make_block(bits, file, place, docs[lo:hi], np.diff(ended[lo : hi + 1]), closed[ended[lo] : ended[hi]]))
+                    offsets.append(at)
+                    firsts.append(place)
+                    at += len(out[-1]) + 1
+                    place, lo = place + int(ended[hi] - ended[lo]), hi
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["block"])
+        if offsets:
+            yield pa.RecordBatch.from_arrays([pa.array([make_index(offsets, firsts)], pa.binary())], names=["block"])
 
     made = placed.mapInArrow(run, "block binary")
     made.select(F.col("block").cast("string").alias("value")).write.option("lineSep", END.decode()).text(path)
@@ -152,19 +192,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
     def run(batches):
+        from .bpe import packed
+
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 for at, _, file, n_docs, _, first in blocks(data):
                     docs, sizes, ids = read_block(data, at)
                     edge = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
-                    packed = ids.astype("<u4").tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(n_docs, file, np.int64)),
-                            pa.array([None if d == NO_ID else d for d in docs.tolist()], pa.int64()),
+                            pa.array(docs, pa.int64(), mask=docs == NO_ID),
                             pa.array(edge[:-1] + first),
                             pa.array(sizes.astype(np.int64)),
-                            pa.array([packed[4 * a : 4 * b] for a, b in zip(edge[:-1], edge[1:])], pa.binary()),
+                            packed(ids, edge),
                         ],
                         names=["file", "doc_id", "place", "n_tokens", "ids"],
                     )

@@ -1,10 +1,13 @@
 import functools
 import hashlib
+import itertools
 import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
+from tokenizers import Tokenizer
 
 from newsloom.llm import bpe
 
@@ -20,6 +23,11 @@ def truth(text):
     return reference().encode_ordinary(text)
 
 
+def encoded(encoder, texts):
+    ids, edges = encoder.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])]
+
+
 def test_odd_rows_encode_as_tiktoken_and_decode_to_the_text(odd_docs):
     got = bpe.digests(bpe.round_trip(odd_docs, RANKS, PATTERN)).collect()
     want = sorted(
@@ -44,8 +52,8 @@ def test_random_unicode_and_runs_equal_tiktoken():
     pools = ["ab", " \n\t\r ", "aA1'sS.!?", "éüß漢字🙂́", "".join(map(chr, range(0x20, 0x17F))), "".join(chr(c) for c in range(0x370, 0x2FFF)), "".join(chr(c) for c in range(0x10000, 0x20000, 7))]
     texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(60))) for _ in range(3000)]
     texts += [u * n for u in ("a", "ab", "aab", "-", "= ", "ha", "\n", " \n") for n in range(1, 40)]
-    encoder = bpe.PieceEncoder(bpe.bpe_from_ranks(RANKS), PATTERN, bpe.definition(RANKS, PATTERN), pieces=500)
-    got = [np.frombuffer(x, "<u4").tolist() for lo in range(0, len(texts), 100) for x in encoder.encode(texts[lo : lo + 100])]
+    encoder = bpe.PieceEncoder(*bpe.bpe_from_ranks(RANKS), bpe.definition(RANKS, PATTERN), pieces=500)
+    got = [x for lo in range(0, len(texts), 100) for x in encoded(encoder, texts[lo : lo + 100])]
     assert got == [truth(t) for t in texts]
 
 
@@ -71,15 +79,24 @@ def test_json_tokenizer_equals_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     rng = random.Random(6)
     pools = ["ab", " \n\t\r ", "aA1'sS.!?", "éüß漢字🙂́", "".join(map(chr, range(0x20, 0x52F))), "".join(chr(c) for c in range(0x530, 0x2FFF))]
-    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(60))) for _ in range(1500)] + ["a<|endoftext|>b", ""]
-    encoder = bpe.PieceEncoder(bpe.bpe_from_json(path), bpe.BYTE_LEVEL_PATTERN, pieces=300)
-    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
-    assert got == [bpe.bpe_from_json(path).encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(60))) for _ in range(1500)] + ["a<|endoftext|>b", "", "x <|endoftext|>  <|endoftext|>\0y", "<|endoftext|>" * 3]
+    encoder = bpe.PieceEncoder(*bpe.bpe_from_json(path), pieces=300)
+    plain = Tokenizer.from_file(path)
+    assert encoded(encoder, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_every_pair_of_bytes_is_cut_where_the_pattern_allows():
+    """All pairs and triples of characters of each class, and every character below U+0530 beside each class."""
+    pool = "aZ7,'\"- \t\n\0\x1c\x7fé\u00a0\u2003漢"
+    texts = ["".join(t) for n in (2, 3, 4) for t in itertools.product(pool, repeat=n)] + [f"{a}{chr(c)}{b}" for c in range(0x530) for a, b in (("a", "1"), ("1", "a"), (".", " "), (" ", "."), ("'", "s"))]
+    encoder = bpe.rank_encoder(RANKS, PATTERN)
+    got = [x for lo in range(0, len(texts), 5000) for x in encoded(encoder, texts[lo : lo + 5000])]
+    assert got == [truth(t) for t in texts]
 
 
-def test_every_character_below_plain_is_of_one_class():
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    own = bpe.bpe_from_json(path)
-    encoder = bpe.PieceEncoder(own, bpe.BYTE_LEVEL_PATTERN)
-    texts = [f"{a}{chr(c)}{b}" for c in range(0x530) for a, b in (("a", "1"), ("1", "a"), (".", " "), (" ", "."))]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+def test_long_pieces_and_a_full_memory(spark):
+    texts = ["x" * n for n in (1, 127, 128, 129, 3000)] + ["漢" * 500 + " word"] * 2 + [f"w{k}" for k in range(300)]
+    encoder = bpe.PieceEncoder(*bpe.bpe_from_ranks(RANKS), bpe.definition(RANKS, PATTERN), pieces=20)
+    for _ in range(3):
+        assert encoded(encoder, texts) == [truth(t) for t in texts]
+    assert encoded(encoder, [None, "a", None]) == [[], truth("a"), []]

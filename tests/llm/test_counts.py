@@ -43,7 +43,6 @@ def test_a_batch_that_died_is_invisible(spark):
 
 def test_documents_end_at_token_counts(odd_docs, no_docs):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     want = {}
     for r in odd_docs.collect():
         key = (r.source, r.lang)
