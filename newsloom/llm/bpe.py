@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import pick, slices, utf8_buffer
 
 #: Bytes of text worked on at once, pieces of a generation, pieces handed over at once, and the longest piece that is remembered.
-SLICE_BYTES, CACHE_PIECES, ASK, REMEMBERED = 4 << 20, 250_000, 5_000, 128
+SLICE_BYTES, CACHE_PIECES, ASK, REMEMBERED = 2 << 20, 150_000, 5_000, 128
 
 
 def byte_table() -> list[str]:

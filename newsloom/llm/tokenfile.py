@@ -31,7 +31,8 @@ range.  Only per-file totals, one row a file, are gathered to turn places within
 files into places overall.
 
 Defined cases: null and empty texts hold the end id alone; an empty table writes
-no block; repeated rows each give a row; extra columns are ignored.
+no block; repeated rows each give a row; extra columns are ignored.  Ids are whole
+numbers of 64 bits, any other type raises; the least of them reads back as null.
 """
 
 from __future__ import annotations
