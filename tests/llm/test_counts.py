@@ -56,3 +56,66 @@ def test_documents_end_at_token_counts(odd_docs, no_docs):
 def test_word_counts_go_with_token_counts(odd_docs):
     row = counts.count_tokens(odd_docs, PATH, "text", "doc_id").where(F.col("doc_id") == 5).first()
     assert (row.n_words, row.n_tokens > 0) == (0, True)
+
+
+def test_a_crash_between_any_two_steps_of_compaction_changes_nothing(spark, monkeypatch):
+    made = change(spark, ("insert", "a", "en", "t1", 10, None), ("insert", "b", "fr", "t1", 3, None))
+    for stop in range(6):  # a rename, then four deletes
+        rollup = counts.TokenRollup(spark)
+        rollup.apply("one", made)
+        rollup.apply("two", made)
+        rollup.compact()
+        rollup.apply("three", made)
+        want, steps = totals(rollup), iter(range(100))
+        assert want == sorted(map(repr, [("a", "en", "t1", 3, 30), ("b", "fr", "t1", 3, 9)]))
+
+        def step(self, *args, what=None, at=stop, steps=steps):
+            if next(steps) == at:
+                raise KeyboardInterrupt
+            return what(self, *args)
+
+        put, delete = counts.TokenRollup._put, counts.TokenRollup._delete
+        with monkeypatch.context() as m:
+            m.setattr(counts.TokenRollup, "_put", lambda self, *a: step(self, *a, what=put))
+            m.setattr(counts.TokenRollup, "_delete", lambda self, *a: step(self, *a, what=delete))
+            try:
+                rollup.compact()
+                crashed = False
+            except KeyboardInterrupt:
+                crashed = True
+        assert crashed == (stop < 5)
+        again = counts.TokenRollup(spark, rollup.path)
+        assert totals(again) == want
+        assert not any(again.apply(x, made) for x in ("one", "two", "three")) and totals(again) == want
+        assert again.compact() and totals(again) == want and again.apply("four", made)
+
+
+def test_two_writers_of_one_batch_count_once(spark, monkeypatch):
+    made = change(spark, ("insert", "a", "en", "t1", 10, None))
+    rollup = counts.TokenRollup(spark)
+    with monkeypatch.context() as m:  # the second writer has looked before the first committed
+        m.setattr(counts.TokenRollup, "is_committed", lambda self, name: False)
+        assert rollup.apply("x", made) and not rollup.apply("x", made)
+        rollup.compact()
+        rollup.apply("x", made)  # and here the first commit is folded already
+    assert totals(rollup) == [repr(("a", "en", "t1", 1, 10))]
+    rollup.compact()
+    assert totals(rollup) == [repr(("a", "en", "t1", 1, 10))]
+
+
+def test_two_compactions_at_once(spark, monkeypatch):
+    made = change(spark, ("insert", "a", "en", "t1", 10, None))
+    rollup = counts.TokenRollup(spark)
+    rollup.apply("x", made)
+    old = rollup._snapshot()
+    assert rollup.compact()
+    with monkeypatch.context() as m:
+        m.setattr(counts.TokenRollup, "_snapshot", lambda self: old)
+        m.setattr(counts.TokenRollup, "_live", lambda self, s: {})
+        assert not rollup.compact()
+    assert totals(rollup) == [repr(("a", "en", "t1", 1, 10))]
+
+
+def test_carried_names_may_be_those_in_use(spark):
+    rows = spark.createDataFrame([("a", "b c", 1)], "text string, _text string, c0 long")
+    assert counts.count_tokens(rows, PATH, "_text", "c0", "text").collect() == [(1, "a", 2, 2)]
