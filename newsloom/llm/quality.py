@@ -8,9 +8,12 @@ gradients leave the most to gain get two-dimensional tables, boosted in turn
 likewise.  A score is the logistic of the intercept plus one table entry for each
 feature and pair, added up for whole batches of rows.
 
-Training rows are the ``train_rows`` labelled rows (a documented bound) with the
-smallest hashes of their ids outside the held-out fold; their features, and no
-texts, come to the driver.
+Training ids are the ``train_rows`` labelled ids (a documented bound) with the
+smallest hashes outside the held-out fold; an id that is labelled more than once
+has the label of most of its rows (the larger one of a tie).  Where documents
+repeat an id, the rows with the smallest hashes of id and text are taken, up to
+the same bound: no choice looks at labels.  Features, and no texts, come to the
+driver.
 
 Defined cases: null and empty texts have features of their own and a score; with
 no labelled rows every score is 0.5 (predicted 1); null labels do not train;
@@ -167,45 +170,48 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, held: int = 1, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict:
     key = F.col(f"`{id_col}`")
     chosen = pick(labels, id_col, label_col).toDF("id", "label").where("id is not null and label is not null").where(~in_fold(F.col("id"), folds, held))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(train_rows)
+    chosen = chosen.groupBy("id").agg((F.avg((F.col("label") >= 1).cast("int")) >= 0.5).cast("long").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(train_rows)
     texts = pick(docs, id_col, text_col).where(~in_fold(key, folds, held)).toDF("id", "words")
     # at most train_rows pairs of numbers
-    wanted = texts.join(F.broadcast(chosen), "id").select("label", "words")
+    wanted = texts.join(F.broadcast(chosen), "id").select("label", "words", F.xxhash64("id", "words").alias("h"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "words", 1 << 20):
                 x = features(*utf8_buffer(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "h", "x"])
 
-    rows = wanted.mapInArrow(run, "label long, x array<double>").orderBy("label", "x").limit(train_rows).toArrow()
+    rows = wanted.mapInArrow(run, "label long, h long, x array<double>").orderBy("h", "x").limit(train_rows).toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
-    return fit(x, (rows["label"].to_numpy() >= 1).astype(float))
+    return fit(x, rows["label"].to_numpy().astype(float))
 
 
-def score(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` and score double."""
+def score(df: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All columns of ``df``, then a double; names are taken by place, so any name of ``df`` will do."""
     at = df.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    places = [f"c{k}" for k in range(len(df.columns))]
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(places, df.schema))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, places[at], 1 << 20):
                 scores = predict(model, features(*utf8_buffer(part.column(at))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*places, "score"])
 
-    return df.mapInArrow(run, f"{schema}, _score double")
+    return df.toDF(*places).mapInArrow(run, f"{schema}, score double").toDF(*df.columns, score_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
     """(id, held_out, score, predicted) of every row."""
     model = train(docs, labels, folds=folds, held=held, id_col=id_col, text_col=text_col)
-    scored = score(pick(docs, id_col, text_col), model, text_col).drop(text_col)
-    key = F.col(f"`{id_col}`")
-    return scored.select(key, in_fold(key, folds, held).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(pick(docs, id_col, text_col).toDF("id", "text"), model)
+    return scored.select(F.col("id").alias(id_col), in_fold(F.col("id"), folds, held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
     """The documents that the classifier does not reject, in their own columns."""
     model = train(docs, labels, folds=folds, held=held, id_col=id_col, text_col=text_col)
-    return score(docs, model, text_col).where("_score >= 0.5").drop("_score")
+    places = [f"c{k}" for k in range(len(docs.columns))]
+    scored = score(docs.toDF(*places), model, places[docs.columns.index(text_col)])
+    return scored.where("score >= 0.5").drop("score").toDF(*docs.columns)

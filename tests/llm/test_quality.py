@@ -48,3 +48,20 @@ def test_pairs_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     assert ((quality.predict(quality.fit(x, y), x) >= 0.5) == y).mean() > 0.9
     assert (quality.predict(quality.fit(x, np.ones(2000)), x) > 0.9).all()
+
+
+def test_repeated_rows_leave_the_balance_of_labels(spark):
+    docs, labels = docs_and_labels(spark)
+    one = quality.train(docs, labels, train_rows=100)["intercept"]
+    many = docs
+    for _ in range(2):
+        many = many.unionByName(many)
+    twice = quality.train(many, labels.unionByName(labels), train_rows=100)["intercept"]
+    assert abs(one) < 0.6 and abs(twice) < 0.6
+
+
+def test_names_in_use_inside_are_kept(spark):
+    docs, labels = docs_and_labels(spark, 60)
+    odd = docs.selectExpr("*", "doc_id * 2 as _score", "doc_id as c0", "'x' as h")
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns and all(r._score == 2 * r.doc_id and r.c0 == r.doc_id for r in kept.collect())
