@@ -5,46 +5,52 @@ turn and share ``share`` times all words; a target stops at ``most`` times its
 source's size and the excess goes to the others by weight until none is above.
 
 Each source's documents stand in a fixed pseudo-random order, so its words form
-one sequence; the sequence is cut into blocks of equal length, and an affine map
-permutes the blocks.  A target is a number of full passes, a number of further
-blocks, and a last block in part: quotas are exact to a word.  All draws of all
-sources are then dealt to the output shards by a tree: at each node the draws
-of the left half of the shards are one multivariate-hypergeometric sample of
-what the node has, so every shard ends with the same number of blocks (but for
-rounding) and a random, exact composition, and shards draw disjoint runs of the
-permuted sequence.  Within a shard, pieces are ordered by a hash.
+one sequence, which is cut into blocks of ``block`` words (a parameter, the same
+at every size).  A target is a number of full passes over the sequence, a number
+of further blocks, and a last block in part: quotas are exact to a word.  The
+draws of all sources are dealt to the output shards by a tree: at each node the
+draws of the left half of the shards are one multivariate-hypergeometric sample
+of what the node has, so every shard ends with the same number of draws (but for
+rounding) and a random, exact composition.  Each source's blocks stand in a keyed
+random permutation (swap-or-not rounds, exact for any number of blocks, a Column
+expression), and the tree's quotas cut that order into disjoint runs, one a
+shard: a shard draws the blocks of its run.  Within a shard, draws are shuffled
+by a keyed hash.  What a document gives is the sum over the draws that meet it.
 
 Scale: the driver holds one row a source (``MAX_SOURCES`` at most, else an error
 is raised) and sources x shards quotas; word positions come from running sums
 inside hash buckets of about ``BUCKET_WORDS`` words plus one over the bucket
 totals of a source, so a source with a third of all rows is spread over many
-buckets.  Texts are not shuffled.  All choices follow from the seed, the ids and
-the texts: reruns agree.
+buckets.  Rows that repeat (same id and text) are numbered by sums over the
+partitions they lie in and spread by their number.  Texts are not shuffled.  All
+choices follow from the seed, the ids and the texts: reruns agree.
 
 Defined cases: null text has size 0 and takes nothing; a source of size 0 has
 target 0; repeated rows are documents of their own; an empty table gives an
-empty table; extra columns are ignored.
+empty table; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import struct
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, pick, slices, texts, word_count
+from .common import materialize, pick, word_count
 
 #: The weights in turn, the share of all sizes, the most a source is repeated.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 
-#: Words of a block at least (more where the mix would have over MAX_DRAWS blocks), words of a hash bucket.
-BLOCK_WORDS, BUCKET_WORDS, MAX_DRAWS, MAX_SOURCES = 4096, 1 << 20, 1 << 28, 1_000_000
+#: Words of a block and of a hash bucket, sources at most, and rounds of the permutation.
+BLOCK_WORDS, BUCKET_WORDS, MAX_SOURCES, ROUNDS = 4096, 1 << 20, 1_000_000, 64
 
-PIECE = "array<struct<shard:int,draw:int,start:long,end:long>>"
+#: Where numpy's hypergeometric sampler ends.
+_SAMPLER_MOST = 10**9
+
+PIECE = "array<struct<shard:int,draw:int,place:long,start:long,end:long>>"
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -66,6 +72,22 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return goal
 
 
+def _left(rng: np.random.Generator, counts: np.ndarray, part: int) -> np.ndarray:
+    """A multivariate-hypergeometric sample, source by source. Beyond the sampler's range a source's count is normal to within a rounding, and kept within what is possible."""
+    out, rest, need = np.zeros_like(counts), int(counts.sum()), part
+    for k, own in enumerate(map(int, counts)):
+        rest -= own
+        if rest + own < _SAMPLER_MOST:
+            n = int(rng.hypergeometric(own, rest, need)) if own + rest else 0
+        else:
+            total = own + rest
+            spread = need / total * own * (rest / total) * ((total - need) / max(total - 1, 1))
+            n = min(max(round(rng.normal(need * own / total, math.sqrt(max(spread, 0.0)))), need - rest, 0), own, need)
+        out[k] = n
+        need -= n
+    return out
+
+
 def split_quotas(draws: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """(sources, shards) counts that add up to ``draws``: the splitting tree."""
     out = np.zeros((len(draws), shards), np.int64)
@@ -76,9 +98,7 @@ def split_quotas(draws: np.ndarray, shards: int, seed: int) -> np.ndarray:
             out[:, lo] = counts
             return
         mid = (lo + hi) // 2
-        n = int(counts.sum())
-        part = n * (mid - lo) // (hi - lo)
-        left = rng.multivariate_hypergeometric(counts, part, method="marginals") if len(counts) else counts
+        left = _left(rng, counts, int(counts.sum()) * (mid - lo) // (hi - lo))
         deal(left, lo, mid)
         deal(counts - left, mid, hi)
 
@@ -86,12 +106,34 @@ def split_quotas(draws: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _coprime(n: int, at: int) -> int:
-    """A multiplier near the golden section of n without a common factor."""
-    a = max(1, int(n * 0.6180339887) + at % 97)
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a
+def _hash(*values: int) -> int:
+    """The engine's xxhash64 of longs."""
+    from xxhash import xxh64_intdigest
+
+    h = 42
+    for v in values:
+        h = xxh64_intdigest(struct.pack("<q", v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def position(block: int, n: int, seed: int, number: int) -> int:
+    """Place of a block in its source's permutation, on the driver."""
+    for i in range(ROUNDS):
+        other = (_hash(seed, number, i) % n - block) % n
+        if _hash(seed, number, i, max(block, other)) & 1:
+            block = other
+    return block
+
+
+def position_of(block: Column, n: Column, seed: int, number: Column) -> Column:
+    """Place of a block in its source's permutation: in each round a block changes places with its partner, or not, by a hash of the two."""
+
+    def turn(at, i):
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(seed).cast("long"), number, i), n) - at, n)
+        swap = F.xxhash64(F.lit(seed).cast("long"), number, i, F.greatest(at, other)).bitwiseAND(F.lit(1).cast("long")) == 1
+        return F.when(swap, other).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), block.cast("long"), turn)
 
 
 def plan(rows: list[tuple[str | None, int]], seed: int, shards: int, share: float, most: float, weights, block: int) -> list[dict]:
@@ -104,29 +146,33 @@ def plan(rows: list[tuple[str | None, int]], seed: int, shards: int, share: floa
         full, part = divmod(rest, block)
         if passes >= most:  # nothing is left for a further pass
             full = part = 0
-        # the last block of the sequence may be short: whole draws that meet it take less, the partial draw makes up
-        made.append({"source": source, "source_size": size, "target": target, "n_blocks": n, "passes": passes, "full": full, "part": part, "block": block})
-        if n:
-            a = _coprime(n, seed + k)
-            made[-1] |= {"a": a, "c": (seed * 31 + k * 17) % n, "inverse": pow(a, -1, n) if n > 1 else 0}
-            # a short last block among the full draws leaves its lack to the partial one
-            tail = size - (n - 1) * block
-            position = (a * (n - 1) + made[-1]["c"]) % n
-            if tail < block and position < full:
-                lack = block - tail
-                made[-1]["full"], made[-1]["part"] = full + (part + lack) // block, (part + lack) % block
-            elif tail < block and position == full and part > tail:
-                made[-1]["full"], made[-1]["part"] = full + 1, part - tail
-        else:
-            made[-1] |= {"a": 1, "c": 0, "inverse": 0}
+        # a short last block among the full draws leaves its lack to the partial one
+        tail = size - (n - 1) * block
+        if n and tail < block and (full or part):
+            at = position(n - 1, n, seed, k)
+            if at < full:
+                full, part = full + (part + block - tail) // block, (part + block - tail) % block
+            elif at == full and part > tail:
+                full, part = full + 1, part - tail
+        made.append({"source": source, "number": k, "source_size": size, "target": target, "n_blocks": n, "passes": passes, "full": full, "part": part, "block": block})
     draws = np.array([m["n_blocks"] * m["passes"] + m["full"] + (m["part"] > 0) for m in made], np.int64)
-    quotas = split_quotas(draws, shards, seed)
-    for m, q in zip(made, quotas):
+    for m, q in zip(made, split_quotas(draws, shards, seed)):
         m["upto"] = np.cumsum(q).tolist()
     return made
 
 
-SOURCES = "source string, source_size long, target double, n_blocks long, passes int, full long, part long, block long, a long, c long, upto array<long>"
+SOURCES = "source string, number long, source_size long, target double, n_blocks long, passes int, full long, part long, block long, upto array<long>"
+
+
+def _spread(sized: DataFrame) -> DataFrame:
+    """A hash of its own for each of several equal rows: they are numbered within their partition, after those of the partitions before."""
+    here = Window.partitionBy("h", "part").orderBy("doc", "size")
+    earlier = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sized.groupBy("h", "part").agg(F.count("*").alias("n"))
+    bases = counts.select("h", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    numbered = sized.withColumn("number", F.row_number().over(here) - 1).join(bases, ["h", "part"])
+    number = (F.col("number") + F.col("base")).cast("long")
+    return numbered.withColumn("h", F.when(number == 0, F.col("h")).otherwise(F.xxhash64("h", number))).drop("part", "number", "base")
 
 
 def mix(
@@ -136,6 +182,8 @@ def mix(
     share: float = SHARE,
     most: float = MOST,
     weights: tuple[float, ...] = WEIGHTS,
+    block: int = BLOCK_WORDS,
+    whole: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -144,34 +192,33 @@ def mix(
     """(doc_id, size, source_size, target, taken, pieces): one row per document.
 
     A piece is a run of words [start, end) of the document that one draw of one
-    shard takes. ``carry`` names a further column to keep (a row key).
+    shard takes; ``place`` orders the draws of a shard.  With ``whole`` a document
+    goes with the draws of the block its first word lies in, and only whole
+    documents are taken: targets are met to within the documents at the edges.
+    ``carry`` names a further column to keep (a row key).
     """
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType
     kept = pick(df, id_col, text_col, source_col, *([carry] if carry else []))
     kept = kept.toDF("doc", "words", "source", *(["carried"] if carry else []))
     order = F.xxhash64(F.lit(seed), "doc", "words")
-    sized = kept.select("doc", "source", *(["carried"] if carry else []), word_count(F.col("words")).alias("size"), order.alias("h"))
+    sized = kept.select("doc", "source", *(["carried"] if carry else []), word_count(F.col("words")).alias("size"), order.alias("h"), F.spark_partition_id().alias("part"))
     sized = materialize(sized, "sizes")
     rows = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
     ordered = sorted(((r.source, int(r.n)) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
-    block = max(BLOCK_WORDS, math.ceil(share * sum(n for _, n in ordered) / MAX_DRAWS))
     made = plan(ordered, seed, shards, share, most, weights, block)
     names = [x.split()[0] for x in SOURCES.split(", ")]
-    sources = spark.createDataFrame([tuple(m[k] for k in names) for m in made], SOURCES)
+    sources = spark.createDataFrame([tuple(m[k] for k in names) for m in made], SOURCES).withColumnRenamed("source", "s")
 
     same = lambda a, b: a.eqNullSafe(b)
     # the place of each document in its source's sequence of words
-    sources = sources.withColumnRenamed("source", "s")
-    placed = sized.join(sources.select("s", "source_size"), same(F.col("source"), F.col("s"))).drop("s")
-    placed = placed.withColumn("bucket", F.pmod("h", F.greatest(F.lit(1), F.ceil(F.col("source_size") / BUCKET_WORDS))))
+    bucket = F.pmod("h", F.greatest(F.lit(1), F.ceil(F.col("source_size") / BUCKET_WORDS)))
+    placed = _spread(sized).join(sources.select("s", "source_size"), same(F.col("source"), F.col("s"))).drop("s").withColumn("bucket", bucket)
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    by_bucket = sized.join(sources.select("s", "source_size"), same(F.col("source"), F.col("s"))).groupBy(
-        "source", F.pmod("h", F.greatest(F.lit(1), F.ceil(F.col("source_size") / BUCKET_WORDS))).alias("bucket")
-    ).agg(F.sum("size").alias("n"))
+    placed = materialize(placed.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))), "places")
+    by_bucket = placed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_bucket.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = placed.join(bases, same(F.col("source"), F.col("s2")) & (F.col("bucket") == F.col("b2"))).drop("s2", "b2", "source_size")
@@ -180,83 +227,53 @@ def mix(
     # the draws that meet a document: for each block it overlaps, every full pass, and the further pass up to the quota
     first, last = F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
 
-    def pieces_of(b):
+    def pieces_of(b, at):
         lo = F.greatest(b * F.col("block"), F.col("start"))
-        hi = F.least((b + 1) * F.col("block"), F.col("start") + F.col("size"))
-        position = F.pmod(F.col("a") * b + F.col("c"), F.col("n_blocks"))
-        draw = lambda p, end: F.struct(
+        hi = F.col("start") + F.col("size") if whole else F.least((b + 1) * F.col("block"), F.col("start") + F.col("size"))
+
+        def draw(p, end):
+            number = F.col("n_blocks") * p + at
             # the shard whose run of this source's draws holds the draw
-            F.size(F.filter("upto", lambda u: u <= F.col("n_blocks") * p + position)).alias("shard"),
-            p.cast("int").alias("draw"),
-            (lo - F.col("start")).alias("start"),
-            (end - F.col("start")).alias("end"),
-        )
-        whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda p: draw(p, hi)))
-        end = F.when(position < F.col("full"), hi).when(position == F.col("full"), F.least(hi, b * F.col("block") + F.col("part")))
+            shard = F.size(F.filter("upto", lambda u: u <= number))
+            place = F.xxhash64(F.lit(seed), shard, F.col("number"), number)
+            return F.struct(shard.alias("shard"), p.cast("int").alias("draw"), place.alias("place"), (lo - F.col("start")).alias("start"), (end - F.col("start")).alias("end"))
+
+        passes = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda p: draw(p, hi)))
+        cut = b * F.col("block") + F.col("part")
+        in_part = F.when(lo < cut, hi) if whole else F.least(hi, cut)
+        end = F.when(at < F.col("full"), hi).when(at == F.col("full"), in_part)
         more = F.when(end > lo, F.array(draw(F.col("passes"), end)))
         none = F.array().cast(PIECE)
-        return F.concat(F.coalesce(whole, none), F.coalesce(more, none))
+        return F.concat(F.coalesce(passes, none), F.coalesce(more, none))
 
-    pieces = F.when(F.col("size") > 0, F.flatten(F.transform(F.sequence(first, last), pieces_of))).otherwise(F.array().cast(PIECE))
+    met = F.transform(F.sequence(first, first if whole else last), lambda b: F.struct(b.alias("b"), position_of(b, F.col("n_blocks"), seed, F.col("number")).alias("at")))
+    pieces = F.when(F.col("size") > 0, F.flatten(F.transform(met, lambda x: pieces_of(x["b"], x["at"])))).otherwise(F.array().cast(PIECE))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p.end - p.start)
-    out = full.withColumn("pieces", pieces).select(
+    return full.withColumn("pieces", pieces).select(
         F.col("doc").cast(id_type).alias(id_col), "size", "source_size", "target", taken.alias("taken"), "pieces", *([F.col("carried").alias(carry)] if carry else [])
     )
-    return out
-
 
-_WORD = re.compile(WORD)
 
+def digests(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The contract's columns, and the draws behind ``taken``: shard:pass:start-end (words of the document), in the order of shards and draws."""
+    one = lambda p: F.concat(p.shard, F.lit(":"), p.draw, F.lit(":"), p.start, F.lit("-"), p.end)
+    draws = F.array_join(F.transform(F.array_sort("pieces"), one), ",")
+    return mixed.select(F.col(f"`{id_col}`"), "size", "source_size", "target", "taken", draws.alias("draws"))
 
-def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
-    """The text of runs of words [start, end), each with the white space inside it."""
-    at = [m.span() for m in _WORD.finditer(text)]
-    return " ".join(text[at[a][0] : at[b - 1][1]] for a, b in runs)
 
+def draw_documents(df: DataFrame, seed: int = 20, shards: int = 16, text_col: str = "text", **options) -> DataFrame:
+    """The mix as documents, in the columns of ``df``: one row per document and draw of the whole document.
 
-def draw_documents(df: DataFrame, seed: int = 20, shards: int = 16, text_col: str = "text", n_chars_col: str = "n_chars", **options) -> DataFrame:
-    """The mix as documents, in the columns of ``df``: one row per document and draw, its text the words drawn (the whole text, if all are).
-
-    Rows are laid out by shard and shuffled within it by a hash. Documents
-    without words are kept once: they weigh nothing. The texts follow by a join
-    on a row key.
+    Rows are laid out by shard and shuffled within it by the draws' places.
+    Documents without words are kept once: they weigh nothing. The texts follow
+    by a join on a row key.
     """
-    keyed = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    mixed = mix(keyed, seed, shards, text_col=text_col, carry="_row", **options)
-    drawn = mixed.select("_row", "size", F.explode_outer("pieces").alias("p")).where("p is not null or size = 0")
-    drawn = drawn.groupBy("_row", "size", F.coalesce("p.draw", F.lit(0)).alias("_draw")).agg(
-        F.sort_array(F.collect_list(F.struct("p.start", "p.end", "p.shard"))).alias("_runs")
-    )
-    drawn = drawn.select("_row", "_draw", F.col("size").alias("_size"), F.coalesce(F.element_at("_runs", 1)["shard"], F.lit(0)).alias("_shard"), F.transform("_runs", lambda r: F.struct(r.start, r.end)).alias("_runs"))
-    wide = keyed.join(drawn, "_row")
-    wide = wide.repartition(F.col("_shard"), F.pmod(F.xxhash64("_row"), F.lit(1024))).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_row", "_draw"))
-    names = df.columns
-    at = names.index(text_col)
-    chars = names.index(n_chars_col) if n_chars_col in names else None
-    kept = wide.select(*[F.col(f"`{n}`") for n in names], "_size", "_runs")
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
-                columns = part.columns[: len(names)]
-                words, runs = part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist()
-                valid = part.column(at).is_valid().to_pylist()
-                out, n = [], []
-                for text, ok, size, cuts in zip(texts(part.column(at)), valid, words, runs):
-                    merged: list[list[int]] = []
-                    for r in cuts:
-                        if r["start"] is None:
-                            continue
-                        if merged and merged[-1][1] == r["start"]:
-                            merged[-1][1] = r["end"]
-                        else:
-                            merged.append([r["start"], r["end"]])
-                    whole = not merged or merged == [[0, size]]
-                    out.append((text if whole else cut_words(text, merged)) if ok else None)
-                    n.append(None if whole else len(out[-1]))
-                columns[at] = pa.array(out, pa.string())
-                if chars is not None:
-                    columns[chars] = pa.array([old if new is None else new for old, new in zip(columns[chars].to_pylist(), n)], columns[chars].type)
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return kept.mapInArrow(run, df.schema)
+    places = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    names = {"id_col": "doc_id", "source_col": "source"} | {k: v for k, v in options.items() if k in ("id_col", "source_col")}
+    rest = {k: v for k, v in options.items() if k not in names}
+    keyed = materialize(df.toDF(*places.values()).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    mixed = mix(keyed, seed, shards, text_col=places[text_col], carry="row", whole=True, **{k: places[v] for k, v in names.items()}, **rest)
+    drawn = mixed.select("row", "size", F.explode_outer("pieces").alias("p")).where("p is not null or size = 0")
+    drawn = drawn.select("row", F.coalesce("p.shard", F.pmod("row", F.lit(shards)).cast("int")).alias("shard"), F.coalesce("p.place", F.xxhash64(F.lit(seed), "row")).alias("place"))
+    laid = keyed.join(drawn, "row").repartition(F.col("shard"), F.pmod("place", F.lit(64)))
+    return laid.sortWithinPartitions("shard", "place", "row").select(*places.values()).toDF(*df.columns)

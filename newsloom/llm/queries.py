@@ -34,7 +34,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
-    return media.store_and_read(table(spark, sf_dir, "documents")).drop("pts", "rap_bytes")
+    return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("pieces")
+    return mixing.digests(mixing.mix(table(spark, sf_dir, "documents")))
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
