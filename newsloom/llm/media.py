@@ -1,12 +1,14 @@
 """Operator 10: media columns as MPEG transport streams (ISO/IEC 13818-1).
 
 A payload of 8-bit samples is packed into PES packets of a private stream, these
-into 188-byte transport packets behind a PAT and a PMT.  Each PES packet carries
-a presentation time stamp; the first packet of every ``rap_every``-th PES packet
-carries an adaptation field with the random-access indicator and a PCR.  Reading
-back parses the program tables (with their CRC), checks the continuity counter
-of every PID, reassembles the elementary stream and returns the time stamps and
-random-access points, so a reader can start at any of them.
+into 188-byte transport packets.  Each PES packet carries a presentation time
+stamp; the first packet of every ``RAP_EVERY``-th PES packet carries an adaptation
+field with the random-access indicator and a PCR, and a PAT and a PMT stand right
+before it, so a reader can start there with nothing read before (``start_at``).
+Reading back parses the program tables (each with its CRC), checks the continuity
+counter of every PID, reassembles the elementary stream and returns the time
+stamps and random-access points.  A packet sent twice, as the format allows, is
+read once.
 
 Equal payloads give equal streams: nothing else goes in.  Defined cases: null
 text is the empty text; the payload is padded with zero bytes to a positive
@@ -65,18 +67,18 @@ def _section(table_id: int, number: int, body: bytes) -> bytes:
     return head + body + psi_crc(head + body).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    packet = bytes([SYNC, 0x40 | pid >> 8, pid & 0xFF, 0x10, 0]) + section
+def _table_packet(pid: int, section: bytes, counter: int) -> bytes:
+    packet = bytes([SYNC, 0x40 | pid >> 8, pid & 0xFF, 0x10 | counter, 0]) + section
     return packet.ljust(PACKET, b"\xff")
 
 
-@functools.lru_cache(maxsize=1)
-def program_tables() -> bytes:
+@functools.lru_cache(maxsize=16)
+def program_tables(counter: int) -> bytes:
     """One PAT packet (program 1) and one PMT packet (one private stream, which also carries the PCR)."""
     pat = _section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
     stream = bytes([PRIVATE_TYPE]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00"
     pmt = _section(2, 1, (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00" + stream)
-    return _table_packet(PAT_PID, pat) + _table_packet(PMT_PID, pmt)
+    return _table_packet(PAT_PID, pat, counter) + _table_packet(PMT_PID, pmt, counter)
 
 
 def _stamp(ticks: int) -> bytes:
@@ -91,7 +93,7 @@ def _read_stamp(b: np.ndarray) -> int:
 
 def mux(payload: np.ndarray) -> bytes:
     """A transport stream holding the payload (uint8)."""
-    parts, counter = [program_tables()], 0
+    parts, counter = [], 0
     for k, lo in enumerate(range(0, max(len(payload), 1), PES_BYTES)):
         data = payload[lo : lo + PES_BYTES]
         stamp = lo * CLOCK // SAMPLE_RATE
@@ -100,6 +102,7 @@ def mux(payload: np.ndarray) -> bytes:
         # adaptation field of the first packet: flags with random access and PCR (7 bytes), else none
         first = b""
         if k % RAP_EVERY == 0:
+            parts.append(program_tables(k // RAP_EVERY & 15))
             base = stamp & (1 << 33) - 1
             first = bytes([7, 0x50]) + ((base << 15) | (0x3F << 9)).to_bytes(6, "big")
         room = PACKET - 4
@@ -156,26 +159,33 @@ def demux(stream: bytes) -> tuple[np.ndarray, dict]:
     if (packets[:, 0] != SYNC).any():
         raise ValueError("a packet without its sync byte")
     pid = (packets[:, 1] & 0x1F).astype(np.int64) << 8 | packets[:, 2]
-    pats = np.flatnonzero(pid == PAT_PID)
-    if not len(pats):
-        raise ValueError("no program association table")
-    body = _parse_section(packets[pats[0]], 0)
-    pmt_pid = (body[2] & 0x1F) << 8 | body[3]
-    pmts = np.flatnonzero(pid == pmt_pid)
-    if not len(pmts):
-        raise ValueError("no program map table")
-    body = _parse_section(packets[pmts[0]], 2)
-    es = body[4 + ((body[2] & 0x0F) << 8 | body[3]) :]
-    es_pid = (es[1] & 0x1F) << 8 | es[2]
-    own = np.flatnonzero(pid == es_pid)
-    data = packets[own]
     # packets of every PID in their order; null packets have no counter
     order = np.argsort(pid, kind="stable")
     order = order[pid[order] != NULL_PID]
     which, counter = pid[order], packets[order, 3] & 15
+    again = np.zeros(len(order), bool)
+    again[1:] = (which[1:] == which[:-1]) & (counter[1:] == counter[:-1])
+    for k in np.flatnonzero(again):
+        again[k] = bool((packets[order[k]] == packets[order[k - 1]]).all())
+    order = order[~again]
+    which, counter = pid[order], packets[order, 3] & 15
     gaps = int(((which[1:] == which[:-1]) & ((counter[1:] - counter[:-1]) & 15 != 1)).sum())
     if gaps:
         raise ValueError(f"{gaps} continuity errors")
+    of = lambda n: order[which == n]  # noqa: E731  in stream order
+    bodies = {_parse_section(packets[k], 0) for k in of(PAT_PID)}
+    if len(bodies) != 1:
+        raise ValueError("not one program association table")
+    body = bodies.pop()
+    pmt_pid = (body[2] & 0x1F) << 8 | body[3]
+    bodies = {_parse_section(packets[k], 2) for k in of(pmt_pid)}
+    if len(bodies) != 1:
+        raise ValueError("not one program map table")
+    body = bodies.pop()
+    es = body[4 + ((body[2] & 0x0F) << 8 | body[3]) :]
+    es_pid = (es[1] & 0x1F) << 8 | es[2]
+    own = of(es_pid)
+    data = packets[own]
     has_field = (data[:, 3] & 0x20) > 0
     skip = np.where(has_field, data[:, 4].astype(np.int64) + 1, 0) + 4
     starts = np.flatnonzero(data[:, 1] & 0x40)
@@ -198,6 +208,11 @@ def demux(stream: bytes) -> tuple[np.ndarray, dict]:
     return (np.concatenate(parts) if parts else flat[:0]), {"packets": len(packets), "pes": len(starts), "pts": stamps, "raps": raps}
 
 
+def start_at(stream: bytes, packet: int) -> bytes:
+    """The stream from a random-access point (its packet) on, with the tables before it."""
+    return stream[(packet - 2) * PACKET :]
+
+
 def padded(text: np.ndarray, unit: int = 64) -> np.ndarray:
     size = max(unit, -(-len(text) // unit) * unit)
     out = np.zeros(size, np.uint8)

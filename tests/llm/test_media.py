@@ -50,8 +50,36 @@ def test_columns(odd_docs, no_docs):
 def test_a_lost_table_packet_is_noticed():
     stream = media.mux(np.zeros(640, np.uint8))
     table = bytearray(stream[: media.PACKET])
+    assert len(media.demux(stream + bytes(table))[0]) == 640  # a packet sent twice
     table[3] = table[3] & 0xF0 | (table[3] + 1) & 15
     assert len(media.demux(stream + bytes(table))[0]) == 640
     table[3] = table[3] & 0xF0 | (table[3] + 1) & 15
+    table[3] = table[3] & 0xF0 | (table[3] + 1) & 15
     with pytest.raises(ValueError, match="continuity"):
         media.demux(stream + bytes(table))
+
+
+def test_a_reader_can_start_at_any_random_access_point():
+    payload = np.random.default_rng(1).integers(0, 256, 200_000, dtype=np.uint8)
+    stream = media.mux(payload)
+    raps = media.demux(stream)[1]["raps"]
+    assert len(raps) == 4
+    for packet, at in raps:
+        back, seen = media.demux(media.start_at(stream, packet))
+        assert (back == payload[at:]).all() and seen["raps"][0] == (2, 0) and seen["pts"][0] == at * 90_000 // 8_000
+
+
+def test_feature_by_hand():
+    data = np.array([0, 10] * 32, np.uint8)
+    payload, seen = media.demux(media.mux(data))
+    assert media.features(payload, seen) == "packets=3;pes=1;pts=0-0;raps=2@0;mean=5.0000;std=5.0000;crossings=63"
+
+
+def test_stream_by_hand():
+    """A short payload's packets, field by field, without the writer's code."""
+    stream = media.mux(np.frombuffer(b"A" * 64, np.uint8))
+    pat, pmt, es = (stream[k : k + 188] for k in (0, 188, 376))
+    assert pat[:5] == b"\x47\x40\x00\x10\x00" and pat[5:17] == bytes([0, 0xB0, 13, 0, 1, 0xC1, 0, 0, 0, 1, 0xE1, 0])
+    assert pmt[:5] == b"\x47\x41\x00\x10\x00" and pmt[5:8] == bytes([2, 0xB0, 18])
+    assert es[:4] == b"\x47\x41\x01\x30" and es[5] == 0x50 and es[-64:] == b"A" * 64
+    assert es[-78:-64] == b"\x00\x00\x01\xbd\x00\x48\x80\x80\x05\x21\x00\x01\x00\x01"
