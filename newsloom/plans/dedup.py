@@ -3,9 +3,9 @@
 The batch form of the incremental question "is this article a copy of one we
 have": candidates of an article are the rows with a smaller ``seq``.
 
-1. Exact: three hash joins on keys (URL, GUID, content hash).  Only the first row
-   of a key in order can win, so each join meets one row per key and a key held
-   by a third of all rows costs no more than another.
+1. Exact: three keys (URL, GUID, content hash).  Only the first row of a key that
+   the lookback reaches can win: each article meets one row that holds it, found by
+   its key and the beginning of its reach, and hot keys are broadcast.
 2. Near: pairs that can reach the lowest threshold must share tokens, by bounds
    that follow from the settings (``least_jaccard``).  Pairs are found through
    prefixes of token lists ordered by rarity, then scored; the quadratic
@@ -19,6 +19,7 @@ for scale.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,18 +27,29 @@ from pyspark.sql import functions as F
 
 from newsloom.config import DedupConfig
 from newsloom.functions.dates import lookback, proximity
-from newsloom.functions.similarity import SEQUENCE_SHARE, TOKEN_SHARE, sequence_ratio, sequence_ratio_from
+from newsloom.functions.similarity import SEQUENCE_SHARE, TOKEN_SHARE, Similarity, sequence_ratio, sequence_ratio_from
 from newsloom.functions.text import fold_content, fold_title, fold_unicode, jaccard, sha, tokens
 from newsloom.functions.url import identity_url
+from newsloom.operators.components import connected, join_hot, union_all
+from newsloom.sources.tables import settle
 
 #: Shares of a score.
 SHARES = {"title": 0.12, "content": 0.58, "time": 0.12, "source": 0.08, "fingerprint": 0.10}
 OTHER_SOURCE, TITLE_FINGERPRINT = 0.65, 0.45
 SOURCE_KEYS = ("source_id", "source_domain", "source_name", "publisher")
 GUID_KEYS = ("guid", "id", "external_id", "entry_id")
+#: Fixed value: the reason of a new document.
 NEW = "no duplicate candidate exceeded configured thresholds"
 
 
+#: Exact strategies in order, the key each compares, its confidence and its reason.
+EXACT = (
+    ("canonical_url", "k_url", 1.0, "canonical URL matched an existing document"),
+    ("guid", "k_guid", 0.99, "GUID matched an existing document"),
+    ("content_fingerprint", "fp_content", 0.98, "content fingerprint matched exactly"),
+)
+
+
 def _column(df: DataFrame, name: str) -> list[Column]:
     return [F.nullif(F.col(name).cast("string"), F.lit(""))] if name in df.columns else []
 
@@ -95,21 +107,29 @@ def confidence(title: Column, content: Column, time: Column, same_source: Column
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
+#: Reasons of a score.
+REASON_TITLE = "normalized title similarity exceeded threshold"
+REASON_CONTENT = "cleaned content similarity exceeded threshold"
+REASON_TIME = "publication times were within configured proximity window"
+REASON_SOURCE = "match came from a different source"
+REASON_NONE = "weak similarity across duplicate signals"
+
+
 def reasons(title: Column, content: Column, time: Column, same_source: Column, c: DedupConfig) -> Column:
     found = F.array_compact(
         F.array(
-            F.when(title >= c.title_similarity_threshold, F.lit("normalized title similarity exceeded threshold")),
-            F.when(content >= c.content_similarity_threshold, F.lit("cleaned content similarity exceeded threshold")),
-            F.when(time > 0, F.lit("publication times were within configured proximity window")),
-            F.when(~same_source, F.lit("match came from a different source")),
+            F.when(title >= c.title_similarity_threshold, F.lit(REASON_TITLE)),
+            F.when(content >= c.content_similarity_threshold, F.lit(REASON_CONTENT)),
+            F.when(time > 0, F.lit(REASON_TIME)),
+            F.when(~same_source, F.lit(REASON_SOURCE)),
         )
     )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("weak similarity across duplicate signals")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(REASON_NONE)))
 
 
-def least_jaccard(c: DedupConfig, same_source: bool) -> float:
-    """No pair below it can be other than new: all other terms at their most, the sequence ratio at 1. The pair differs in content, so its fingerprint term is the title's at most."""
-    rest = SHARES["title"] + SHARES["time"] + SHARES["source"] * (1 if same_source else OTHER_SOURCE) + SHARES["fingerprint"] * TITLE_FINGERPRINT
+def least_jaccard(c: DedupConfig, same_source: bool, near: bool = True) -> float:
+    """No pair below it can be other than new: all other terms at their most, the sequence ratio at 1. The pair differs in content, so its fingerprint term is the title's at most. Pairs that are not ``near`` in time have no time term."""
+    rest = SHARES["title"] + (SHARES["time"] if near else 0.0) + SHARES["source"] * (1 if same_source else OTHER_SOURCE) + SHARES["fingerprint"] * TITLE_FINGERPRINT
     rest += c.same_source_bonus if same_source else -c.different_source_penalty
     by_score = (c.possible_duplicate_threshold - rest) / SHARES["content"]
     content = min(by_score, c.content_similarity_threshold)
@@ -121,87 +141,114 @@ def _in_lookback(a: Column, b: Column, c: DedupConfig) -> Column:
     return F.coalesce(b >= lookback(a, c.candidate_lookback_days), F.lit(True))
 
 
+#: Parts of a time stamp from coarse to fine; the last level is the time stamp.
+_PARTS = ("year", "month", "day", "hour", "minute")
+
+
 def capped_candidates(rows: DataFrame, c: DedupConfig, cap: int) -> DataFrame:
     """(seq, cand, n): the first ``cap`` earlier rows, by seq, that each row's lookback reaches.
 
-    Every day keeps its first ``cap`` rows, as later ones cannot be among the first of
-    any reach that holds the whole day; only the day on which a reach begins is met row
-    by row.  Undated rows are a day of their own that all reaches hold, and an undated
-    row reaches everything.
+    A reach begins at a point of time and has no end.  It is cut at the parts of that point: the later years, the later
+    months of its year, and so on to its own minute, whose time stamps from that point on it holds.  Each such run has one
+    list of its first ``cap`` rows, so that a row meets one list, found by the point where its reach begins, and never
+    another row.  Undated rows are in all lists, and an undated row's reach begins before all years.
     """
-    dated = rows.select("seq", "published_at", F.to_date("published_at").alias("day"))
-    place = F.row_number().over(Window.partitionBy("day").orderBy("seq"))
-    heads = dated.withColumn("p", place).where(F.col("p") <= cap).select(F.col("seq").alias("cand"), F.col("day").alias("cday"))
-    floor = lookback(F.col("published_at"), c.candidate_lookback_days)
-    asking = dated.select("seq", floor.alias("floor"), F.to_date(floor).alias("fday"))
-    earlier = F.col("cand") < F.col("seq")
-    whole = asking.join(heads, earlier & (F.col("cday").isNull() | F.col("fday").isNull() | (F.col("cday") > F.col("fday"))))
-    edge = asking.join(dated.select(F.col("seq").alias("cand"), F.col("published_at").alias("b"), F.col("day").alias("cday")), (F.col("cday") == F.col("fday")) & earlier & (F.col("b") >= F.col("floor")))
-    found = whole.select("seq", "cand").unionByName(edge.select("seq", "cand"))
-    n = F.row_number().over(Window.partitionBy("seq").orderBy("cand"))
-    return found.withColumn("n", n).where(F.col("n") <= cap)
+    epoch = F.to_timestamp(F.lit("0001-01-01 00:00:00"))
+    firsts = lambda lists: F.slice(F.array_sort(F.flatten(lists)), 1, cap)
+    of = lambda t: [getattr(F, p)(t).alias(p) for p in _PARTS]
+    floor = F.coalesce(lookback(F.col("published_at"), c.candidate_lookback_days).cast("timestamp"), epoch)
+    asking = rows.select("seq", floor.alias("at"))
+    place = F.row_number().over(Window.partitionBy("at").orderBy("seq"))
+    heads = rows.select("seq", F.col("published_at").cast("timestamp").alias("at")).withColumn("p", place).where(F.col("p") <= cap).groupBy("at").agg(F.array_sort(F.collect_list("seq")).alias("list"))
+    # in every list: a value for the plan, of ``cap`` numbers at most
+    undated = [r.seq for r in rows.where("published_at is null").orderBy("seq").select("seq").limit(cap).collect()]
+    none = F.slice(F.array(F.lit(None).cast(rows.schema["seq"].dataType)), 1, 0)
+    points = heads.where("at is not null").unionByName(asking.select("at", none.alias("list")))
+    level = points.groupBy("at").agg(firsts(F.collect_list("list")).alias("list")).select("at", *of(F.col("at")), "list")
+    keys, reach = ["at"], None
+    for k in range(len(_PARTS), -1, -1):
+        above = list(_PARTS[:k])
+        after = Window.partitionBy(*above).orderBy(F.desc("at" if k == len(_PARTS) else _PARTS[k])).rowsBetween(Window.unboundedPreceding, 0 if k == len(_PARTS) else -1)
+        here = level.withColumn("later", firsts(F.collect_list("list").over(after)))
+        own = here.select(*([*_PARTS, "at"] if k == len(_PARTS) else _PARTS[: k + 1]), F.col("later").alias(f"later{k}"))
+        reach = own if reach is None else reach.join(own, list(_PARTS[: k + 1]))
+        level = level.groupBy(*above).agg(firsts(F.collect_list("list")).alias("list")) if above else None
+    lists = reach.select("at", firsts(F.array(*[F.col(f"later{k}") for k in range(len(_PARTS) + 1)], F.concat(none, F.array(*map(F.lit, undated))))).alias("list"))
+    found = asking.join(lists, "at").select("seq", F.posexplode(F.filter("list", lambda x: x < F.col("seq"))).alias("p", "cand"))
+    return found.select("seq", "cand", (F.col("p") + 1).alias("n"))
 
 
 def _capped(df: DataFrame, c: DedupConfig, cap: int | None) -> DataFrame | None:
     return None if cap is None else capped_candidates(df, c, cap).select("seq", "cand")
 
 
-def jaccard_pairs(bags: DataFrame, key: str, tokens_col: str, least: float) -> DataFrame:
-    """(a, b, jaccard) with a > b of all pairs of token sets at ``least`` or more, by prefix filtering.
+def jaccard_classes(bags: DataFrame, key: str, tokens_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal token sets and the links between them: (k, rep) of every row with tokens, and (a, b, jaccard), a > b, of representatives at ``least`` or more.
 
-    Sets are compared through their rarest tokens, and sizes must fit; of equal sets
-    only one is compared, the others share its pairs.
+    The representative is the least key of its class.  Links are found by prefix filtering: sets are compared through their
+    rarest tokens, and sizes must fit.  Copies of a set cost one row each.
     """
     rows = bags.select(F.col(key).alias("k"), F.array_sort(F.col(tokens_col)).alias("toks")).where(F.size("toks") > 0)
     rows = rows.withColumn("h", F.sha2(F.array_join("toks", " "), 256))
-    sets = rows.groupBy("h").agg(F.first("toks").alias("toks"))
-    spread = sets.select("h", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
+    sets = settle(rows.groupBy("h").agg(F.min("k").alias("rep"), F.count("*").alias("n_rows"), F.first("toks").alias("toks")))
+    spread = sets.select("rep", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
     ordered = spread.join(spread.groupBy("tok").agg(F.count("*").alias("df")), "tok")
-    at = F.row_number().over(Window.partitionBy("h").orderBy("df", "tok"))
+    at = F.row_number().over(Window.partitionBy("rep").orderBy("df", "tok"))
     kept = ordered.select("*", at.alias("at")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
-    left, right = kept.select("tok", "h", "n"), kept.select("tok", F.col("h").alias("g"), F.col("n").alias("m"))
-    pairs = left.join(right, "tok").where((F.col("h") > F.col("g")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))).select("h", "g").distinct()
-    pairs = pairs.join(sets, "h").join(sets.select(F.col("h").alias("g"), F.col("toks").alias("gtoks")), "g")
-    pairs = pairs.withColumn("jaccard", jaccard(F.col("toks"), F.col("gtoks"))).where(F.col("jaccard") >= least).select("h", "g", "jaccard")
-    same = sets.select("h", F.col("h").alias("g"), F.lit(1.0).alias("jaccard"))
-    both = pairs.unionByName(pairs.select(F.col("g").alias("h"), F.col("h").alias("g"), "jaccard")).unionByName(same)
-    found = rows.select(F.col("k").alias("a"), "h").join(both, "h").join(rows.select(F.col("k").alias("b"), F.col("h").alias("g")), "g")
-    return found.where("a > b").select("a", "b", "jaccard")
+    left, right = kept.select("tok", F.col("rep").alias("a"), "n"), kept.select("tok", F.col("rep").alias("b"), F.col("n").alias("m"))
+    pairs = left.join(right, "tok").where((F.col("a") > F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))).select("a", "b").distinct()
+    pairs = pairs.join(sets.select(F.col("rep").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("toks").alias("tb")), "b")
+    pairs = pairs.withColumn("jaccard", jaccard(F.col("ta"), F.col("tb"))).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    total = sets.agg(F.sum("n_rows")).first()[0] or 0
+    members = join_hot(rows.select("k", "h"), sets.select("h", "rep", "n_rows"), "h", "n_rows", total).select("k", "rep")
+    return members, pairs
 
 
-def exact_matches(marked: DataFrame, c: DedupConfig, allowed: DataFrame | None = None) -> DataFrame:
-    """(seq, cand, status, confidence, strategy, reason): each article's first exact match in order.
+#: Stands for the day of undated rows, which every reach holds, and for the beginning of an undated article's reach.
+_LAST_DAY, _FIRST_MOMENT = "9999-12-31", "0001-01-01 00:00:00"
+
 
-    With the lookback, the first row of a key may be too old for an article while a
-    later one is not; rows of a key are therefore ranked by a window over the key
-    (sorted, streaming), which looks back for the first row that is young enough.
+def _first_in_reach(rows: DataFrame, c: DedupConfig, total: int) -> DataFrame:
+    """(seq, k_source, m): for rows with a key, m is the first row (cand, cs) of the key, in order, that the row's lookback reaches and that is before it.
+
+    The least ``seq`` of a reach is enough: if that row is not before the article, none is.  A reach is all later days, for
+    which each (key, day) has a running least, and the time stamps from its beginning on of its first day, for which each
+    (key, time stamp) has one.  Rows meet these tables by the beginning of their reach, and never each other.
     """
+    moment = F.to_timestamp(F.lit(_FIRST_MOMENT))
+    at = F.col("published_at").cast("timestamp")
+    asked = rows.withColumn("floor", F.coalesce(lookback(F.col("published_at"), c.candidate_lookback_days).cast("timestamp"), moment))
+    head = F.min(F.struct(F.col("seq").alias("cand"), F.col("k_source").alias("cs"))).alias("m")
+    stamps = rows.groupBy("key", at.alias("t")).agg(head)
+    asks = asked.groupBy("key", "floor").agg(F.count("*").alias("n"))
+    no = F.lit(None).cast(stamps.schema["m"].dataType).alias("m")
+    day = F.coalesce(F.to_date("t"), F.to_date(F.lit(_LAST_DAY)))
+    days = stamps.select("key", day.alias("day"), "m").unionByName(asks.select("key", F.to_date("floor").alias("day"), no)).groupBy("key", "day").agg(F.min("m").alias("m"))
+    later = Window.partitionBy("key").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("key", "day", F.min("m").over(later).alias("after"))
+    points = stamps.where("t is not null").unionByName(asks.select("key", F.col("floor").alias("t"), no)).groupBy("key", "t").agg(F.min("m").alias("m"))
+    here = Window.partitionBy("key", F.to_date("t")).orderBy(F.desc("t"))
+    points = points.select("key", F.col("t").alias("floor"), F.min("m").over(here).alias("same_day"))
+    reach = asks.withColumn("day", F.to_date("floor")).join(days, ["key", "day"]).join(points, ["key", "floor"])
+    reach = reach.select("key", "floor", "n", F.least("after", "same_day").alias("m"))
+    return join_hot(asked, reach, ["key", "floor"], "n", total).where(F.col("m.cand") < F.col("seq")).select("seq", "k_source", "m")
+
+
+def exact_matches(marked: DataFrame, c: DedupConfig, allowed: DataFrame | None = None) -> DataFrame:
+    """(seq, cand, status, confidence, strategy, reason): each article's first exact match in order."""
     found = []
-    for rank, (name, key, sure, why) in enumerate((("canonical_url", "k_url", 1.0, "canonical URL matched an existing document"), ("guid", "k_guid", 0.99, "GUID matched an existing document"), ("content_fingerprint", "fp_content", 0.98, "content fingerprint matched exactly"))):
-        rows = marked.where(F.col(key).isNotNull()).select("seq", "published_at", "k_source", F.col(key).alias("key"))
+    # the keys only: texts are folded and hashed once, and do not move
+    keys = settle(marked.select("seq", "published_at", "k_source", "k_url", "k_guid", "fp_content"))
+    total = keys.count()
+    for rank, (name, key, sure, why) in enumerate(EXACT):
+        rows = keys.where(F.col(key).isNotNull()).select("seq", "published_at", "k_source", F.col(key).alias("key"))
         if allowed is not None:
-            right = rows.select(F.col("seq").alias("cand"), F.col("key"), F.col("k_source").alias("cs"))
-            pairs = rows.join(right, "key").join(allowed, ["seq", "cand"])
-            first = pairs.groupBy("seq").agg(F.min(F.struct("cand", "cs")).alias("m"), F.first("k_source").alias("s"))
+            right = rows.select(F.col("seq").alias("cand"), F.col("key").alias("ckey"), F.col("k_source").alias("cs"))
+            pairs = allowed.join(rows, "seq").join(right, "cand").where("key = ckey")
+            first = pairs.groupBy("seq").agg(F.min(F.struct("cand", "cs")).alias("m"), F.first("k_source").alias("k_source"))
         else:
-            # undated candidates always pass; dated ones pass undated articles, and articles no more than the lookback later
-            earlier = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-            any_row = F.min(F.struct("seq", "k_source")).over(earlier)
-            undated = F.min(F.when(F.col("published_at").isNull(), F.struct("seq", "k_source"))).over(earlier)
-            latest = F.max("published_at").over(earlier)
-            ranked = rows.select("*", any_row.alias("any_row"), undated.alias("undated"), latest.alias("latest")).where("any_row is not null")
-            floor = lookback(F.col("published_at"), c.candidate_lookback_days)
-            open_ = F.col("published_at").isNull()
-            sure_new = ranked.where(open_ | (F.col("latest") >= floor) | F.col("undated").isNotNull())
-            # where the earliest row of the key is young enough, or the article undated, it is the answer; else look among the key's rows
-            simple = sure_new.join(rows.select(F.col("seq").alias("fs"), F.col("published_at").alias("fp")), F.col("any_row.seq") == F.col("fs"))
-            simple = simple.withColumn("ok", open_ | F.col("fp").isNull() | (F.col("fp") >= floor))
-            direct = simple.where("ok").select("seq", F.struct(F.col("any_row.seq").alias("cand"), F.col("any_row.k_source").alias("cs")).alias("m"), F.col("k_source").alias("s"))
-            late = simple.where("not ok").select("seq", "key", "published_at", "k_source")
-            right = rows.select(F.col("seq").alias("cand"), "key", F.col("published_at").alias("b"), F.col("k_source").alias("cs"))
-            searched = late.join(right, "key").where((F.col("cand") < F.col("seq")) & _in_lookback(F.col("published_at"), F.col("b"), c))
-            first = direct.unionByName(searched.groupBy("seq").agg(F.min(F.struct("cand", "cs")).alias("m"), F.first("k_source").alias("s")))
-        same = F.coalesce(F.col("s") == F.col("m.cs"), F.lit(False))
+            first = _first_in_reach(rows, c, total)
+        same = F.coalesce(F.col("k_source") == F.col("m.cs"), F.lit(False))
         across = (F.lit(name) == "content_fingerprint") & ~same
         found.append(
             first.select(
@@ -214,8 +261,7 @@ def exact_matches(marked: DataFrame, c: DedupConfig, allowed: DataFrame | None =
                 F.when(across, F.lit(why + " across different sources")).otherwise(F.lit(why)).alias("reason"),
             )
         )
-    every = reduce(DataFrame.unionByName, found)
-    best = every.groupBy("seq").agg(F.min(F.struct("cand", "rank", "status", "confidence", "strategy", "reason")).alias("m"))
+    best = union_all(found).groupBy("seq").agg(F.min(F.struct("cand", "rank", "status", "confidence", "strategy", "reason")).alias("m"))
     return best.select("seq", "m.cand", "m.status", "m.confidence", "m.strategy", F.array("m.reason").alias("reasons"))
 
 
@@ -225,36 +271,57 @@ def candidate_pairs(marked: DataFrame, c: DedupConfig) -> DataFrame:
     Two sets of Jaccard similarity t or more share one of their first
     n - ceil(t n) + 1 tokens in any common order.  The order is by document
     frequency, so prefixes hold rare tokens and their lists stay short.  Pairs of one
-    source have a bound of their own and join on source and token.
+    source have bounds of their own: the low one holds only for pairs within the
+    publication window, which meet by source and by window of time.
     """
+    window = F.lit(int(c.publication_window_hours * 3_600_000_000))
     bag = marked.where("t_content <> ''").select("seq", "published_at", "k_source", tokens(F.col("t_content")).alias("toks")).withColumn("n", F.size("toks"))
     spread = bag.select("seq", "published_at", "k_source", "n", F.explode("toks").alias("tok"))
     ordered = spread.join(spread.groupBy("tok").agg(F.count("*").alias("df")), "tok")
     place = F.row_number().over(Window.partitionBy("seq").orderBy("df", "tok"))
-    ordered = ordered.select("*", place.alias("at"))
+    ordered = settle(ordered.select("seq", "published_at", "k_source", "n", "tok", place.alias("at")))
     out = []
-    for same in (False, True):
-        t = least_jaccard(c, same)
+    for same, near in ((False, True), (True, False), *([(True, True)] if c.publication_window_hours > 0 else [])):
+        t = least_jaccard(c, same, near)
         kept = ordered.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(t)) + 1) if t > 0 else ordered
-        a = kept.select("tok", "seq", "published_at", "k_source", "n")
-        b = kept.select("tok", F.col("seq").alias("cand"), F.col("published_at").alias("b"), F.col("k_source").alias("cs"), F.col("n").alias("m"))
-        keys = ["tok"] if not same else [a.tok == b.tok, a.k_source == b.cs]
+        slot = F.floor(F.unix_micros(F.col("published_at").cast("timestamp")) / window) if same and near else F.lit(0)
+        a = kept.select("tok", "seq", "published_at", "k_source", "n", slot.alias("slot"))
+        b = kept.select("tok", F.col("seq").alias("cand"), F.col("published_at").alias("b"), F.col("k_source").alias("cs"), F.col("n").alias("m"), slot.alias("cslot"))
+        keys = [a.tok == b.tok]
+        if same:
+            keys.append(a.k_source == b.cs)
+        if same and near:  # a window reaches its own slot and the two beside it
+            b = b.withColumn("cslot", F.explode(F.array(*[F.col("cslot") + k for k in (-1, 0, 1)])))
+            keys = [a.tok == b.tok, a.k_source == b.cs, a.slot == b.cslot]
         pairs = a.join(b, keys).where((F.col("cand") < F.col("seq")) & (F.least("n", "m") >= F.lit(t) * F.greatest("n", "m")) & _in_lookback(F.col("published_at"), F.col("b"), c))
         out.append(pairs.select("seq", "cand").distinct())
-    return out[0].unionByName(out[1]).distinct()
+    return union_all(out).distinct()
 
 
-def similarity_matches(marked: DataFrame, pairs: DataFrame, c: DedupConfig) -> DataFrame:
-    """Best scored candidate of each article that is more than new."""
+def similarity_matches(marked: DataFrame, pairs: DataFrame, c: DedupConfig, similarity: Similarity | None = None) -> DataFrame:
+    """Best scored candidate of each article that is more than new. The default algorithms are pruned by their bounds; given ones are run on every pair."""
     side = ["seq", "published_at", "k_source", "t_title", "t_content", "fp_title", "fp_combined"]
     a = marked.select(*[F.col(x) for x in side])
     b = marked.select(*[F.col(x).alias(x if x == "seq" else f"c_{x}") for x in side]).withColumnRenamed("seq", "cand")
     both = pairs.join(a, "seq").join(b, "cand").withColumn("same", F.coalesce(F.col("k_source") == F.col("c_k_source"), F.lit(False)))
-    both = both.withColumn("j", jaccard(tokens(F.col("t_content")), tokens(F.col("c_t_content"))))
-    both = both.where(F.col("j") >= F.when(F.col("same"), F.lit(least_jaccard(c, True))).otherwise(F.lit(least_jaccard(c, False))))
     both = both.withColumn("time", proximity(F.col("published_at"), F.col("c_published_at"), c.publication_window_hours))
     both = both.withColumn("fingerprint", F.when(F.col("fp_combined") == F.col("c_fp_combined"), 1.0).when(F.col("fp_title") == F.col("c_fp_title"), TITLE_FINGERPRINT).otherwise(0.0))
-    # titles are short and go first; with them known, a pair stays only if its content can still reach a threshold
+    if similarity is None:
+        both = _pruned_scores(both, c)
+    else:
+        both = both.withColumn("title", similarity.titles(F.col("t_title"), F.col("c_t_title"))).withColumn("content", similarity.contents(F.col("t_content"), F.col("c_t_content")))
+    args = (F.col("title"), F.col("content"), F.col("time"), F.col("same"))
+    both = both.withColumn("confidence", confidence(*args, F.col("fingerprint"), c)).withColumn("status", status(F.col("confidence"), F.col("content"), F.col("title"), F.col("same"), c))
+    both = both.where("status <> 'new_document'")
+    row = F.struct((-F.col("confidence")).alias("o"), "cand", "status", "confidence", reasons(*args, c).alias("reasons"))
+    best = both.groupBy("seq").agg(F.min(row).alias("m"))
+    return best.select("seq", "m.cand", "m.status", "m.confidence", F.lit("similarity_scoring").alias("strategy"), "m.reasons")
+
+
+def _pruned_scores(both: DataFrame, c: DedupConfig) -> DataFrame:
+    """Adds title and content, and drops pairs that cannot reach a threshold. Titles are short and go first; with them known, a pair stays only if its content can still reach one."""
+    both = both.withColumn("j", jaccard(tokens(F.col("t_content")), tokens(F.col("c_t_content"))))
+    both = both.where(F.col("j") >= F.when(F.col("same"), F.lit(least_jaccard(c, True))).otherwise(F.lit(least_jaccard(c, False))))
     both = both.withColumn("title", sequence_ratio(F.col("t_title"), F.col("c_t_title")))
     by_pair = F.when(F.col("title") >= c.title_similarity_threshold, F.lit(float(c.content_similarity_threshold))).otherwise(F.lit(2.0))
     start = SHARES["title"] * F.col("title") + SHARES["time"] * F.col("time") + F.when(F.col("same"), SHARES["source"] + c.same_source_bonus).otherwise(SHARES["source"] * OTHER_SOURCE - c.different_source_penalty) + SHARES["fingerprint"] * F.col("fingerprint")
@@ -263,28 +330,45 @@ def similarity_matches(marked: DataFrame, pairs: DataFrame, c: DedupConfig) -> D
     la, lb = F.length("t_content"), F.length("c_t_content")
     both = both.withColumn("least", least).where(F.col("least") <= 2.0 * F.least(la, lb) / (la + lb))
     both = both.withColumn("s", sequence_ratio_from(F.col("t_content"), F.col("c_t_content"), F.col("least"))).where("s >= 0")
-    both = both.withColumn("content", TOKEN_SHARE * F.col("j") + SEQUENCE_SHARE * F.col("s"))
-    args = (F.col("title"), F.col("content"), F.col("time"), F.col("same"))
-    both = both.withColumn("confidence", confidence(*args, F.col("fingerprint"), c)).withColumn("status", status(F.col("confidence"), F.col("content"), F.col("title"), F.col("same"), c))
-    both = both.where("status <> 'new_document'")
-    row = F.struct((-F.col("confidence")).alias("o"), "cand", "status", "confidence", reasons(*args, c).alias("reasons"))
-    best = both.groupBy("seq").agg(F.min(row).alias("m"))
-    return best.select("seq", "m.cand", "m.status", "m.confidence", F.lit("similarity_scoring").alias("strategy"), "m.reasons")
+    return both.withColumn("content", TOKEN_SHARE * F.col("j") + SEQUENCE_SHARE * F.col("s"))
 
 
-def analyze(articles: DataFrame, config: DedupConfig | None = None, cap: int | None = None, exact_text: bool = False, id_col: str = "document_id") -> DataFrame:
-    """(id, seq, status, matched id, confidence, strategy, reasons) for every article of an ordered batch (``seq`` unique)."""
+#: Gives (seq, cand) pairs to compare for an ordered batch.
+CandidateSource = Callable[[DataFrame, DedupConfig], DataFrame]
+
+
+def analyze(
+    articles: DataFrame,
+    config: DedupConfig | None = None,
+    cap: int | None = None,
+    exact_text: bool = False,
+    id_col: str = "document_id",
+    similarity: Similarity | None = None,
+    candidates: CandidateSource | None = None,
+    asking: Column | None = None,
+) -> DataFrame:
+    """(id, seq, status, matched id, confidence, strategy, reasons) for every article of an ordered batch (``seq`` unique).
+
+    ``similarity`` replaces the algorithms, ``candidates`` where pairs come from (it sees the rows with their identity
+    columns). Other algorithms have no bound that prunes, so they need ``candidates`` or ``cap``. ``asking`` picks the rows
+    that want an answer: others are candidates only.
+    """
     c = config or DedupConfig()
+    if similarity is not None and cap is None and candidates is None:
+        raise ValueError("a replaced similarity needs candidates or a cap")
     if "published_at" not in articles.columns:
         articles = articles.withColumn("published_at", F.lit(None).cast("timestamp"))
     marked = fingerprints(articles, exact_text)
-    allowed = _capped(marked, c, cap)
+    wanted = marked if asking is None else marked.where(asking)
+    allowed = candidates(marked, c).select("seq", "cand").where("cand < seq") if candidates is not None else _capped(marked, c, cap)
     exact = exact_matches(marked, c, allowed)
     rest = candidate_pairs(marked, c) if allowed is None else allowed
-    near = similarity_matches(marked, rest.join(exact.select("seq"), "seq", "left_anti"), c)
+    if asking is not None:
+        exact, rest = exact.join(wanted.select("seq"), "seq", "left_semi"), rest.join(wanted.select("seq"), "seq", "left_semi")
+    near = similarity_matches(marked, rest.join(exact.select("seq"), "seq", "left_anti"), c, similarity)
     found = exact.unionByName(near)
     ids = marked.select(F.col("seq").alias("cand"), F.col(id_col).alias("matched_id"))
-    out = marked.select(id_col, "seq").join(found.join(ids, "cand"), "seq", "left")
+    out = wanted.select(id_col, "seq").join(found.join(ids, "cand"), "seq", "left")
     return out.select(
         id_col,
         "seq",
@@ -297,33 +381,13 @@ def analyze(articles: DataFrame, config: DedupConfig | None = None, cap: int | N
 
 
 def clusters(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame:
-    """(node, canonical): smallest node reachable over edges (a, b), itself included, by exchange of least labels.
-
-    Each round every node takes the least label of its neighbours and then its
-    label's label, so long chains shrink fast; rounds stop when nothing moves.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = _settled(both)
-    labels = _settled(nodes.select(F.col(node).alias("n"), F.col(node).alias("l")))
-    while True:
-        near = both.join(labels, both.b == labels.n).groupBy("a").agg(F.min("l").alias("m"))
-        moved = labels.join(near, labels.n == near.a, "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l1"), F.col("l").alias("l0"))
-        jump = moved.alias("x").join(moved.select(F.col("n").alias("jn"), F.col("l1").alias("jl")), F.col("x.l1") == F.col("jn"), "left")
-        new = _settled(jump.select("n", F.least("l1", F.coalesce("jl", "l1")).alias("l"), "l0"))
-        if not new.where("l <> l0").limit(1).count():
-            return new.select(F.col("n").alias(node), F.col("l").alias("canonical"))
-        labels = new.select("n", "l")
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Cut off lineage through the session's shared checkpoint folder."""
-    from newsloom.sources.tables import settle
-
-    return settle(df)
+    """(node, canonical): smallest node reachable over edges (a, b), itself included."""
+    roots = connected(edges.select("a", "b"), "clusters").toDF("n", "root")
+    return nodes.join(roots, F.col(node) == F.col("n"), "left").select(node, F.coalesce("root", node).alias("canonical"))
 
 
 def first_wins(entries: DataFrame, keys: list[Column], order: list[Column], within: list[Column] = ()) -> DataFrame:
     """Keep the first row, in order, of each value of the first key that is not null; rows without any key share one."""
     key = F.coalesce(*keys, F.lit("\0none"))
-    n = F.row_number().over(Window.partitionBy(*within, key).orderBy(*order))
+    n = F.row_number().over(Window.partitionBy(*within, key).orderBy(*order))  # the engine cuts such a window to a row a task before it shuffles
     return entries.withColumn("_n", n).where("_n = 1").drop("_n")

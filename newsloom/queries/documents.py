@@ -144,14 +144,17 @@ TOKENS = f"list_distinct(regexp_extract_all({CONTENT}, '[\\p{{L}}\\p{{N}}_]+'))"
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, {TOKENS} AS k FROM documents), u AS (SELECT doc_id, len(k) AS n, unnest(k) AS tok FROM t),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS hit FROM u a JOIN u b ON a.tok = b.tok AND a.doc_id > b.doc_id GROUP BY 1, 2)
-SELECT a AS doc_id, b AS other_id, round(hit / (na + nb - hit), 6) AS jaccard FROM p WHERE hit / (na + nb - hit) >= 0.7"""
+    f"""WITH t AS (SELECT doc_id, list_sort({TOKENS}) AS k FROM documents), r AS (SELECT k, min(doc_id) AS rep FROM t WHERE len(k) > 0 GROUP BY k), u AS (SELECT rep, len(k) AS n, unnest(k) AS tok FROM r),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS hit FROM u a JOIN u b ON a.tok = b.tok AND a.rep > b.rep GROUP BY 1, 2)
+SELECT a AS doc_id, b AS other_id, round(hit / (na + nb - hit), 6) AS jaccard, 'link' AS kind FROM p WHERE hit / (na + nb - hit) >= 0.7
+UNION ALL SELECT doc_id, rep, 1.0, 'copy' FROM t JOIN r USING (k) WHERE doc_id <> rep"""
 )
 def token_jaccard_pairs(load):
+    """Links between classes of equal token sets, and each copy with its class's representative."""
     bags = articles(load).select("doc_id", text.tokens(text.fold_content(F.col("text"))).alias("toks"))
-    found = dedup.jaccard_pairs(bags, "doc_id", "toks", 0.7)
-    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), F.round("jaccard", 6).alias("jaccard"))
+    members, links = dedup.jaccard_classes(bags, "doc_id", "toks", 0.7)
+    links = links.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), F.round("jaccard", 6).alias("jaccard"), F.lit("link").alias("kind"))
+    return links.unionByName(members.where("k <> rep").select(F.col("k").alias("doc_id"), F.col("rep").alias("other_id"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind")))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -45,16 +46,30 @@ def find_one(df: DataFrame, **equal) -> DataFrame:
     return found
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write to the folder in spark.checkpoint.dir and read back, which cuts lineage. A folder of our own is set only where none is."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder URI below the folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset a local session gets a folder of its own, kept outside the session's settings; a cluster raises, as
+    executors do not see each other's folders.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_base(spark.sparkContext.applicationId)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@functools.lru_cache(maxsize=8)
+def _local_base(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="newsloom-")
+
+
+def settle(df: DataFrame, label: str = "settled", codec: str = "zstd") -> DataFrame:
+    """Write to the shared folder and read back, which cuts lineage."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def archive(df: DataFrame, path: str, time_col: str, before: Column, fmt: str = "parquet") -> None:

@@ -126,3 +126,72 @@ def test_first_wins(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", "x"), (3, None, "x"), (4, None, None), (5, None, None)], "n int, k string, j string")
     kept = dedup.first_wins(df, [F.col("k"), F.col("j")], [F.col("n")])
     assert sorted(r.n for r in kept.collect()) == [1, 3, 4]
+
+
+def test_capped_candidates_equal_a_scan_in_order(spark):
+    rng = random.Random(4)
+    times = [AT + timedelta(days=rng.randrange(60), hours=rng.randrange(24), seconds=rng.choice((0, 0, 5, 3599)), microseconds=rng.choice((0, 7))) for _ in range(40)]
+    rows = [(k, rng.choice([*times, None])) for k in range(160)]
+    df = spark.createDataFrame(rows, "seq long, published_at timestamp")
+    for cap in (1, 3, 50):
+        want = set()
+        for k, at in rows:
+            able = [j for j, b in rows[:k] if at is None or b is None or b >= at - timedelta(days=14)]
+            want |= {(k, j, n + 1) for n, j in enumerate(able[:cap])}
+        assert {tuple(r) for r in dedup.capped_candidates(df, DedupConfig(), cap).collect()} == want
+
+
+def test_exact_matches_equal_a_scan_where_a_third_share_a_key(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([None, *[AT + timedelta(days=d, seconds=rng.randrange(3)) for d in (0, 1, 13, 14, 15, 30)]]), "hot" if k % 3 == 0 else f"h{rng.randrange(30)}", rng.choice("ab")) for k in range(200)]
+    df = spark.createDataFrame([(*r[:2], r[3], None, None, r[2]) for r in rows], "seq long, published_at timestamp, k_source string, k_url string, k_guid string, fp_content string")
+    want = {}
+    for k, at, key, _ in rows:
+        able = [j for j, b, other, _ in rows[:k] if other == key and (at is None or b is None or b >= at - timedelta(days=14))]
+        if able:
+            want[k] = able[0]
+    made = dedup.exact_matches(df, DedupConfig())
+    assert {r.seq: r.cand for r in made.collect()} == want
+
+
+def test_no_nested_loops(spark, capsys):
+    df = spark.createDataFrame([(k, AT, "s", None, None, "x") for k in range(5)], "seq long, published_at timestamp, k_source string, k_url string, k_guid string, fp_content string")
+    for made in (dedup.exact_matches(df, DedupConfig()), dedup.capped_candidates(df, DedupConfig(), 2)):
+        made.explain("formatted")
+        text = capsys.readouterr().out
+        assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_algorithm_and_candidates_can_be_replaced(spark):
+    from newsloom.functions.similarity import Similarity
+
+    rows = [{"url": f"https://e.org/{k}", "title": f"t{k}", "body": f"body {k}", "source": "s"} for k in range(4)]
+    half = Similarity(title=lambda a, b: F.lit(0.5), content=lambda a, b: F.lit(7.0))
+    pairs = lambda marked, c: marked.sparkSession.createDataFrame([(3, 1), (2, 0), (1, 3)], "seq long, cand long")
+    got = run(spark, *rows, similarity=half, candidates=pairs)
+    # .12 * .5 + .58 * 1 (clamped) + .12 + .08 + .05
+    assert got[3].matched_id == "d1" and got[2].matched_id == "d0" and got[3].confidence == pytest.approx(0.89)
+    assert got[1].status == "new_document"
+    with pytest.raises(ValueError):
+        run(spark, *rows, similarity=half)
+
+
+def test_only_the_rows_that_ask_are_answered(spark):
+    rows = [{"url": "https://e.org/a", "body": "x"}] * 4
+    assert {k: v.matched_id for k, v in run(spark, *rows, asking=F.col("seq") > 1).items()} == {2: "d0", 3: "d0"}
+
+
+def test_classes_of_equal_sets(spark):
+    df = spark.createDataFrame([(k, ["a", "b", "c", "d"] if k < 30 else ["a", "b", "c", "d", "e"]) for k in range(40)] + [(50, []), (51, ["z"])], "k long, toks array<string>")
+    members, links = dedup.jaccard_classes(df, "k", "toks", 0.7)
+    assert {r.k: r.rep for r in members.collect()} == {**{k: 0 for k in range(30)}, **{k: 30 for k in range(30, 40)}, 51: 51}
+    assert [(r.a, r.b, r.jaccard) for r in links.collect()] == [(30, 0, 0.8)]
+
+
+def test_components_of_a_hub_and_a_chain(spark, monkeypatch):
+    from newsloom.operators import components
+
+    monkeypatch.setattr(components, "HOT_LEAST", 3)
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1060)]
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(400)}, **{k: 1000 for k in range(1000, 1061)}}
