@@ -165,14 +165,17 @@ SOURCES = "source string, number long, source_size long, target double, n_blocks
 
 
 def _spread(sized: DataFrame) -> DataFrame:
-    """A hash of its own for each of several equal rows: they are numbered within their partition, after those of the partitions before."""
-    here = Window.partitionBy("h", "part").orderBy("doc", "size")
-    earlier = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = sized.groupBy("h", "part").agg(F.count("*").alias("n"))
-    bases = counts.select("h", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    numbered = sized.withColumn("number", F.row_number().over(here) - 1).join(bases, ["h", "part"])
-    number = (F.col("number") + F.col("base")).cast("long")
-    return numbered.withColumn("h", F.when(number == 0, F.col("h")).otherwise(F.xxhash64("h", number))).drop("part", "number", "base")
+    """A hash of its own for each of several equal rows: rows of one partition are counted, numbered after those of the partitions before, and dealt out again."""
+    carried = "carried" in sized.columns
+    same = [c for c in sized.columns if c != "carried"]
+    counts = sized.groupBy(*same).agg(F.collect_list("carried").alias("rows") if carried else F.count("*").alias("n"))
+    n = F.size("rows") if carried else F.col("n")
+    earlier = Window.partitionBy("h").orderBy("part", "doc", "source", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.withColumn("base", F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+    each = F.posexplode("rows").alias("k", "carried") if carried else F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("k")
+    dealt = numbered.select(*[c for c in same if c != "part"], "base", each)
+    number = (F.col("base") + F.col("k")).cast("long")
+    return dealt.withColumn("h", F.when(number == 0, F.col("h")).otherwise(F.xxhash64("h", number))).drop("base", "k")
 
 
 def mix(

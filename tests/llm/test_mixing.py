@@ -127,7 +127,7 @@ def test_taken_is_what_a_replay_of_the_draws_takes(spark):
 
 def test_repeated_rows_are_spread_and_rerun_alike(spark):
     df = spark.createDataFrame([(1, "a b c", "s")] * 500 + [(k, "d e", "t") for k in range(50)], "doc_id long, text string, source string")
-    spread = mixing._spread(df.select(F.col("doc_id").alias("doc"), F.lit(3).alias("size"), F.xxhash64("doc_id", "text").alias("h"), F.spark_partition_id().alias("part")))
+    spread = mixing._spread(df.select(F.col("doc_id").alias("doc"), F.col("source"), F.lit(3).alias("size"), F.xxhash64("doc_id", "text").alias("h"), F.spark_partition_id().alias("part")))
     assert spread.select("h").distinct().count() == 51 + 499
     key = lambda d: sorted((r.doc_id, r.taken) for r in mixing.mix(d, block=16).collect())
     assert key(df.repartition(5)) == key(df.coalesce(1))
