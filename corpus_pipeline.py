@@ -6,11 +6,12 @@ it reads from there.  All stages but the last return the columns of documents.
 
 * quality: documents that the classifier rejects go.
 * simhash: of each group of near copies (five-word shingles, Jaccard .8 or more,
-  verified on the whole texts) the document with the smallest id stays; operator
-  6's two bits are its contract and not used here, see ``newsloom.llm.shingles``.
+  verified on the whole texts) the document with the smallest id stays; candidates
+  come from operator 6's index and, for links its bits do not guarantee, from
+  prefixes, see ``newsloom.llm.shingles``.
 * secrets: spans are replaced by ``[SECRET]``, documents stay; ``n_chars`` follows.
-* mixing: each source is drawn to its target; a document drawn twice is two rows,
-  one drawn in part holds the words drawn.
+* mixing: each source is drawn to its target in whole documents; a document drawn
+  twice is two rows.
 * bpe: ids of every text, packed, with digests of the ids and of what they decode to.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, mixing, quality, secrets, shingles
-from newsloom.llm.common import materialize
+from newsloom.sources.tables import discard, scratch, shared_dir
 
 #: No SQL form: training, sampling and tokenizing have none.
 ORACLE_SQL = None
@@ -70,7 +71,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_dir(spark, f"stage-{name}")
+        with scratch(spark):  # what a stage wrote on its way goes when its rows are written
+            made = stage(spark, docs, sf_dir)
+            made.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,7 +59,36 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_base(spark.sparkContext.applicationId)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if (made := _SCRATCH.get()) is not None:
+        made.append(path)
+    return path
+
+
+#: Folders made within a ``scratch`` block.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders that are made within the block are deleted at its end: what is to stay is written elsewhere before."""
+    token = _SCRATCH.set([])
+    try:
+        yield
+    finally:
+        made = _SCRATCH.get()
+        _SCRATCH.reset(token)
+        for path in made:
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    _filesystem(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 @functools.lru_cache(maxsize=8)
@@ -66,9 +97,10 @@ def _local_base(application: str) -> str:
 
 
 def settle(df: DataFrame, label: str = "settled", codec: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read back, which cuts lineage."""
+    """Write to the shared folder and read back, which cuts lineage. The table goes with the driver, or with a ``scratch`` block."""
     path = shared_dir(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
+    _filesystem(df.sparkSession, path).deleteOnExit(df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
