@@ -2,41 +2,24 @@
 
 Shared storage: intermediate tables are cut off from their lineage by writing
 them below the folder named in ``spark.checkpoint.dir`` (shared by all
-executors), so a lost executor costs a re-read and not a wrong result.  Only
-where that setting is absent (tests, a laptop) is a folder of our own set.
+executors), so a lost executor costs a re-read and not a wrong result; see
+``newsloom.sources.tables``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.sources.tables import settle as materialize  # noqa: F401  under the name in use here
+from newsloom.sources.tables import shared_dir  # noqa: F401
+
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder URI below the session's checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,22 +1,24 @@
-"""Near copies by the Jaccard similarity of word shingles, for the pipeline.
+"""SimHash near-dedup by similarity: near copies at a Jaccard of ``LEAST`` or more, for the pipeline.
 
 Two texts link if the sets of their shingles of ``width`` words (the words of
-operator 6, A-Z folded) have a Jaccard of ``LEAST`` or more.  SimHash is not
-used to find them: at that similarity fingerprints differ in 3 to 11 bits and
-more, and beyond seven bits not even one positional byte need be shared, so no
-radius of the byte index covers the links.
-
-Search by prefixes, which loses no link: each text's shingles stand in one
-order common to all texts, and texts that link share one of the first
-n - ceil(LEAST n) + 1.  The order is by hash, after it come the shingles that
-are frequent in a sample (any order is right; this one keeps lines that many
-texts hold out of the prefixes).  Pairs that meet are counted; what is shared up
-to the earlier end of the two prefixes, and all of that text's other shingles,
-bound the overlap.  Pairs within the bound are verified by the Jaccard of the
-whole texts.  Shingles are compared by 62 bits of XXH64.
-
-Texts of equal sets are one node from the start, so copies cost one row each.  A
-group of k near copies that are not equal costs k * k / 2 pairs.
+operator 6, A-Z folded) have a Jaccard of ``LEAST`` or more.  Every link is
+verified on whole texts; no link is lost.  Operator 6's index goes first: nodes
+whose fingerprints (of these shingles) are equal or within ``BITS`` bits are
+candidates.  At a Jaccard of .8 fingerprints differ in 3 to 11 bits and more,
+and beyond seven bits not even one positional byte need be shared, so the rest is
+found by prefixes, which is exact: each text's shingles stand in one order common
+to all texts, and texts that link share one of the first n - ceil(LEAST n) + 1.
+The order is by hash, after it come the shingles that are frequent in a sample
+(any order is right; this one keeps lines that many texts hold out of the
+prefixes).  Shingles are compared by 62 bits of XXH64.
+
+A group of k near copies does not cost k * k / 2 pairs.  Rounds of stars come
+first: in the postings of the prefixes each node meets one other node of a size
+that allows a link, each node's best one is verified, and components grow.  Only
+then do all nodes of a posting that are still in different components meet;
+these pairs are counted, what is shared up to the earlier end of the two prefixes,
+and all of that text's other shingles, bound the overlap, and what passes is
+verified.  Texts of equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.components import connected, join_hot
+
 from .common import materialize, pick, slices, utf8_buffer
-from .simhash import FOLD, SEED, connected
+from .simhash import fingerprint_edges, shingle_hashes, votes
 
 #: The least Jaccard of a link, as a fraction.
 LEAST = (4, 5)
@@ -38,19 +42,16 @@ SAMPLE, OFTEN, FREQUENT = 20_000, 5, 1 << 16
 #: A frequent shingle's place in the order: above all hashes.
 LATE = np.uint64(1 << 62)
 
+#: Differing bits up to which operator 6's index gives candidates, rounds of stars at most, and candidates' ids that are broadcast at most.
+BITS, STARS, BROADCAST_IDS = 2, 4, 1 << 20
+
 #: Pairs sent at once.
 PAIRS = 1 << 18
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Hashes of the text's distinct shingles, ascending; fewer words than the width give one shingle of them all."""
-    from xxhash import xxh64_intdigest
-
-    words = text.translate(FOLD).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    parts = map(b" ".join, zip(*[words[i:] for i in range(width)])) if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in parts], np.uint64) >> np.uint64(2))
+    """62-bit hashes of the text's distinct shingles, ascending."""
+    return np.unique(shingle_hashes(text, width) >> np.uint64(2))
 
 
 def prefix_length(n: int) -> int:
@@ -86,16 +87,17 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
-    """(row, digest of the set, n, tokens of the prefix in order)."""
+    """(row, fingerprint, digest of the set, n, tokens of the prefix in order)."""
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
+                hashes = [shingle_hashes(x, width) for x in _byte_texts(part.column(1))]
                 digest, n, prefix = [], [], []
-                for text in _byte_texts(part.column(1)):
-                    found = shingle_set(text, width)
+                for found in hashes:
+                    found = np.unique(found >> np.uint64(2))
                     late = np.isin(found, frequent, assume_unique=True)
                     digest.append(xxh3_128_digest(found.tobytes()))
                     n.append(len(found))
@@ -103,62 +105,128 @@ def _sketches(rows: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
                     prefix.append(ordered[: prefix_length(len(found))].view(np.int64))
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), tokens], names=["row", "digest", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(votes(hashes).view(np.int64)), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), tokens], names=["row", "fp", "digest", "n", "tokens"])
 
-    return rows.mapInArrow(run, "row long, digest binary, n int, tokens array<long>")
+    return rows.mapInArrow(run, "row long, fp long, digest binary, n int, tokens array<long>")
 
 
-def meeting_pairs(token: np.ndarray, row: np.ndarray, n: np.ndarray):
-    """(a, b, shared) for rows that stand under one token and whose sizes allow a link; entries are in order of token and n. Pairs come in parts: sums over all are the shared tokens."""
-    a, b, held = [], [], 0
+def _postings(df: DataFrame, names: tuple[str, ...], work, schema: str) -> DataFrame:
+    """``work`` (arrays of columns ``names``, whole postings of tokens in order of token, n and row) of each partition, batch by batch; a posting is in one partition."""
+    placed = df.select(*names).repartition("token").sortWithinPartitions("token", "n", "row")
+
+    def run(batches):
+        left = [np.zeros(0, np.int64)] * len(names)
+        for batch in batches:
+            now = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, x in enumerate(left)]
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last token may go on in the next batch
+            if cut:
+                yield from work(*[x[:cut] for x in now])
+            left = [x[cut:] for x in now]
+        if len(left[0]):
+            yield from work(*left)
+
+    return placed.mapInArrow(run, schema)
+
+
+def _shared_entries(nodes: DataFrame) -> DataFrame:
+    """(token, row, n) of the prefix tokens that more than one node has."""
+
+    def work(token, row, n):
+        apart = token[1:] != token[:-1]
+        alone = np.concatenate([[True], apart]) & np.concatenate([apart, [True]])
+        yield pa.RecordBatch.from_arrays([pa.array(x[~alone]) for x in (token, row, n)], names=["token", "row", "n"])
+
+    return _postings(nodes.select("row", "n", F.explode("tokens").alias("token")), ("token", "row", "n"), work, "token long, row long, n long")
+
 
-    def sums():
-        pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        at = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)]))
-        return pairs[at, 0], pairs[at, 1], np.diff(np.append(at, len(pairs)))
-
-    first, apart = np.arange(len(token)), 0
-    while True:
-        apart += 1
-        first = first[first + apart < len(token)]
-        other = first + apart
-        near = (token[first] == token[other]) & (LEAST[0] * n[other] <= LEAST[1] * n[first])
-        first = first[near]
-        if not len(first):
-            break
-        x, y = row[first], row[first + apart]
-        a.append(np.minimum(x, y))
-        b.append(np.maximum(x, y))
-        held += len(first)
-        if held > PAIRS:
-            yield sums()
-            a, b, held = [], [], 0
+def star_pairs(token: np.ndarray, row: np.ndarray, n: np.ndarray, label: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pivot, row): each entry and one entry of its posting, of another component and of a size that allows a link; which one differs by turn: the smallest, or the next in order."""
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    rank = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
+    if turn % 2 == 0:
+        least = -(-LEAST[0] * n // LEAST[1])
+        pivot = np.searchsorted(rank * (1 << 40) + n, rank * (1 << 40) + least)
+    else:
+        pivot = np.maximum(np.arange(len(token)) - 1, begin[rank])
+    able = (label[pivot] != label) & (LEAST[0] * n <= LEAST[1] * n[pivot])
+    return row[pivot[able]], row[able]
+
+
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, smaller row first, and how often each occurs."""
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    at = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])) if len(pairs) else np.zeros(0, np.int64)
+    return pairs[at, 0], pairs[at, 1], np.diff(np.append(at, len(pairs)))
+
+
+def cross_pairs(token: np.ndarray, row: np.ndarray, n: np.ndarray, label: np.ndarray):
+    """(a, b, shared) for rows of different components that stand under one token and whose sizes allow a link; entries are in order of token and n.
+
+    In a posting, rows outside its largest component meet the others, so a
+    posting of one component costs nothing. Pairs come in parts: sums over all
+    are the shared tokens.
+    """
+    a, b, held = [], [], 0
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(token))
+    mixed = np.flatnonzero(np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)) if len(begin) else []
+    for k in mixed:
+        lo, hi = begin[k], end[k]
+        own, size, at = label[lo:hi], n[lo:hi], row[lo:hi]
+        if hi - lo == 2:
+            if LEAST[0] * size[1] <= LEAST[1] * size[0]:
+                a.append(at[:1])
+                b.append(at[1:])
+                held += 1
+        else:
+            values, where, times = np.unique(own, return_inverse=True, return_counts=True)
+            others = where != int(np.argmax(times))
+            for i in np.flatnonzero(others):
+                first = int(np.searchsorted(size, -(-LEAST[0] * size[i] // LEAST[1])))
+                last = int(np.searchsorted(size, LEAST[1] * size[i] // LEAST[0], "right"))
+                met = np.arange(first, last)
+                met = met[(own[met] != own[i]) & (~others[met] | (met > i))]
+                a.append(np.full(len(met), at[i]))
+                b.append(at[met])
+                held += len(met)
+                if held > PAIRS:
+                    yield _counted(np.concatenate(a), np.concatenate(b))
+                    a, b, held = [], [], 0
     if held:
-        yield sums()
+        yield _counted(np.concatenate(a), np.concatenate(b))
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes whose prefixes allow a link."""
-    entries = nodes.select("row", "n", F.explode("tokens").alias("token")).repartition("token").sortWithinPartitions("token", "n")
+def _labelled(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return entries.withColumn("label", F.col("row"))
+    return entries.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("label", F.coalesce("root", "row"))
 
-    def run(batches):
-        def pairs(columns):
-            for a, b, shared in meeting_pairs(*columns):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared.astype(np.int64))], names=["a", "b", "shared"])
 
-        left = [np.zeros(0, np.int64)] * 3
-        for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "row", "n")]
-            now = [np.concatenate(x) for x in zip(left, now)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last token may go on in the next batch
-            yield from pairs([x[:cut] for x in now])
-            left = [x[cut:] for x in now]
-        yield from pairs(left)
+def _star_round(entries: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b): each node with the pivot it shares the most tokens with."""
+
+    def work(token, row, n, label):
+        pivot, own = star_pairs(token, row, n, label, turn)
+        if len(own):
+            order = np.lexsort((own, pivot))
+            pivot, own = pivot[order], own[order]
+            at = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (own[1:] != own[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(pivot[at]), pa.array(own[at]), pa.array(np.diff(np.append(at, len(own))))], names=["a", "b", "shared"])
+
+    met = _postings(_labelled(entries, roots), ("token", "row", "n", "label"), work, "a long, b long, shared long")
+    met = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return met.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _closing_pairs(entries: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(a, b): pairs of nodes of different components whose prefixes allow a link."""
+
+    def work(token, row, n, label):
+        for a, b, shared in cross_pairs(token, row, n, label):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared.astype(np.int64))], names=["a", "b", "shared"])
 
-    met = entries.mapInArrow(run, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    met = _postings(_labelled(entries, roots), ("token", "row", "n", "label"), work, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     sizes = nodes.select("row", "n", F.size("tokens").alias("p"), F.element_at("tokens", -1).alias("end"))
     side = lambda k: sizes.toDF(k, f"n{k}", f"p{k}", f"end{k}")
     rest = F.when(F.col("enda") <= F.col("endb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
@@ -167,8 +235,11 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """The pairs whose whole texts link."""
-    wide = pairs.join(rows.toDF("a", "ta"), "a").join(rows.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    """The pairs whose whole texts link. Only the texts of candidates move: their ids are broadcast where they are few, else joined."""
+    pairs = materialize(pairs, "near-pairs")
+    ids = materialize(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "near-ids")
+    own = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "row", "left_semi")
+    wide = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -176,20 +247,48 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
                 keep = [linked(shingle_set(x, width), shingle_set(y, width)) for x, y in zip(_byte_texts(part.column(2)), _byte_texts(part.column(3)))]
                 yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return wide.mapInArrow(run, "a long, b long")
+    return materialize(wide.mapInArrow(run, "a long, b long"), "near-links")
+
+
+def _similar_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node and the first of its fingerprint; of fingerprints that operator 6's index links, the first nodes."""
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("row").alias("a"), F.count("*").alias("times")), "near-fingerprints")
+    total = firsts.agg(F.sum("times")).first()[0] or 0
+    same = join_hot(nodes.select("fp", F.col("row").alias("b")), firsts, "fp", "times", total).where("a <> b").select("a", "b")
+    edges = fingerprint_edges(firsts.select("fp"), BITS).toDF("fa", "fb")
+    of = lambda k: firsts.select(F.col("fp").alias(f"f{k}"), F.col("a").alias(k))
+    near = edges.join(of("a"), "fa").join(of("b"), "fb").select("a", "b")
+    return same.unionByName(near)
+
+
+def near_components(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame | None:
+    """(node, root) of all nodes (row, fp, n, tokens) that link to another; ``rows`` (row, text) has their texts. None if there are none."""
+    links = _verified(_similar_fingerprints(nodes), rows, width)
+    entries = materialize(_shared_entries(nodes), "near-entries")
+    roots = materialize(connected(links, "near-components"), "near-roots")
+    for turn in range(STARS):
+        more = _verified(_star_round(entries, roots, turn), rows, width)
+        if not more.limit(1).count():
+            if turn % 2:
+                break
+            continue
+        links = links.unionByName(more)
+        roots = materialize(connected(links, "near-components"), "near-roots")
+    closing = _verified(_closing_pairs(entries, nodes, roots), rows, width)
+    return connected(links.unionByName(closing), "near-components")
 
 
 def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component of links the row with the smallest id stays (rows without an id come last, repeated rows and texts without words count as copies)."""
-    keyed = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")
-    rows = pick(keyed, "__row", text_col).toDF("row", "text")
-    ids = pick(keyed, "__row", id_col).toDF("row", "id").select("row", F.struct(F.col("id").isNull().alias("absent"), "id", "row").alias("order"))
+    places = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    keyed = materialize(df.toDF(*places.values()).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
+    rows = pick(keyed, "row", places[text_col]).toDF("row", "text")
+    ids = pick(keyed, "row", places[id_col]).toDF("row", "id").select("row", F.struct(F.col("id").isNull().alias("absent"), "id", "row").alias("order"))
     sketches = materialize(_sketches(rows, width, _frequent(rows, width)), "sketches")
     firsts = sketches.select("row", "digest").join(ids, "row").groupBy("digest").agg(F.min("order").alias("first"))
     firsts = materialize(firsts.select("first", F.col("first.row").alias("node")), "nodes")
-    nodes = sketches.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").where("n > 0").drop("digest")
-    pairs = materialize(_candidates(nodes), "near-pairs")
-    roots = connected(_verified(pairs, rows, width), "near-components")
-    alone = firsts.join(roots, "node", "left_anti").select(F.col("node").alias("__row"))
-    lowest = firsts.join(roots, "node").groupBy("root").agg(F.min("first").alias("low")).select(F.col("low.row").alias("__row"))
-    return keyed.join(alone.unionByName(lowest), "__row", "left_semi").drop("__row").select(*[F.col(f"`{n}`") for n in df.columns])
+    nodes = materialize(sketches.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").where("n > 0").drop("digest"), "near-nodes")
+    roots = materialize(near_components(nodes, rows, width), "near-groups")
+    alone = firsts.join(roots, "node", "left_anti").select(F.col("node").alias("row"))
+    lowest = firsts.join(roots, "node").groupBy("root").agg(F.min("first").alias("low")).select(F.col("low.row").alias("row"))
+    return keyed.join(alone.unionByName(lowest), "row", "left_semi").select(*places.values()).toDF(*df.columns)

@@ -4,22 +4,20 @@ Fingerprint: XXH64 (seed 42) of every shingle of ``width`` words, repeats
 included; a bit is one if it is set in over half of the hashes.
 
 Links: fingerprints within ``max_bits`` differing bits agree in at least
-8 - max_bits of their 8 positional bytes.  An index over single positional
-bytes has 2,048 postings whatever the corpus, each of which grows with it, so
-the tally of shared bytes is moved into the index: its keys are the sets of
-8 - max_bits positions with their bytes (28 keys of 48 bits at two bits).  Rows
-that meet under a key share the guaranteed minimum of positional bytes and no
-other pair can link.  What is left of a fingerprint under a key is ``max_bits``
-bytes, so a posting holds at most 65,536 of them at two bits, however large the
-corpus or its largest group.  Inside a posting, a fingerprint's neighbours are
-looked up by flipping up to ``max_bits`` bits (137 look-ups), pairs are verified
-by Hamming distance (no tally is computed: the keys replace the count filter over
-single bytes), and one edge per member of a connected part goes
-out: no posting emits its pairs.
-
-Equal fingerprints are one node from the start, so copies cost one row each.
-Components come from alternating large-star and small-star rounds over the
-edges, each round a table in the shared folder.
+8 - max_bits of their 8 positional bytes, the guaranteed minimum.  Postings of
+single bytes are 2,048 whatever the corpus and each grows with it, so the index
+is keyed by sets of that many positions with their bytes (28 keys of 48 bits at
+two bits): rows that meet have the minimum, and no other pair can link.  What is
+left of a fingerprint under a key is ``max_bits`` bytes, so a posting holds at
+most 65,536 of them at two bits, however large the corpus or its largest group.
+Inside a posting, the positional bytes that a pair shares are tallied, pairs that
+reach the minimum are retained, and their Hamming distance is verified; in large
+postings pairs are found by flipping up to ``max_bits`` bits (137 look-ups), not
+by comparing all.  One edge per member of a connected part goes out: no posting
+emits its pairs.
+
+Equal fingerprints are one node from the start, so copies cost one row each, and
+their rows meet their component by a join that spreads hot fingerprints.
 
 Defined cases: a text without words, or null, has fingerprint zero and links
 like any other; fewer words than the width give one shingle of them all;
@@ -37,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.components import connected, join_hot
+
 from .common import materialize, pick, slices, utf8_buffer
 
 #: The hash seed, and A-Z to a-z.
@@ -47,51 +47,46 @@ FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 HASHES = 1 << 16
 
 
-def fingerprints(parts: list[bytes], width: int) -> np.ndarray:
-    """uint64 for each text (UTF-8)."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each shingle of a text (UTF-8), repeats included; fewer words than the width give one, no words none."""
     from xxhash import xxh64_intdigest
 
-    hashes, ends = [], []
-    out = np.zeros(len(parts), np.uint64)
-
-    def flush():
-        if not ends:
-            return
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts = np.array([e - s for _, s, e in ends])
-        starts = np.array([s for _, s, _ in ends])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        vote = ones * 2 > counts[:, None]
-        out[[k for k, _, _ in ends]] = np.packbits(vote, axis=1).view(">u8").ravel()
-        hashes.clear()
-        ends.clear()
-
-    for k, text in enumerate(parts):
-        words = text.translate(FOLD).split()  # cuts at the six bytes of ASCII white space
-        if not words:
-            continue
-        n = max(1, len(words) - width + 1)
+    words = text.translate(FOLD).split()  # cuts at the six bytes of ASCII white space
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = map(b" ".join, zip(*[words[i:] for i in range(width)])) if len(words) >= width else [b" ".join(words)]
+    return np.array([xxh64_intdigest(x, SEED) for x in parts], np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def votes(texts: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each text's hashes: bits that are set in over half of them."""
+    out, lo = np.zeros(len(texts), np.uint64), 0
+    while lo < len(texts):
+        hi, n = lo, 0
+        while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= HASHES):
+            n += len(texts[hi])
+            hi += 1
+        own = [k for k in range(lo, hi) if len(texts[k])]
         if n > HASHES:  # a very long text: votes are summed in blocks
-            flush()
-            ones = np.zeros(64, np.int64)
-            for lo in range(0, n, HASHES):
-                block = [xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(lo, min(n, lo + HASHES))]
-                ones += np.unpackbits(np.array(block, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            out[k] = np.packbits(ones * 2 > n).view(">u8")[0]
-            continue
-        start = len(hashes)
-        if n == 1:
-            hashes.append(xxh64_intdigest(b" ".join(words), SEED))
-        else:
-            shifted = [words[i:] for i in range(width)]
-            hashes += [xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*shifted))]
-        ends.append((k, start, len(hashes)))
-        if len(hashes) > HASHES:
-            flush()
-    flush()
+            ones = sum(_ones(texts[lo][k : k + HASHES]).sum(axis=0, dtype=np.int64) for k in range(0, n, HASHES))
+            out[lo] = np.packbits(ones * 2 > n).view(">u8")[0]
+        elif own:
+            sizes = np.array([len(texts[k]) for k in own])
+            ones = np.add.reduceat(_ones(np.concatenate([texts[k] for k in own])), np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+            out[own] = np.packbits(ones * 2 > sizes[:, None], axis=1).view(">u8").ravel()
+        lo = hi
     return out
 
 
+def fingerprints(parts: list[bytes], width: int) -> np.ndarray:
+    """uint64 for each text (UTF-8)."""
+    return votes([shingle_hashes(x, width) for x in parts])
+
+
 def fingerprint(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) of every row's whole text."""
     kept = pick(df, id_col, text_col)
@@ -113,24 +108,29 @@ def _flips(bits: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in itertools.combinations(range(bits), k)], np.uint64)
 
 
-def posting_edges(rest: np.ndarray, max_bits: int) -> np.ndarray:
-    """For the distinct remainders (ascending) under one key: index of the smallest member of each one's connected part."""
-    n = len(rest)
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the 8 positional bytes agree."""
+    differ = a ^ b
+    return sum(((differ >> np.uint64(8 * k)) & np.uint64(0xFF)) == 0 for k in range(8))
+
+
+def posting_edges(full: np.ndarray, rest: np.ndarray, max_bits: int) -> np.ndarray:
+    """For the fingerprints under one key, by ascending remainders: index of the first member of each one's connected part."""
+    n = len(full)
     label = np.arange(n)
-    if n == 2:
-        near = int(np.bitwise_count(rest[0] ^ rest[1])) <= max_bits
-        return np.zeros(2, np.int64) if near else label
-    src, dst = [], []
     if n <= 64:
-        near = np.bitwise_count(rest[:, None] ^ rest[None, :]) <= max_bits
-        src, dst = np.nonzero(near)
+        src, dst = np.triu_indices(n, 1)
     else:
+        src, dst = [], []
         for mask in _flips(8 * max_bits, max_bits)[1:]:
             at = np.searchsorted(rest, rest ^ mask)
             hit = np.flatnonzero((at < n) & (rest[np.minimum(at, n - 1)] == rest ^ mask))
             src.append(hit)
             dst.append(at[hit])
         src, dst = np.concatenate(src), np.concatenate(dst)
+    kept = np.flatnonzero(shared_bytes(full[src], full[dst]) >= 8 - max_bits)  # the count filter
+    kept = kept[np.bitwise_count(full[src[kept]] ^ full[dst[kept]]) <= max_bits]  # and the check
+    src, dst = np.concatenate([src[kept], dst[kept]]), np.concatenate([dst[kept], src[kept]])
     while True:
         low = label.copy()
         np.minimum.at(low, src, label[dst])
@@ -162,7 +162,8 @@ def fingerprint_edges(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
                 for k, p in enumerate(left):
                     rest |= (full >> np.uint64(8 * p) & np.uint64(0xFF)) << np.uint64(8 * k)
                 order = np.argsort(rest)
-                full, low = full[order], posting_edges(rest[order], max_bits)
+                full = full[order]
+                low = posting_edges(full, rest[order], max_bits)
                 moved = np.flatnonzero(low != np.arange(len(low)))
                 a.append(full[low[moved]])
                 b.append(full[moved])
@@ -172,53 +173,19 @@ def fingerprint_edges(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     return postings.mapInArrow(run, "a long, b long")
 
 
-def connected(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) for every node of an edge list (a, b): root is the smallest node of its component.
-
-    Alternates large-star and small-star rounds until the edge list stands
-    still; a star around each root is left.  The driver sees two sums a round.
-    """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = materialize(pairs, label)
-    state = None
-    while True:
-        # large star: neighbours above a node go to the smallest of its neighbourhood
-        both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: neighbours below a node, and itself, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    roots = pairs.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 def dedup(df: DataFrame, width: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long, component_id): one row per input row."""
-    fps = materialize(fingerprint(df, width, id_col, text_col), "fingerprints").withColumnRenamed(id_col, "doc")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc").alias("first")), "nodes")
-    roots = connected(fingerprint_edges(nodes.select("fp"), max_bits))
+    fps = materialize(fingerprint(df, width, id_col, text_col).toDF("doc", "fp"), "fingerprints")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "nodes")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    roots = materialize(connected(fingerprint_edges(nodes.select("fp"), max_bits)), "roots")
     linked = nodes.join(roots, nodes.fp == roots.node)
-    ids = linked.groupBy("root").agg(F.min("first").alias("lowest"))
+    ids = materialize(linked.groupBy("root").agg(F.min("first").alias("lowest"), F.count("*").alias("n")), "groups")
     # fingerprints that link to another one are the exception: the rest is its own component
-    moved = roots.join(ids, "root").select(F.col("node").alias("fp"), "lowest")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return fps.join(named, "fp").select(F.col("doc").alias(id_col), "fp", "component_id")
+    moved = join_hot(roots, ids, "root", "n", total).select(F.col("node").alias("fp"), "lowest")
+    named = materialize(nodes.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"), "n"), "named")
+    return join_hot(fps, named, "fp", "n", total).select(F.col("doc").alias(id_col), "fp", "component_id")
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(F.col(f"`{id_col}`"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, width: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` without near copies: of each component the row with the smallest id stays (rows without an id come last, repeated rows count as copies)."""
-    order = F.struct(F.col(f"`{id_col}`").isNull().alias("absent"), F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"))
-    keyed = materialize(df.withColumn("__order", order), "dedup-rows")
-    found = dedup(keyed, width, max_bits, "__order", text_col)
-    kept = found.where("__order = component_id").select(F.col("__order.row").alias("__row"))
-    return keyed.join(kept, F.col("__order.row") == F.col("__row"), "left_semi").drop("__order")

@@ -81,21 +81,46 @@ def test_copy_beyond_two_bits_goes_in_the_pipeline(spark):
 
 def test_pairs_of_a_posting_in_parts(monkeypatch):
     rng = np.random.default_rng(5)
-    token, n, row = np.sort(rng.integers(0, 5, 60)), rng.integers(50, 100, 60), rng.integers(0, 12, 60)
-    order = np.lexsort((n, token))
-    token, n, row = token[order], n[order], row[order]
+    token, n, row = np.sort(rng.integers(0, 6, 80)), rng.integers(50, 100, 80), rng.permutation(80)
+    label = np.where(token == 0, 7, rng.integers(0, 3, 80))
+    order = np.lexsort((row, n, token))
+    token, n, row, label = token[order], n[order], row[order], label[order]
     want = {}
-    for i in range(60):
+    for i in range(80):
         for j in range(i):
-            if token[i] == token[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]):
+            if token[i] == token[j] and label[i] != label[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]):
                 key = tuple(sorted((row[i], row[j])))
                 want[key] = want.get(key, 0) + 1
     monkeypatch.setattr(shingles, "PAIRS", 20)
     got = {}
-    for a, b, shared in shingles.meeting_pairs(token, row, n):
+    for a, b, shared in shingles.cross_pairs(token, row, n, label):
         for x, y, s in zip(a, b, shared):
             got[x, y] = got.get((x, y), 0) + s
     assert got == want
+    for turn in (0, 1):
+        for pivot, own in zip(*shingles.star_pairs(token, row, n, label, turn)):
+            assert tuple(sorted((pivot, own))) in want
+
+
+def test_a_group_of_near_copies_costs_no_square_of_pairs(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(150):
+        own = list(base)
+        own[rng.randrange(200)] = f"own{k}"
+        rows.append((k, " ".join(own)))
+    met = []
+    verified = shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, *a: met.append(pairs.count()) or verified(pairs, *a))
+    assert [r.doc_id for r in shingles.keep_one(spark.createDataFrame(rows, COLUMNS)).collect()] == [0]
+    assert sum(met) < 8 * 150
+
+
+def test_names_in_use_inside_are_kept(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", -1, -2), (2, "a b c d e f", -3, -4), (3, "other words here", -5, -6)], "doc_id long, text string, `row` int, __order int")
+    kept = shingles.keep_one(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", -1, -2), (3, "other words here", -5, -6)]
 
 
 def test_empty_and_odd(spark, odd_docs, no_docs):

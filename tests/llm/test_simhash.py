@@ -82,7 +82,7 @@ def test_links_equal_all_pairs_on_clustered_fingerprints(spark):
 def test_posting_edges(n):
     rng = np.random.default_rng(n)
     rest = np.unique(rng.integers(0, 1 << 16, n).astype(np.uint64))
-    label = simhash.posting_edges(rest, 2)
+    label = simhash.posting_edges(rest, rest, 2)
     near = np.bitwise_count(rest[:, None] ^ rest[None, :]) <= 2
     for i in range(min(len(rest), 200)):
         assert (label[near[i]] == label[i]).all()
@@ -90,8 +90,16 @@ def test_posting_edges(n):
     assert (label[label] == label).all()
 
 
-def test_one_of_each_group_stays(odd_docs, no_docs):
-    kept = simhash.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, [1, 3, 6, 7, None, 8]))
-    assert simhash.keep_one(no_docs).count() == 0
+def test_shared_bytes():
+    a, b = np.array([0x1122334455667788, 0], np.uint64), np.array([0x1122334455667788, 0xFF00000000000001], np.uint64)
+    assert simhash.shared_bytes(a, b).tolist() == [8, 6]
+
+
+def test_a_third_of_all_rows_with_one_fingerprint(spark, monkeypatch):
+    from newsloom.operators import components
+
+    monkeypatch.setattr(components, "HOT_LEAST", 5)
+    rows = [(k, "same words in all of these" if k % 3 == 0 else f"text {k} of its own words {k * k}") for k in range(300, 600)]
+    got = {r.doc_id: r.component_id for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fps = [plain_fingerprint(t) for _, t in rows]
+    assert got == {i: c for (i, _), c in zip(rows, plain_components([(i, f) for (i, _), f in zip(rows, fps)]))}
