@@ -13,8 +13,8 @@ The order is by hash, after it come the shingles that are frequent in a sample
 prefixes).  Shingles are compared by 62 bits of XXH64.
 
 A group of k near copies does not cost k * k / 2 pairs.  Rounds of stars come
-first: in the postings of the prefixes each node meets one other node of a size
-that allows a link, each node's best one is verified, and components grow.  Only
+first: in the postings of the prefixes each node meets one other node, one that has
+few edits, each node's best one is verified, and components grow.  Only
 then do all nodes of a posting that are still in different components meet;
 these pairs are counted, what is shared up to the earlier end of the two prefixes,
 and all of that text's other shingles, bound the overlap, and what passes is
@@ -42,8 +42,8 @@ SAMPLE, OFTEN, FREQUENT = 20_000, 5, 1 << 16
 #: A frequent shingle's place in the order: above all hashes.
 LATE = np.uint64(1 << 62)
 
-#: Differing bits up to which operator 6's index gives candidates, rounds of stars at most, and candidates' ids that are broadcast at most.
-BITS, STARS, BROADCAST_IDS = 2, 4, 1 << 20
+#: Differing bits up to which operator 6's index gives candidates, rounds of stars, and candidates' ids that are broadcast at most.
+BITS, STARS, BROADCAST_IDS = 2, 1, 1 << 20
 
 #: Pairs sent at once.
 PAIRS = 1 << 18
@@ -129,26 +129,37 @@ def _postings(df: DataFrame, names: tuple[str, ...], work, schema: str) -> DataF
 
 
 def _shared_entries(nodes: DataFrame) -> DataFrame:
-    """(token, row, n) of the prefix tokens that more than one node has."""
+    """(token, row, n, worth) of the prefix tokens that more than one node has; worth is the share, in thousandths, of the node's prefix that they are. What an edit makes is shared with no one, so of a group of near copies those with few edits are worth the most."""
 
-    def work(token, row, n):
+    def work(token, row, n, p):
         apart = token[1:] != token[:-1]
         alone = np.concatenate([[True], apart]) & np.concatenate([apart, [True]])
-        yield pa.RecordBatch.from_arrays([pa.array(x[~alone]) for x in (token, row, n)], names=["token", "row", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[~alone]) for x in (token, row, n, p)], names=["token", "row", "n", "p"])
 
-    return _postings(nodes.select("row", "n", F.explode("tokens").alias("token")), ("token", "row", "n"), work, "token long, row long, n long")
+    spread = nodes.select("row", "n", F.size("tokens").alias("p"), F.explode("tokens").alias("token"))
+    shared = materialize(_postings(spread, ("token", "row", "n", "p"), work, "token long, row long, n long, p long"), "near-entries")
+    worth = shared.groupBy("row").agg((F.count("*") * 1000 / F.first("p")).cast("long").alias("worth"))
+    return shared.drop("p").join(worth, "row").select("token", "row", "n", "worth")
 
 
-def star_pairs(token: np.ndarray, row: np.ndarray, n: np.ndarray, label: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pivot, row): each entry and one entry of its posting, of another component and of a size that allows a link; which one differs by turn: the smallest, or the next in order."""
-    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+def star_pairs(token: np.ndarray, row: np.ndarray, n: np.ndarray, label: np.ndarray, worth: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pivot, row): each entry and its posting's pivot, if that is of another component and of a size that allows a link.
+
+    The pivot is the entry that is worth the most; in later turns one of those worth nearly as much, by a hash of the row and the turn.
+    """
+    if not len(token):
+        return row, row
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     rank = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
-    if turn % 2 == 0:
-        least = -(-LEAST[0] * n // LEAST[1])
-        pivot = np.searchsorted(rank * (1 << 40) + n, rank * (1 << 40) + least)
-    else:
-        pivot = np.maximum(np.arange(len(token)) - 1, begin[rank])
-    able = (label[pivot] != label) & (LEAST[0] * n <= LEAST[1] * n[pivot])
+    if turn:
+        near = 10 * worth >= 9 * np.maximum.reduceat(worth, begin)[rank]
+        with np.errstate(over="ignore"):
+            mixed = (row.astype(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        worth = np.where(near, (mixed >> np.uint64(33)).astype(np.int64) + 1, 0)
+    order = np.lexsort((row, -worth, rank))
+    pivot = order[begin][rank]
+    able = (label[pivot] != label) & (LEAST[0] * np.maximum(n, n[pivot]) <= LEAST[1] * np.minimum(n, n[pivot]))
     return row[pivot[able]], row[able]
 
 
@@ -206,15 +217,15 @@ def _labelled(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _star_round(entries: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
     """(a, b): each node with the pivot it shares the most tokens with."""
 
-    def work(token, row, n, label):
-        pivot, own = star_pairs(token, row, n, label, turn)
+    def work(token, row, n, label, worth):
+        pivot, own = star_pairs(token, row, n, label, worth, turn)
         if len(own):
             order = np.lexsort((own, pivot))
             pivot, own = pivot[order], own[order]
             at = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (own[1:] != own[:-1])]))
             yield pa.RecordBatch.from_arrays([pa.array(pivot[at]), pa.array(own[at]), pa.array(np.diff(np.append(at, len(own))))], names=["a", "b", "shared"])
 
-    met = _postings(_labelled(entries, roots), ("token", "row", "n", "label"), work, "a long, b long, shared long")
+    met = _postings(_labelled(entries, roots), ("token", "row", "n", "label", "worth"), work, "a long, b long, shared long")
     met = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     return met.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
 
@@ -237,8 +248,9 @@ def _closing_pairs(entries: DataFrame, nodes: DataFrame, roots: DataFrame | None
 def _verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """The pairs whose whole texts link. Only the texts of candidates move: their ids are broadcast where they are few, else joined."""
     pairs = materialize(pairs, "near-pairs")
-    ids = materialize(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "near-ids")
-    own = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "row", "left_semi")
+    few = 2 * pairs.count() <= BROADCAST_IDS
+    ids = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    own = rows.join(F.broadcast(ids) if few else ids, "row", "left_semi")
     wide = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
@@ -261,19 +273,15 @@ def _similar_fingerprints(nodes: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
-def near_components(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame | None:
-    """(node, root) of all nodes (row, fp, n, tokens) that link to another; ``rows`` (row, text) has their texts. None if there are none."""
-    links = _verified(_similar_fingerprints(nodes), rows, width)
+def near_components(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(node, root) of all nodes (row, fp, n, tokens) that link to another; ``rows`` (row, text) has their texts."""
     entries = materialize(_shared_entries(nodes), "near-entries")
-    roots = materialize(connected(links, "near-components"), "near-roots")
-    for turn in range(STARS):
-        more = _verified(_star_round(entries, roots, turn), rows, width)
-        if not more.limit(1).count():
-            if turn % 2:
-                break
-            continue
-        links = links.unionByName(more)
+    first = _similar_fingerprints(nodes).unionByName(_star_round(entries, None, 0)).distinct()
+    links = _verified(first, rows, width)
+    for turn in range(1, STARS):
         roots = materialize(connected(links, "near-components"), "near-roots")
+        links = links.unionByName(_verified(_star_round(entries, roots, turn), rows, width))
+    roots = materialize(connected(links, "near-components"), "near-roots")
     closing = _verified(_closing_pairs(entries, nodes, roots), rows, width)
     return connected(links.unionByName(closing), "near-components")
 

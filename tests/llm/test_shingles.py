@@ -98,8 +98,8 @@ def test_pairs_of_a_posting_in_parts(monkeypatch):
             got[x, y] = got.get((x, y), 0) + s
     assert got == want
     for turn in (0, 1):
-        for pivot, own in zip(*shingles.star_pairs(token, row, n, label, turn)):
-            assert tuple(sorted((pivot, own))) in want
+        stars = list(zip(*shingles.star_pairs(token, row, n, label, rng.integers(1, 1000, 80), turn)))
+        assert len(stars) > 10 and all(tuple(sorted(pair)) in want for pair in stars)
 
 
 def test_a_group_of_near_copies_costs_no_square_of_pairs(spark, monkeypatch):
