@@ -161,6 +161,24 @@ def non_empty(items: Column, least: int = 1) -> Column:
     return F.filter(items, lambda x: F.length(trim_space(x)) >= least)
 
 
+def _hash60(text: Column) -> Column:
+    """The first 15 hex digits of SHA-256, as a long: any engine can compute it."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+
+
+def minhash(items: Column, size: int = 16) -> Column:
+    """The least hash of the items under each of ``size`` seeds; null of no items. Equal places of two of them estimate the Jaccard."""
+    one = lambda seed: F.array_min(F.transform(items, lambda x: _hash60(F.concat(F.lit(f"{seed}:"), x))))
+    return F.when(F.size(items) > 0, F.array(*[one(k) for k in range(size)]))
+
+
+def simhash(items: Column, bits: int = 60) -> Column:
+    """A bit is one if it is set in over half of the items' hashes; zero of no items."""
+    hashes = F.transform(items, _hash60)
+    ones = lambda b: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("long")).cast("int"))
+    return sum((F.when(ones(b) * 2 > F.size(items), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(bits)), F.lit(0).cast("long"))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct 3-grams of each lower-case word, padded by two blanks before and one behind."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}]+)"), 1)

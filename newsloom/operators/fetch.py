@@ -5,10 +5,11 @@ Network calls stay outside Spark; these operators take tables of responses.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +139,26 @@ def metrics(documents: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+#: Takes the counters of a batch: (name, counters by name).
+MetricsSink = Callable[[str, dict[str, float]], None]
+
+
+def observed(documents: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The rows, and an observation that has the counters of ``metrics`` once an action has run over them: no pass of its own."""
+    watch = Observation(name)
+    tests = {"not_modified_count": F.col("not_modified"), "robots_blocked_count": F.col("filtered_reason") == "blocked_by_robots_txt", "content_type_filtered_count": F.col("filtered_reason") == "content_type_not_allowed", "error_count": F.col("error").isNotNull()}
+    sums = {"bytes_downloaded": F.sum("content_length"), "average_latency_ms": F.avg("elapsed_ms"), "redirect_count": F.sum("redirect_count")}
+    counters = [F.count(F.lit(1)).alias("documents_collected"), *[F.coalesce(v, F.lit(0)).alias(k) for k, v in sums.items()], *[F.count_if(v).alias(k) for k, v in tests.items()]]
+    return documents.observe(watch, *counters), watch
+
+
+def report(watch: Observation, name: str, sinks: list[MetricsSink]) -> None:
+    """Hand the counters of a finished observation to every sink."""
+    counters = dict(watch.get)
+    for sink in sinks:
+        sink(name, counters)
+
+
 def replay_collection(attempts: DataFrame, policy: RetryPolicy) -> DataFrame:
     """Outcome of each source from its recorded attempts (source_id, attempt from 1, status, error_code, retryable, bytes, duration_ms).
 

@@ -165,7 +165,7 @@ def failed(why: str) -> dict:
 
 def from_json_ld(page: Page) -> dict:
     if not page.blocks:
-        return failed("no JSON-LD blocks found")
+        return failed("page holds no JSON-LD")
     wanted = {t.lower() for t in ARTICLE_TYPES}
     block = next((b for b in page.blocks if any(str(t).lower() in wanted for t in _listed(b.get("@type")))), None)
     if block is None:
@@ -202,7 +202,7 @@ def from_json_ld(page: Page) -> dict:
 def from_open_graph(page: Page) -> dict:
     og, tw = page.social("og:", "article:"), page.social("twitter:")
     if not og and not tw:
-        return failed("no OpenGraph or Twitter Card tags found")
+        return failed("page holds no social tags")
     either = lambda *keys: next((og[k] for k in keys if og.get(k)), None)
     title, summary = either("title") or tw.get("title"), either("description") or tw.get("description")
     shown = page.media(either("image", "image:secure_url") or tw.get("image"))
@@ -271,7 +271,7 @@ def from_readability(page: Page) -> dict:
                 points[id(holder)] = [holder, 25.0 * bool(POSITIVE.search(marks)) - 25.0 * bool(NEGATIVE.search(marks))]
             points[id(holder)][1] += worth * share
     if not points:
-        return failed("no scorable nodes")
+        return failed("nothing to score")
 
     def unlinked(node: Node) -> float:
         size = len(node.text(strip=True))
@@ -279,10 +279,10 @@ def from_readability(page: Page) -> dict:
 
     node, worth = max(((n, w * unlinked(n)) for n, w in points.values()), key=lambda x: x[1])
     if worth <= 0:
-        return failed("no positively scored node")
+        return failed("every score is zero or less")
     text = clean.tidy(clean.fragment_text(node))
     if len(text) < 150:
-        return failed("winning node too short")
+        return failed("text of the best element is under 150 characters")
     made, words = _of_container(page, node, text, ("h1", "title"), True), len(_WORDS.findall(text))
     sure = 0.15 * bool(made["title"]) + 0.55 * (words > 150) + min(worth / 100, 0.3)
     return {"success": words >= 80, "confidence": min(1.0, sure), **made}
@@ -299,11 +299,11 @@ def from_dom(page: Page, class_hints: bool = False) -> dict:
         tests.append(lambda n, h=hint: h.lower() in (n.get("id") or "").lower())
     found = list({id(n): n for test in tests for n in body.where(test)}.values())
     if not found:
-        return failed("no semantic candidate containers found")
+        return failed("no container by tag, role or id")
     size = lambda n: sum(len(p.text(strip=True)) for p in n.all("p", "li")) or len(n.text(strip=True))
     node = max(found, key=size)
     if size(node) < 150:
-        return failed("best candidate too short")
+        return failed("text of the largest container is under 150 characters")
     text = clean.tidy(clean.fragment_text(node))
     made, words = _of_container(page, node, text, ("h1",), False), len(_WORDS.findall(text))
     sure = 0.1 * bool(made["title"]) + 0.4 * (words > 150) + 0.2 * (node.name in ("article", "main"))
@@ -323,7 +323,7 @@ def from_fallback(page: Page) -> dict:
     return {
         "success": done,
         "confidence": 0.05 if done else 0.0,
-        "error": None if done else "no title or paragraphs found",
+        "error": None if done else "neither title nor paragraphs",
         "title": title,
         "language": page.language,
         "body_text": "\n\n".join(kept) or None,

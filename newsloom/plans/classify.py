@@ -143,8 +143,12 @@ def validate(responses: DataFrame, taxonomy: Taxonomy, content_col: str = "conte
     return checked.withColumn("result", F.when(F.col("error").isNull(), F.from_json(F.col(content_col), ANSWER)))
 
 
+#: What calls cost, added up over those that were made.
+OBSERVED = ("input_tokens", "output_tokens", "latency_ms")
+
+
 def replay(articles: DataFrame, responses: DataFrame, config: ClassificationConfig, taxonomy: Taxonomy, id_col: str = "article_id") -> DataFrame:
-    """Classify from recorded responses (article_id, model, attempt from 0, content, error_code).
+    """Classify from recorded responses (article_id, model, attempt from 0, content, error_code; input_tokens, output_tokens and latency_ms if recorded).
 
     Calls go through the models in order, each with max_retries + 1 attempts, until an
     answer is valid; retries are counted within models. One row per article:
@@ -162,6 +166,7 @@ def replay(articles: DataFrame, responses: DataFrame, config: ClassificationConf
         F.count("*").alias("calls"),
         F.count_if(F.col("attempt") > 0).alias("retries"),
         F.sort_array(F.collect_list(F.when(F.col("error_code").isNull() & F.col("error").isNotNull(), F.struct("_n", "error")))).alias("_faults"),
+        *[F.coalesce(F.sum(F.col(c)), F.lit(0)).alias(c) for c in OBSERVED if c in responses.columns],
     )
     out = articles.join(summed, id_col, "left")
     won = F.col("_last._fault").isNull() & F.col("calls").isNotNull()
@@ -174,6 +179,7 @@ def replay(articles: DataFrame, responses: DataFrame, config: ClassificationConf
         F.transform("_faults", lambda x: x["error"]).alias("validation_failures"),
         F.when(won, F.col("_last.result")).alias("result"),
         F.when(~won, F.coalesce("_last._fault", F.lit("no response"))).alias("error"),
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in OBSERVED if c in responses.columns],
     )
 
 

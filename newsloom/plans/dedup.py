@@ -265,27 +265,29 @@ def exact_matches(marked: DataFrame, c: DedupConfig, allowed: DataFrame | None =
     return best.select("seq", "m.cand", "m.status", "m.confidence", "m.strategy", F.array("m.reason").alias("reasons"))
 
 
-def candidate_pairs(marked: DataFrame, c: DedupConfig) -> DataFrame:
+def candidate_pairs(marked: DataFrame, c: DedupConfig, asking: Column | None = None) -> DataFrame:
     """(seq, cand) that may reach the token bound: a shared token among the first of each, in order of rarity.
 
     Two sets of Jaccard similarity t or more share one of their first
     n - ceil(t n) + 1 tokens in any common order.  The order is by document
     frequency, so prefixes hold rare tokens and their lists stay short.  Pairs of one
     source have bounds of their own: the low one holds only for pairs within the
-    publication window, which meet by source and by window of time.
+    publication window, which meet by source and by window of time.  ``asking`` picks
+    the rows that want candidates.
     """
     window = F.lit(int(c.publication_window_hours * 3_600_000_000))
-    bag = marked.where("t_content <> ''").select("seq", "published_at", "k_source", tokens(F.col("t_content")).alias("toks")).withColumn("n", F.size("toks"))
-    spread = bag.select("seq", "published_at", "k_source", "n", F.explode("toks").alias("tok"))
+    asks = F.lit(True) if asking is None else asking
+    bag = marked.where("t_content <> ''").select("seq", "published_at", "k_source", asks.alias("asks"), tokens(F.col("t_content")).alias("toks")).withColumn("n", F.size("toks"))
+    spread = bag.select("seq", "published_at", "k_source", "asks", "n", F.explode("toks").alias("tok"))
     ordered = spread.join(spread.groupBy("tok").agg(F.count("*").alias("df")), "tok")
     place = F.row_number().over(Window.partitionBy("seq").orderBy("df", "tok"))
-    ordered = settle(ordered.select("seq", "published_at", "k_source", "n", "tok", place.alias("at")))
+    ordered = settle(ordered.select("seq", "published_at", "k_source", "asks", "n", "tok", place.alias("at")))
     out = []
     for same, near in ((False, True), (True, False), *([(True, True)] if c.publication_window_hours > 0 else [])):
         t = least_jaccard(c, same, near)
         kept = ordered.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(t)) + 1) if t > 0 else ordered
         slot = F.floor(F.unix_micros(F.col("published_at").cast("timestamp")) / window) if same and near else F.lit(0)
-        a = kept.select("tok", "seq", "published_at", "k_source", "n", slot.alias("slot"))
+        a = kept.where("asks").select("tok", "seq", "published_at", "k_source", "n", slot.alias("slot"))
         b = kept.select("tok", F.col("seq").alias("cand"), F.col("published_at").alias("b"), F.col("k_source").alias("cs"), F.col("n").alias("m"), slot.alias("cslot"))
         keys = [a.tok == b.tok]
         if same:
@@ -362,7 +364,7 @@ def analyze(
     wanted = marked if asking is None else marked.where(asking)
     allowed = candidates(marked, c).select("seq", "cand").where("cand < seq") if candidates is not None else _capped(marked, c, cap)
     exact = exact_matches(marked, c, allowed)
-    rest = candidate_pairs(marked, c) if allowed is None else allowed
+    rest = candidate_pairs(marked, c, asking) if allowed is None else allowed
     if asking is not None:
         exact, rest = exact.join(wanted.select("seq"), "seq", "left_semi"), rest.join(wanted.select("seq"), "seq", "left_semi")
     near = similarity_matches(marked, rest.join(exact.select("seq"), "seq", "left_anti"), c, similarity)

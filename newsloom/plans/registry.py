@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.url import domain, is_source_url
-from newsloom.sources.tables import active
+from newsloom.sources.tables import active, find_one
 
 #: Searched fields by table; the name field is the first of NAMES that is there.
 SEARCHED = {
@@ -37,6 +37,8 @@ SEARCHED = {
     "keyword_hit": ("matched_text",),
 }
 NAMES = ("name", "title", "canonical_name", "term")
+#: Fields by which a row can be looked up.
+LOOKUPS = {"source": ("domain", "url"), "source_type": ("slug", "code"), "source_group": ("name",)}
 DEFAULT_LIMIT, MOST_PER_PAGE = 100, 200
 
 
@@ -130,6 +132,13 @@ def search(df: DataFrame, criteria: dict, fields: tuple[str, ...], limit: int =
     return sort_rows(df.where(criteria_predicate(df, criteria, fields)), **sort).offset(offset).limit(limit)
 
 
+def look_up(df: DataFrame, table: str, **equal) -> DataFrame:
+    """The live row with these values of look-up fields, as a DataFrame of at most one."""
+    if odd := set(equal) - {"id", *LOOKUPS[table]}:
+        raise ValueError(f"{table} is not looked up by {', '.join(sorted(odd))}")
+    return find_one(df, **equal)
+
+
 def paginate(df: DataFrame, page: int = 1, page_size: int = 50, **sort) -> tuple[DataFrame, int]:
     """(rows of the page, rows in all). The count is taken without the order."""
     page, size = max(1, page), min(max(1, page_size), MOST_PER_PAGE)
@@ -166,6 +175,13 @@ def with_children(parents: DataFrame, children: DataFrame, fk: str, name: str, k
     return parents.join(nested, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(dict(nested.dtypes)[name])))
 
 
+def with_one(parents: DataFrame, children: DataFrame, fk: str, name: str, key: str = "id") -> DataFrame:
+    """Parents with their only child as a struct, null if there is none; the first by the child's columns where there are more."""
+    rest = [c for c in children.columns if c != fk]
+    own = children.groupBy(F.col(fk).alias(key)).agg(F.min(F.struct(*rest)).alias(name))
+    return parents.join(own, key, "left")
+
+
 def group_counts(groups: DataFrame, memberships: DataFrame) -> DataFrame:
     """Members of every group; memberships count whether or not their source is deleted."""
     n = memberships.groupBy(F.col("source_group_id").alias("id")).agg(F.count("*").alias("source_count"))
@@ -244,3 +260,37 @@ def set_enabled(sources: DataFrame, source_id, value: bool) -> DataFrame:
     merged = F.to_json(F.map_concat(F.map_filter(held, lambda k, _: k != "enabled"), F.create_map(F.lit("enabled"), F.lit(str(value).lower()))))
     return sources.withColumn("metadata", F.when(F.col("id") == F.lit(source_id), merged).otherwise(F.col("metadata")))
 
+
+
+def update_sources(current: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the table after it, rejected changes with violations).
+
+    A change has an id and new values; its nulls leave what is there. Metadata is merged key by key. The changed row is
+    checked as a new one is and must not meet another live row's url or (domain, type); ids that are not live are rejected.
+    """
+    fields = [c for c in changes.columns if c != "id" and c in current.columns]
+    held = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    over = lambda old, new: F.to_json(F.map_concat(F.map_filter(held(old), lambda k, _: ~F.map_contains_key(held(new), k)), held(new)))
+    ask = changes.select("id", *[F.col(f).alias(f"_n_{f}") for f in fields], *[c for c in changes.columns if c not in current.columns], F.lit(True).alias("_asked"))
+    both = current.join(ask, "id", "left")
+    merged = both.withColumns({f: F.when(F.col(f"_n_{f}").isNotNull() & F.col("_asked"), over(F.col(f), F.col(f"_n_{f}")) if f == "metadata" else F.col(f"_n_{f}")).otherwise(F.col(f)) for f in fields})
+    merged = merged.withColumn("domain", F.when(F.col("_asked"), domain(F.col("url"), F.col("domain"))).otherwise(F.col("domain")))
+    live = active(merged).select(F.col("id").alias("_o"), F.col("url").alias("_u"), F.col("domain").alias("_d"), F.col("source_type_id").alias("_t"))
+    asked = active(merged).where("_asked")
+    clash = asked.join(live, (F.col("url") == F.col("_u")) & (F.col("id") != F.col("_o"))).select("id", F.lit("url: exists").alias("_c"))
+    clash = clash.unionByName(asked.join(live, (F.col("domain") == F.col("_d")) & (F.col("source_type_id") == F.col("_t")) & (F.col("id") != F.col("_o"))).select("id", F.lit("domain, source_type_id: exists").alias("_c")))
+    found = asked.select("id", F.explode(violations(asked)).alias("_c")) if {"type_code", "type_slug", "capabilities", "metadata"} <= set(asked.columns) else asked.select("id", F.lit("url: must be an absolute http or https URL").alias("_c")).where(~is_source_url(F.col("url")))
+    wrong = found.unionByName(clash).unionByName(changes.join(active(current), "id", "left_anti").select("id", F.lit("id: no live source").alias("_c")))
+    wrong = wrong.groupBy("id").agg(F.array_sort(F.collect_set("_c")).alias("violations"))
+    changed = merged.where("_asked").join(wrong, "id", "left_anti").select(*current.columns)
+    return current.join(changed.select("id"), "id", "left_anti").select(*current.columns).unionByName(changed), changes.join(wrong, "id")
+
+
+def add_members(memberships: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("source_group_id", "source_id")) -> DataFrame:
+    """Memberships with new ones; those that are there stay as they are."""
+    fresh = new.select(*keys).distinct().join(memberships, list(keys), "left_anti")
+    return memberships.unionByName(fresh, allowMissingColumns=True)
+
+
+def remove_members(memberships: DataFrame, gone: DataFrame, keys: tuple[str, ...] = ("source_group_id", "source_id")) -> DataFrame:
+    return memberships.join(gone.select(*keys), list(keys), "left_anti")

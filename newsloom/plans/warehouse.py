@@ -141,13 +141,13 @@ def stale(classified: DataFrame, current_version: Column, least: float = 0.70) -
 def closure(edges: DataFrame, parent: str = "parent_id", child: str = "id", most: int = 32) -> DataFrame:
     """(ancestor, descendant, depth) with every node its own at depth 0, by a recursive CTE. Edges of roots have a null parent; deeper trees than ``most`` raise."""
     spark = edges.sparkSession
-    edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).createOrReplaceTempView("_closure_edges")
     found = spark.sql(
         f"""WITH RECURSIVE up(ancestor, descendant, depth) MAX RECURSION LEVEL {most} AS (
-              SELECT c, c, 0 FROM _closure_edges
+              SELECT c, c, 0 FROM {{edges}}
               UNION ALL
-              SELECT e.p, u.descendant, u.depth + 1 FROM up u JOIN _closure_edges e ON u.ancestor = e.c WHERE e.p IS NOT NULL)
-            SELECT DISTINCT ancestor, descendant, depth FROM up"""
+              SELECT e.p, u.descendant, u.depth + 1 FROM up u JOIN {{edges}} e ON u.ancestor = e.c WHERE e.p IS NOT NULL)
+            SELECT DISTINCT ancestor, descendant, depth FROM up""",
+        edges=edges.select(F.col(parent).alias("p"), F.col(child).alias("c")),
     )
     return found
 
@@ -228,6 +228,32 @@ def keyword_hits(docs: DataFrame, keywords: DataFrame, doc: str, text: str) -> D
     return hits.where("not negative").join(banned, [doc, "group"], "left_anti").drop("negative")
 
 
+def _spans(between: Column, found: Column) -> Column:
+    """Start and length of each hit, from the texts between the hits (one more than those) and the hits."""
+    sizes = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda t, x: t + F.length(x))
+    return F.transform(found, lambda x, i: F.struct((sizes(between, i + 1) + sizes(found, i)).alias("start"), F.length(x).alias("n")))
+
+
+def keyword_offsets(docs: DataFrame, keywords: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, group, term, start, end) of every hit of ``keyword_hits``, in characters, ends exclusive.
+
+    What stands between the hits and the hits themselves are taken apart by the same pattern, and their lengths added up.
+    """
+    from newsloom.functions.text import WORD_CHAR, quote_regex
+
+    hits = keyword_hits(docs, keywords, doc, text)
+    kinds = keywords.select("group", "term", "match_type").limit(10_001).collect()
+    lower, made = F.lower(F.coalesce(F.col(text), F.lit(""))), []
+    for r in kinds:
+        q = quote_regex(r.term.lower())
+        pattern = {"exact": f"(?<!{WORD_CHAR}){q}(?!{WORD_CHAR})", "partial": q, "regex": r.term, "stem": f"(?<!{WORD_CHAR}){q}"}[r.match_type]
+        between, found = F.split(lower, pattern, -1), F.regexp_extract_all(lower, F.lit(f"({pattern})"), 1)
+        made.append(F.struct(F.lit(r.group).alias("group"), F.lit(r.term).alias("term"), _spans(between, found).alias("spans")))
+    each = docs.select(F.col(doc), F.explode(F.array(*made)).alias("_hit")).select(doc, "_hit.group", "_hit.term", F.explode("_hit.spans").alias("_span"))
+    spans = each.select(doc, "group", "term", "_span.start", (F.col("_span.start") + F.col("_span.n")).alias("end"))
+    return spans.join(hits.select(doc, "group", "term"), [doc, "group", "term"], "left_semi")
+
+
 def full_text(df: DataFrame, text: str, query: str) -> DataFrame:
     """Rows that hold all words of the query, with the share they are of the row's distinct words; no stemming."""
     from newsloom.functions.text import tokens

@@ -242,9 +242,8 @@ ANSWERS = """r AS (SELECT doc_id AS article_id, CASE doc_id % 9
 
 
 def _answers(load):
-    load("documents").createOrReplaceTempView("_answer_docs")
-    spark = load("documents").sparkSession
-    return spark.sql("WITH " + ANSWERS.replace("FROM documents", "FROM _answer_docs") + " SELECT * FROM r")
+    spark, text = load("documents").sparkSession, ANSWERS.replace("{", "{{").replace("}", "}}")
+    return spark.sql("WITH " + text.replace("FROM documents", "FROM {docs}") + " SELECT * FROM r", docs=load("documents"))
 
 
 @query(

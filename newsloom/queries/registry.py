@@ -17,6 +17,7 @@ def query(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
+        run.module = f.__module__
         QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql

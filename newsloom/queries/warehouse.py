@@ -83,7 +83,7 @@ def keyword_trend_lag(load):
 
 @query("SELECT n_name AS node, count(DISTINCT c_custkey) AS documents, round(count(DISTINCT c_custkey) * 100.0 / (SELECT count(*) FROM customer), 6) AS percent FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 def taxonomy_coverage(load):
-    labels = load("customer").join(F.broadcast(load("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    labels = load("customer").join(load("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return warehouse.coverage(labels, "n_name", "c_custkey", load("customer")).withColumn("percent", F.round("percent", 6))
 
 
@@ -113,6 +113,26 @@ def cooccurrence_network(load):
     return warehouse.cooccurrence(load("lineitem"), "l_orderkey", "l_suppkey")
 
 
+@query("WITH m AS (SELECT l_orderkey AS d, l_suppkey AS e, max(l_discount) AS c FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2) SELECT a.e AS e1, b.e AS e2, count(*) AS frequency, round(avg(least(a.c, b.c)), 6) AS confidence FROM m a JOIN m b ON a.d = b.d AND a.e < b.e GROUP BY 1, 2")
+def cooccurrence_confidence(load):
+    made = warehouse.cooccurrence(load("lineitem").where("l_orderkey % 3 = 0"), "l_orderkey", "l_suppkey", F.col("l_discount"))
+    return made.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    """WITH e AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS created, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 7 END AS concluded, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) + 2 END AS merged FROM orders),
+n AS (SELECT created AS d, count(*) AS n FROM e GROUP BY 1), c AS (SELECT concluded AS d, count(*) AS n FROM e WHERE concluded IS NOT NULL GROUP BY 1), m AS (SELECT merged AS d, count(*) AS n FROM e WHERE merged IS NOT NULL GROUP BY 1),
+k AS (SELECT l_orderkey AS id, count(*) AS docs FROM lineitem GROUP BY 1), a AS (SELECT created AS d, avg(coalesce(docs, 0)) AS docs FROM e LEFT JOIN k USING (id) GROUP BY 1), d AS (SELECT d FROM n UNION SELECT d FROM c UNION SELECT d FROM m)
+SELECT d.d AS stat_date, coalesce(n.n, 0) AS new_events, coalesce(c.n, 0) AS events_concluded, coalesce(m.n, 0) AS events_merged, CAST(round(a.docs, 2) AS DOUBLE) AS avg_documents_per_event, CAST(sum(coalesce(n.n, 0)) OVER (ORDER BY d.d) AS BIGINT) AS total_events
+FROM d LEFT JOIN n ON n.d = d.d LEFT JOIN c ON c.d = d.d LEFT JOIN m ON m.d = d.d LEFT JOIN a ON a.d = d.d"""
+)
+def event_daily_stats(load):
+    day = F.to_date("o_orderdate")
+    made = load("orders").select(F.col("o_orderkey").alias("event_id"), day.alias("created"), F.when(F.col("o_orderstatus") == "F", F.date_add(day, 7)).alias("concluded"), F.when(F.col("o_orderkey") % 5 == 0, F.date_add(day, 2)).alias("merged"))
+    links = load("lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("document_id"))
+    return warehouse.event_daily(made, links).withColumn("avg_documents_per_event", F.col("avg_documents_per_event").cast("double"))
+
+
 @query("SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def latest_per_key(load):
     return warehouse.latest(events(load).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
@@ -123,9 +143,10 @@ def version_change_lag(load):
     return warehouse.versions(events(load), "user_id", ["ts", "event_id"], "event_type").select("event_id", "user_id", "version_no", "changed")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def unprocessed_anti_join(load):
-    return warehouse.unprocessed(load("customer").select("c_custkey"), load("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Orders none of whose lines came back: work without a result."""
+    return warehouse.unprocessed(load("orders").select("o_orderkey"), load("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
 @query(f"SELECT user_id, max(ts) AS last_seen, max(ts) < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS concluded FROM events GROUP BY 1")

@@ -31,9 +31,12 @@ def url_canonicalize(load):
     return load("pages").select("page_id", url.article_url(u).alias("article_url"), url.identity_url(u).alias("identity_url"), url.fetch_url(u).alias("fetch_url"), url.feed_url(u).alias("feed_url"))
 
 
-@query(f"SELECT page_id, regexp_replace(lower({HOST}), '^www\\.', '') AS domain, true AS valid FROM pages")
+@query(f"SELECT page_id, regexp_replace(lower({HOST}), '^www\\.', '') AS domain, page_id % 3 <> 1 AS valid FROM pages")
 def domain_normalize(load):
-    return load("pages").select("page_id", url.domain(F.col("url")).alias("domain"), url.is_source_url(F.col("url")).alias("valid"))
+    """Of the pages' URLs; a third of them are checked without their scheme, or with another."""
+    u = F.col("url")
+    bent = F.when(F.col("page_id") % 3 == 1, F.when(F.col("page_id") % 2 == 0, F.regexp_replace(u, "^[a-z]+:", "")).otherwise(F.regexp_replace(u, "^[a-z]+:", "ftp:"))).otherwise(u)
+    return load("pages").select("page_id", url.domain(u).alias("domain"), url.is_source_url(bent).alias("valid"))
 
 
 TYPE_SQL = "CASE event_type WHEN 'click' THEN 'text/html; charset=utf-8' WHEN 'view' THEN 'Application/XHTML+xml' WHEN 'error' THEN NULL ELSE 'image/png' END"
@@ -59,9 +62,9 @@ def fetch_metrics(load):
 
 
 @query(
-    """WITH a AS (SELECT user_id AS source_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt, event_type = 'error' OR event_type = 'view' AS bad, event_type = 'error' AS again FROM events),
+    """WITH a AS (SELECT user_id AS source_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt, event_type = 'error' OR event_type = 'view' AS bad, event_type = 'error' AS again, CASE event_type WHEN 'error' THEN 503 WHEN 'view' THEN 404 ELSE 200 END AS status FROM events),
 s AS (SELECT source_id, min(attempt) FILTER (NOT (bad AND again)) AS stop FROM a GROUP BY 1), m AS (SELECT a.* FROM a JOIN s USING (source_id) WHERE attempt <= 3 AND attempt <= coalesce(stop, 3))
-SELECT source_id, NOT arg_max(bad, attempt) AS success, count(*) - 1 AS retry_count FROM m GROUP BY 1"""
+SELECT source_id, NOT arg_max(bad, attempt) AS success, count(*) - 1 AS retry_count, CAST(count(*) AS BIGINT) AS bytes_downloaded, array_to_string(list(status ORDER BY attempt), ',') AS http_statuses, CAST(CASE count(*) WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END AS DOUBLE) AS backoff_seconds FROM m GROUP BY 1"""
 )
 def retry_replay(load):
     from pyspark.sql import Window
@@ -69,7 +72,8 @@ def retry_replay(load):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     status = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "view", 404).otherwise(200)
     rows = load("events").select(F.col("user_id").alias("source_id"), n.alias("attempt"), status.alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(False).alias("retryable"), F.lit(1).alias("bytes"), F.col("value").alias("duration_ms"))
-    return fetch.replay_collection(rows, RetryPolicy()).select("source_id", "success", "retry_count")
+    made = fetch.replay_collection(rows, RetryPolicy(backoff_seconds=1.0, backoff_multiplier=2.0))
+    return made.select("source_id", "success", "retry_count", F.col("bytes_downloaded").cast("long").alias("bytes_downloaded"), F.array_join(F.transform("http_statuses", lambda x: x.cast("string")), ",").alias("http_statuses"), "backoff_seconds")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'e' || event_id END AS if_none_match, CASE WHEN event_id % 2 = 0 THEN 'm' || event_id END AS if_modified_since, event_id % 5 = 0 AS fresh FROM events")

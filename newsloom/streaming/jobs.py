@@ -52,33 +52,46 @@ def inactivity(signs: DataFrame, key: str, ts: str, gap: str = "7 days", waterma
 
 
 def conditional_get(fetches: DataFrame, watermark: str = LOOKBACK) -> DataFrame:
-    """(url, etag, last_modified, fetched_at) whenever a URL's validators are set anew. Fetches: url, etag, last_modified, fetched_at."""
+    """(url, etag, last_modified, fetched_at) whenever a URL's validators are set anew. Fetches: url, etag, last_modified, fetched_at.
+
+    A URL's state goes when the watermark has passed its last validators.
+    """
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else ("", "", 0)
         if state.hasTimedOut:
             state.remove()
             return
+        held = state.get if state.exists else ("", "", 0)
         new = held
         for frame in frames:
-            for row in frame.sort_values("fetched_at").itertuples(index=False):
-                at = int(pd.Timestamp(row.fetched_at).timestamp() * 1e6)
-                etag, changed = (x if isinstance(x, str) else "" for x in (row.etag, row.last_modified))
-                if (etag or changed) and at >= new[2]:
-                    new = (etag, changed, at)
+            named = frame.assign(etag=frame["etag"].fillna(""), last_modified=frame["last_modified"].fillna("")).astype({"fetched_at": "datetime64[us]"})
+            named = named[(named["etag"] != "") | (named["last_modified"] != "")]
+            if len(named):
+                last = named.sort_values("fetched_at", kind="stable").iloc[-1]
+                at = int(last["fetched_at"].value // 1000)
+                if at >= new[2]:
+                    new = (last["etag"], last["last_modified"], at)
         if new != held:
             state.update(new)
+            state.setTimeoutTimestamp(max(new[2] // 1000, state.getCurrentWatermarkMs()) + TIMEOUT_MS)
             yield pd.DataFrame([{"url": key[0], "etag": new[0] or None, "last_modified": new[1] or None, "fetched_at": pd.Timestamp(new[2], unit="us")}])
 
     return (
         fetches.withWatermark("fetched_at", watermark)
         .groupBy("url")
-        .applyInPandasWithState(keep, "url string, etag string, last_modified string, fetched_at timestamp", "etag string, last_modified string, at long", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(keep, "url string, etag string, last_modified string, fetched_at timestamp", "etag string, last_modified string, at long", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
+#: How long after its last validators a URL's state stays, once the watermark is there.
+TIMEOUT_MS = 1000
+
+
 def dedup_against(stored: str, config=None):
-    """A foreachBatch function: each micro-batch is analyzed together with the stored articles that its lookback reaches, then appended with its verdicts."""
+    """A foreachBatch function: each micro-batch asks for duplicates among the stored articles that its lookback reaches and itself, then is appended with its verdicts.
+
+    Near duplicates are looked for between the batch and the rest only: pairs of two stored articles are never made.
+    """
     from newsloom.config import DedupConfig
     from newsloom.plans.dedup import analyze
 
@@ -89,14 +102,14 @@ def dedup_against(stored: str, config=None):
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(f"{stored}/articles")
         there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        known = batch
+        known = batch.withColumn("_asks", F.lit(True))
         if there:
             floor = batch.agg(F.min("published_at").alias("m"), F.count_if(F.col("published_at").isNull()).alias("open")).first()
             old = spark.read.parquet(f"{stored}/articles").where(F.col("batch_id") < batch_id).drop("batch_id")
             if floor.m is not None and not floor.open:
                 old = old.where(F.col("published_at").isNull() | (F.col("published_at") >= F.lit(floor.m) - F.make_dt_interval(F.lit(c.candidate_lookback_days))))
-            known = old.unionByName(batch)
-        verdicts = analyze(known, c).join(batch.select("seq"), "seq", "left_semi")
+            known = old.withColumn("_asks", F.lit(False)).unionByName(known)
+        verdicts = analyze(known, c, asking=F.col("_asks"))
         # a batch that is run again writes its own partition again
         verdicts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{stored}/verdicts")
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{stored}/articles")

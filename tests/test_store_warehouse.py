@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -112,3 +113,48 @@ def test_event_daily(spark):
     links = spark.createDataFrame([(1, 10), (1, 11), (3, 12)], "event_id int, document_id int")
     got = {str(r.stat_date): (r.new_events, r.events_concluded, r.events_merged, r.total_events, r.avg_documents_per_event and float(r.avg_documents_per_event)) for r in warehouse.event_daily(events, links).collect()}
     assert got == {"2024-01-01": (2, 0, 0, 2, 1.0), "2024-01-02": (0, 0, 1, 2, None), "2024-01-03": (1, 1, 0, 3, 1.0)}
+
+
+def test_bloom_filters_merge_and_never_lose_a_key(spark):
+    from newsloom.plans import bloom
+
+    n = bloom.buckets_for(2000)
+    half = lambda k: bloom.build(spark.range(2000).where(f"id % 2 = {k}"), "id", n)
+    both = bloom.merge(half(0), half(1))
+    assert bloom.may_hold(spark.range(2000), "id", both, n).count() == 2000
+    others = bloom.may_hold(spark.range(10_000, 20_000), "id", both, n).count()
+    assert others < 600
+    assert bloom.may_hold(spark.createDataFrame([(None,), (1,)], "id long"), "id", both.limit(0), n).count() == 0
+
+
+def test_counters_are_observed_and_handed_to_sinks(spark):
+    from newsloom.operators import fetch
+
+    rows = [(10, 1.0, 1, False, None, None), (None, 3.0, None, True, "blocked_by_robots_txt", "x")]
+    df = spark.createDataFrame(rows, "content_length int, elapsed_ms double, redirect_count int, not_modified boolean, filtered_reason string, error string")
+    seen, watch = [], None
+    kept, watch = fetch.observed(df, "batch")
+    assert kept.count() == 2
+    fetch.report(watch, "batch", [lambda name, c: seen.append((name, c))])
+    want = {"documents_collected": 2, "bytes_downloaded": 10, "average_latency_ms": 2.0, "redirect_count": 1, "not_modified_count": 1, "robots_blocked_count": 1, "content_type_filtered_count": 0, "error_count": 1}
+    assert seen == [("batch", want)]
+    assert fetch.metrics(df).first().asDict() == want
+
+
+def test_look_ups_know_their_fields(spark):
+    from newsloom.plans import registry
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, slug string")
+    assert registry.look_up(df, "source_type", slug="b").first().id == 2
+    with pytest.raises(ValueError):
+        registry.look_up(df, "source_type", url="b")
+
+
+def test_tables_go_with_their_block(spark):
+    from newsloom.sources import tables
+
+    with tables.scratch(spark):
+        made = tables.settle(spark.range(3))
+        path = made.inputFiles()[0].removeprefix("file://")
+        assert made.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
