@@ -1,26 +1,33 @@
-"""Operator 9: LM scoring by an interpolated modified Kneser-Ney bigram model.
-
-Counting.  Words are hashed to 48 bits (XXH64, seed 42).  Each task counts the
-bigrams of a few million tokens and sends, for each shard, one packed record:
-contexts, run lengths, next words, counts, about 8 bytes a bigram.  Shards go by
-the context's hash; contexts that a sample shows to be heavy (at most
-``HEAVY`` of them) are spread over all shards by the pair's hash instead, so no
-word's continuations meet in one task.  The sample decides where pairs meet and
-never what is counted.  A shard adds up its pairs and writes them as arrays
-sorted by pair hash; what it knows of each word (occurrences, distinct
-predecessors; as a context: tokens, and pairs seen once, twice, more often) goes
-on to the word shards, which add up and write arrays sorted by word hash.
+"""Operator 9: LM scoring by an interpolated modified Kneser-Ney n-gram model.
+
+Counting.  Words are hashed to 64 bits (XXH64, seed 42); an n-gram's key is a
+hash of its context's and its last word's.  Each task counts the n-grams of the
+highest order of about a million tokens and sends, for each shard, one packed
+record.  Shards go by the context's hash; contexts that a sample of all rows
+shows to be heavy (at most ``HEAVY`` an order) are spread over all shards by the
+key instead, so no context's continuations meet in one task.  The sample decides
+where n-grams meet and never what is counted.  A shard adds up its n-grams and
+writes the counts as arrays sorted by key, and what it knows of each context
+(occurrences; words seen once, twice, more often) as arrays sorted by context.
+Each distinct n-gram is then one occurrence of its last n - 1 words in the order
+below, whose counts are such continuation counts, and so on down to single words,
+whose raw counts come from the highest order.
 
 Files.  Blocks are written by Spark's text sink to the shared folder (the line
 separator is padding; blocks keep to 8-byte places) and are memory-mapped by the
-workers, which share their pages.  Where that folder is not a mounted one, Spark
-ships the files to the workers first.  The driver holds a few totals a shard.
+workers, which share their pages, when a shard is first asked for.  Where that
+folder is not a mounted one, Spark ships the files to the workers.  The driver
+holds a few totals a shard and the heavy contexts.
 
-Scoring.  p(w|v) = (max(c(vw) - D, 0) + (D1 N1(v) + D2 N2(v) + D3 N3+(v)) p(w)) / c(v),
-p(w) likewise from distinct predecessors, ending in the uniform 1 / (V + 1) that
-unseen words share; discounts follow from counts of counts.  A text is its words
-and an end, after a begin.  Order two is fixed: pairs take about 1.5 times the
-input in shuffle and files, triples would take over four times it.
+Scoring.  With c the counts of an order, D its discounts (from counts of counts)
+and h a context that was seen,
+p(w|h) = (max(c(hw) - D, 0) + (D1 N1(h) + D2 N2(h) + D3 N3+(h)) p(w|h')) / c(h),
+h' being h without its first word; an unseen context leaves p(w|h').  Single words
+end in the uniform 1 / (V + 1) that unseen words share.  A text is its words and
+an end, after order - 1 begins.
+
+Cost.  ``order`` is a parameter.  Nearly every triple of words occurs once, so
+shuffle and files grow with it: see the README for measured figures.
 
 Defined cases: null and empty texts are the end alone; a null doc_id hashes as
 the empty text and so trains; repeated rows count each time; with nothing to
@@ -39,32 +46,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, in_fold, pick, shared_dir, slices, utf8_buffer
+from .common import in_fold, pick, shared_dir, slices, utf8_buffer
 from .simhash import FOLD, SEED
 
-#: Tokens a task counts before it sends; text bytes of a pair shard and of a word shard; sampled rows and heavy contexts at most.
-FLUSH_TOKENS, PAIR_BYTES, WORD_BYTES, SAMPLE_ROWS, HEAVY = 2_000_000, 16 << 20, 64 << 20, 4000, 1000
+#: Highest order of n-grams.
+ORDER = 3
+
+#: Tokens a task counts before it sends; text bytes of an n-gram shard and of a word shard; rows of the sample (about) and heavy contexts of an order at most.
+FLUSH_TOKENS, GRAM_BYTES, WORD_BYTES, SAMPLE_ROWS, HEAVY = 1_000_000, 16 << 20, 64 << 20, 4000, 1000
 
-MASK48 = np.uint64((1 << 48) - 1)
 #: Hashes of what is no word: the empty string ends a text, a space begins it.
 END_TOKEN, BEGIN_TOKEN = b"", b" "
 
-PAIR_HEAD, WORD_HEAD = struct.Struct("<8sQQQ"), struct.Struct("<8sQQQ")
-PAIR_MAGIC, WORD_MAGIC = b"NLKNPAIR", b"NLKNWORD"
-WORD_FIELDS = ("c", "cont", "ctx", "n1", "n2", "n3")
+BLOCK_HEAD = struct.Struct("<8sQQQQ")
+KEY_MAGIC, CONTEXT_MAGIC, WORD_MAGIC = b"NLKNKEYS", b"NLKNCTXT", b"NLKNWORD"
+#: What is known of a context, and of a word.
+CONTEXT_FIELDS, WORD_FIELDS = 4, 2
 
 
 def word_hash(word: bytes) -> int:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word, SEED) & ((1 << 48) - 1)
+    return xxh64_intdigest(word, SEED)
 
 
-def pair_hash(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
+def pair_hash(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = prev * np.uint64(0x9E3779B97F4A7C15) + cur
+        x = first * np.uint64(0x9E3779B97F4A7C15) + then
         x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB) + prev
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB) + first
     return x ^ x >> np.uint64(31)
 
 
@@ -79,28 +89,25 @@ def tokens(data: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes += found
         hashes.append(end)
         sizes.append(len(found) + 1)
-    return np.array(hashes, np.uint64) & MASK48, np.array(sizes, np.int64)
-
-
-def contexts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    prev = np.empty_like(hashes)
-    prev[1:] = hashes[:-1]
-    prev[np.cumsum(sizes) - sizes] = word_hash(BEGIN_TOKEN)
-    return prev
-
-
-def pair_shard(prev: np.ndarray, key: np.ndarray, heavy: np.ndarray, shards: int) -> np.ndarray:
-    return np.where(np.isin(prev, heavy), key, prev >> np.uint64(7)) % np.uint64(shards)
-
-
-def _pack48(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return np.array(hashes, np.uint64), np.array(sizes, np.int64)
+
+
+def contexts(hashes: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order from 2 up, the hash of the words before each token; a text's begin is as many begins as needed."""
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(hashes)) - np.repeat(starts, sizes)
+    begin, out, held = np.uint64(word_hash(BEGIN_TOKEN)), [], np.zeros(len(hashes), np.uint64)
+    for back in range(1, order):
+        word = np.full(len(hashes), begin)
+        inside = place >= back
+        word[inside] = hashes[np.flatnonzero(inside) - back]
+        held = pair_hash(word, held)
+        out.append(held)
+    return out
 
 
-def _unpack48(data: bytes, n: int, at: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(n, 6)
-    return out.view("<u8").ravel()
+def shard_of(context: np.ndarray, key: np.ndarray, heavy: np.ndarray, shards: int) -> np.ndarray:
+    return np.where(np.isin(context, heavy), key, context >> np.uint64(7)) % np.uint64(shards)
 
 
 def _pack_counts(x: np.ndarray) -> bytes:
@@ -121,81 +128,108 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def count_pairs(prev: np.ndarray, cur: np.ndarray, count: np.ndarray | None = None):
-    """Distinct (key, prev, cur, count), ascending by key."""
-    key = pair_hash(prev, cur)
+def distinct(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending keys, where one of each stands, summed counts)."""
     order = np.argsort(key)
-    key = key[order]
-    at = _starts(key)
+    at = _starts(key[order])
     if count is None:
         summed = np.diff(np.append(at, len(key)))
     else:
         summed = np.add.reduceat(count[order], at) if len(at) else np.zeros(0, np.int64)
-    first = order[at]
-    return key[at], prev[first], cur[first], summed
+    return key[order[at]], order[at], summed
 
 
-def pair_records(prev: np.ndarray, cur: np.ndarray, heavy: np.ndarray, shards: int):
-    """(shard, record) of a task's pairs."""
-    key, prev, cur, count = count_pairs(prev, cur)
-    shard = pair_shard(prev, key, heavy, shards)
-    order = np.lexsort((prev, shard))
-    shard, prev, cur, count = shard[order], prev[order], cur[order], count[order]
+def gram_records(chain: list[np.ndarray], word: np.ndarray, count: np.ndarray, heavy: np.ndarray, shards: int):
+    """(shard, record) of distinct n-grams: ``chain`` has the hashes of a gram's contexts, the whole one last."""
+    shard = shard_of(chain[-1], pair_hash(chain[-1], word), heavy, shards)
+    order = np.lexsort((chain[-1], shard))
+    shard, word, count, chain = shard[order], word[order], count[order], [c[order] for c in chain]
     at = np.append(_starts(shard), len(shard))
     for lo, hi in zip(at[:-1], at[1:]):
-        runs = _starts(prev[lo:hi])
+        runs = _starts(chain[-1][lo:hi])
         sizes = np.diff(np.append(runs, hi - lo))
-        yield int(shard[lo]), struct.pack("<QQ", len(runs), hi - lo) + _pack48(prev[lo:hi][runs]) + _pack_counts(sizes) + _pack48(cur[lo:hi]) + _pack_counts(count[lo:hi])
+        heads = b"".join(c[lo:hi][runs].astype("<u8").tobytes() for c in chain)
+        yield int(shard[lo]), struct.pack("<QQ", len(runs), hi - lo) + heads + _pack_counts(sizes) + word[lo:hi].astype("<u8").tobytes() + _pack_counts(count[lo:hi])
 
 
-def read_pairs(record: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_grams(record: bytes, depth: int) -> list[np.ndarray]:
+    """The ``depth`` context hashes of each n-gram, its word and its count."""
     n_runs, n = struct.unpack_from("<QQ", record)
-    prev = _unpack48(record, n_runs, 16)
-    sizes, at = _unpack_counts(record, n_runs, 16 + 6 * n_runs)
-    cur = _unpack48(record, n, at)
-    count, _ = _unpack_counts(record, n, at + 6 * n)
-    return np.repeat(prev, sizes), cur, count
-
-
-def _padded(block: bytes) -> bytes:
-    """So that the block and the separator after it end on an 8-byte place."""
-    return block + b"\0" * ((7 - len(block)) % 8)
-
-
-def pair_block(shard: int, key: np.ndarray, count: np.ndarray) -> bytes:
-    large = np.flatnonzero(count >= 255)
-    small = np.minimum(count, 255).astype(np.uint8).tobytes()
-    small += b"\0" * (-len(small) % 8)
-    return _padded(PAIR_HEAD.pack(PAIR_MAGIC, shard, len(key), len(large)) + key.astype("<u8").tobytes() + small + large.astype("<u8").tobytes() + count[large].astype("<u8").tobytes())
+    heads = np.frombuffer(record, "<u8", depth * n_runs, 16).reshape(depth, n_runs)
+    sizes, at = _unpack_counts(record, n_runs, 16 + 8 * depth * n_runs)
+    word = np.frombuffer(record, "<u8", n, at)
+    count, _ = _unpack_counts(record, n, at + 8 * n)
+    return [*(np.repeat(h, sizes) for h in heads), word, count]
 
 
 def word_record(word: np.ndarray, fields: list[np.ndarray]) -> bytes:
-    return struct.pack("<Q", len(word)) + _pack48(word) + b"".join(_pack_counts(f) for f in fields)
+    return struct.pack("<Q", len(word)) + word.astype("<u8").tobytes() + b"".join(_pack_counts(f) for f in fields)
 
 
-def read_words(record: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+def read_words(record: bytes) -> list[np.ndarray]:
     n = struct.unpack_from("<Q", record)[0]
-    word, at, fields = _unpack48(record, n, 8), 8 + 6 * n, []
-    for _ in WORD_FIELDS:
+    out, at = [np.frombuffer(record, "<u8", n, 8)], 8 + 8 * n
+    for _ in range(WORD_FIELDS):
         field, at = _unpack_counts(record, n, at)
-        fields.append(field)
-    return word, fields
+        out.append(field)
+    return out
 
 
-def word_stats(prev: np.ndarray, cur: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """What distinct pairs tell of their words: (words, fields), ascending."""
-    words, where = np.unique(np.concatenate([prev, cur]), return_inverse=True)
-    v, w, n = where[: len(prev)], where[len(prev) :], len(words)
-    total = lambda at, x: np.bincount(at, weights=x, minlength=n).astype(np.int64)  # noqa: E731  exact below 2^53
-    return words, [total(w, count), np.bincount(w, minlength=n), total(v, count), *(np.bincount(v[m], minlength=n) for m in (count == 1, count == 2, count > 2))]
+def context_stats(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each context: occurrences, and words seen once, twice, more often."""
+    known, where = np.unique(context, return_inverse=True)
+    total = np.bincount(where, weights=count, minlength=len(known)).astype(np.int64)  # exact below 2^53
+    return known, [total, *(np.bincount(where[m], minlength=len(known)) for m in (count == 1, count == 2, count > 2))]
 
 
 def counts_of_counts(x: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(x, 5), minlength=6)[1:5].tolist()
 
 
-def word_block(slot: int, word: np.ndarray, fields: list[np.ndarray]) -> bytes:
-    return _padded(WORD_HEAD.pack(WORD_MAGIC, slot, len(word), 0) + word.astype("<u8").tobytes() + b"".join(f.astype("<u8").tobytes() for f in fields))
+def block(magic: bytes, level: int, number: int, key: np.ndarray, fields: list[np.ndarray]) -> bytes:
+    """Keys in order, then each field as bytes and the places and values of its large ones. Padded so that block and separator end on an 8-byte place."""
+    parts = [BLOCK_HEAD.pack(magic, level, number, len(key), len(fields)), key.astype("<u8").tobytes()]
+    for f in fields:
+        large = np.flatnonzero(f >= 255)
+        small = np.minimum(f, 255).astype(np.uint8).tobytes()
+        parts += [struct.pack("<Q", len(large)), small + b"\0" * (-len(small) % 8), large.astype("<u8").tobytes(), f[large].astype("<u8").tobytes()]
+    made = b"".join(parts)
+    return made + b"\0" * ((7 - len(made)) % 8)
+
+
+class Table:
+    """A memory-mapped block."""
+
+    def __init__(self, mapped: np.ndarray, at: int):
+        self.magic, self.level, self.number, n, k = BLOCK_HEAD.unpack(mapped[at : at + BLOCK_HEAD.size].tobytes())
+        if self.magic not in (KEY_MAGIC, CONTEXT_MAGIC, WORD_MAGIC):
+            raise ValueError(f"no block at byte {at}")
+        at += BLOCK_HEAD.size
+        take = lambda kind, count, lo: mapped[lo : lo + count * np.dtype(kind).itemsize].view(kind)
+        self.keys, self.fields = take("<u8", n, at), []
+        at += 8 * n
+        for _ in range(k):
+            large = int(take("<u8", 1, at)[0])
+            small = take("u1", n, at + 8)
+            at += 8 + n + -n % 8
+            self.fields.append((small, take("<u8", large, at), take("<u8", large, at + 8 * large)))
+            at += 16 * large
+        self.end = at + (7 - at) % 8 + 1
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(places in ascending ``wanted`` that are there, their fields)."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * len(self.fields)
+        at = np.searchsorted(self.keys, wanted)
+        hit = np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == wanted))
+        at, out = at[hit], []
+        for small, where, value in self.fields:
+            found = small[at].astype(np.int64)
+            big = np.flatnonzero(found == 255)
+            if len(big):
+                found[big] = value[np.searchsorted(where, at[big].astype(np.uint64))]
+            out.append(found)
+        return hit, out
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -212,90 +246,67 @@ def _discount(count: np.ndarray, d: list[float]) -> np.ndarray:
 
 
 class Model:
-    """Reads the memory-mapped blocks."""
+    """Looks n-grams up in the files that hold them, each mapped when it is first needed."""
 
     def __init__(self, spec: dict):
-        self.spec = spec
-        self.heavy = np.array(spec["heavy"], np.uint64)
-        self.pairs, self.words = {}, {}
-        for place in spec["files"]:
-            mapped = np.memmap(_local(place), np.uint8, "r")
-            at = 0
-            while at < len(mapped):
-                magic, number, n, large = PAIR_HEAD.unpack(mapped[at : at + PAIR_HEAD.size].tobytes())
-                body = at + PAIR_HEAD.size
-                take = lambda kind, count, lo: mapped[lo : lo + count * np.dtype(kind).itemsize].view(kind)
-                if magic == PAIR_MAGIC:
-                    counts = body + 8 * n
-                    over = counts + n + -n % 8
-                    self.pairs[number] = (take("<u8", n, body), take("u1", n, counts), take("<u8", large, over), take("<u8", large, over + 8 * large))
-                    at = over + 16 * large
-                elif magic == WORD_MAGIC:
-                    self.words[number] = [take("<u8", n, body + 8 * n * k) for k in range(1 + len(WORD_FIELDS))]
-                    at = body + 8 * n * (1 + len(WORD_FIELDS))
-                else:
-                    raise ValueError(f"no block at byte {at} of {place}")
-                at += (7 - at) % 8 + 1
+        self.spec, self.tables, self.read = spec, {}, set()
+        self.heavy = {int(m): (np.array(sorted(map(int, h)), np.uint64), np.array([h[k] for k in sorted(h, key=int)], np.int64).reshape(-1, CONTEXT_FIELDS)) for m, h in spec["heavy"].items()}
+
+    def _table(self, magic: bytes, level: int, number: int) -> Table | None:
+        for place in self.spec["files"].get(f"{level}/{number}", ()):
+            if place not in self.read:
+                self.read.add(place)
+                mapped, at = np.memmap(_local(place), np.uint8, "r"), 0
+                while at < len(mapped):
+                    made = Table(mapped, at)
+                    self.tables[made.magic, made.level, made.number], at = made, made.end
+        return self.tables.get((magic, level, number))
 
     @staticmethod
-    def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in ``wanted`` that are there, places in ``sorted_``)."""
-        at = np.searchsorted(sorted_, wanted)
-        hit = np.flatnonzero((at < len(sorted_)) & (sorted_[np.minimum(at, max(len(sorted_) - 1, 0))] == wanted)) if len(sorted_) else np.zeros(0, np.int64)
-        return hit, at[hit]
-
-    def _each(self, route: np.ndarray):
+    def _each(route: np.ndarray):
         order = np.argsort(route, kind="stable")
         at = np.append(_starts(route[order]), len(order))
         for lo, hi in zip(at[:-1], at[1:]):
             yield int(route[order[lo]]), order[lo:hi]
 
-    def pair_counts(self, prev: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Of ascending keys."""
-        out = np.zeros(len(key), np.int64)
-        for shard, own in self._each(pair_shard(prev, key, self.heavy, self.spec["pair_shards"])):
-            if shard in self.pairs:
-                keys, small, over_at, over = self.pairs[shard]
-                hit, at = self._find(keys, key[own])
-                count = small[at].astype(np.int64)
-                big = np.flatnonzero(count == 255)
-                if len(big):
-                    count[big] = over[np.searchsorted(over_at, at[big].astype(np.uint64))]
-                out[own[hit]] = count
-        return out
-
-    def word_fields(self, words: np.ndarray) -> list[np.ndarray]:
-        """Of ascending words."""
-        out = [np.zeros(len(words), np.int64) for _ in WORD_FIELDS]
-        for slot, own in self._each(words % np.uint64(self.spec["word_shards"])):
-            if slot in self.words:
-                known, *fields = self.words[slot]
-                hit, at = self._find(known, words[own])
-                for to, field in zip(out, fields):
-                    to[own[hit]] = field[at]
+    def _fields(self, magic: bytes, level: int, wanted: np.ndarray, route: np.ndarray, fields: int) -> list[np.ndarray]:
+        """Of ascending keys; zeros where there is nothing."""
+        out = [np.zeros(len(wanted), np.int64) for _ in range(fields)]
+        for number, own in self._each(route):
+            table = self._table(magic, level, number)
+            if table is not None:
+                hit, found = table.find(wanted[own])
+                for to, x in zip(out, found):
+                    to[own[hit]] = x
         return out
 
     def score(self, hashes: np.ndarray, sizes: np.ndarray):
         """(known tokens, base score, score) of each text."""
-        s = self.spec
-        prev = contexts(hashes, sizes)
-        words, where = np.unique(np.concatenate([hashes, prev]), return_inverse=True)
-        w, v = where[: len(hashes)], where[len(hashes) :]
-        c, cont, ctx, n1, n2, n3 = self.word_fields(words)
+        s, uniform = self.spec, 1.0 / (self.spec["V"] + 1)
+        words, where = np.unique(hashes, return_inverse=True)
+        c, cont = self._fields(WORD_MAGIC, 1, words, words % np.uint64(s["word_shards"]), WORD_FIELDS)
         base = np.log10((c + 0.5) / (s["N"] + 0.5 * (s["V"] + 1)))
-        d, e = s["D"], s["E"]
-        pairs, uniform = max(s["pairs"], 1), 1.0 / (s["V"] + 1)
-        spare = (e[0] * s["m"][0] + e[1] * s["m"][1] + e[2] * s["m"][2]) / pairs if s["pairs"] else 1.0
-        lower = np.maximum(cont - _discount(cont, e), 0) / pairs + spare * uniform
-        key, first, back = np.unique(pair_hash(prev, hashes), return_index=True, return_inverse=True)
-        v, w1 = v[first], w[first]
-        count = self.pair_counts(prev[first], key)
-        held = d[0] * n1[v] + d[1] * n2[v] + d[2] * n3[v]
-        seen = ctx[v] > 0
-        p = np.where(seen, (np.maximum(count - _discount(count, d), 0) + held * lower[w1]) / np.maximum(ctx[v], 1), lower[w1])
+        e, m, pairs = s["D"]["1"], s["m"], max(s["pairs"], 1)
+        spare = (e[0] * m[0] + e[1] * m[1] + e[2] * m[2]) / pairs if s["pairs"] else 1.0
+        p = (np.maximum(cont - _discount(cont, e), 0) / pairs + spare * uniform)[where]
+        for level, context in enumerate(contexts(hashes, sizes, s["order"]), 2):
+            d, (heavy, stats) = s["D"][str(level)], self.heavy[level]
+            key, first, back = np.unique(pair_hash(context, hashes), return_index=True, return_inverse=True)
+            (count,) = self._fields(KEY_MAGIC, level, key, shard_of(context[first], key, heavy, s["shards"]), 1)
+            known, at = np.unique(context, return_inverse=True)
+            total, *n = self._fields(CONTEXT_MAGIC, level, known, (known >> np.uint64(7)) % np.uint64(s["shards"]), CONTEXT_FIELDS)
+            if len(heavy):
+                place = np.minimum(np.searchsorted(heavy, known), len(heavy) - 1)
+                own = heavy[place] == known
+                total[own] = stats[place[own], 0]
+                for k in range(3):
+                    n[k][own] = stats[place[own], k + 1]
+            held = (d[0] * n[0] + d[1] * n[1] + d[2] * n[2])[at]
+            count, total = count[back], total[at]
+            p = np.where(total > 0, (np.maximum(count - _discount(count, d), 0) + held * p) / np.maximum(total, 1), p)
         starts = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, starts)
-        return add((c > 0)[w].astype(np.int64)), add(base[w]), add(np.log10(p)[back])
+        return add((c > 0)[where].astype(np.int64)), add(base[where]), add(np.log10(p))
 
 
 _MODELS: dict[str, Model] = {}
@@ -317,31 +328,56 @@ def _model(spec: dict) -> Model:
     return _MODELS[spec["path"]]
 
 
-def train(docs: DataFrame, text_col: str = "text") -> dict:
+def heavy_contexts(kept: DataFrame, order: int) -> dict[int, list[int]]:
+    """Contexts of each order that are most frequent in about ``SAMPLE_ROWS`` rows, picked by hashes of the texts from all."""
+    n = kept.count()
+    sample = kept.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE_ROWS))) == 0)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                raw, at = utf8_buffer(part.column(0))
+                hashes, sizes = tokens(raw.tobytes(), at)
+                for level, context in enumerate(contexts(hashes, sizes, order), 2):
+                    known, times = np.unique(context, return_counts=True)
+                    top = np.argsort(-times, kind="stable")[: 2 * HEAVY]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), level, np.int32)), pa.array(known[top].view(np.int64)), pa.array(times[top])], names=["level", "context", "n"])
+
+    counts = sample.mapInArrow(run, "level int, context long, n long").groupBy("level", "context").agg(F.sum("n").alias("n"))
+    out = {}
+    for level in range(2, order + 1):
+        top = counts.where(F.col("level") == level).orderBy(F.desc("n"), "context").limit(HEAVY).collect()
+        out[level] = sorted(r.context % (1 << 64) for r in top)
+    return out
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
     """Count all texts; returns where the model lies and its totals."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = docs.sparkSession
     kept = pick(docs, text_col).toDF("text")
     volume = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    pair_shards, word_shards = max(1, -(-volume // PAIR_BYTES)), max(1, -(-volume // WORD_BYTES))
-    sample = kept.limit(SAMPLE_ROWS).select(F.explode(F.split(fold_ascii(F.col("text")), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
-    heavy = sorted({word_hash(r.w.encode()) for r in sample.groupBy("w").count().orderBy(F.desc("count"), "w").limit(HEAVY - 1).collect()} | {word_hash(BEGIN_TOKEN)})
+    shards, word_shards = max(1, -(-volume // GRAM_BYTES)), max(1, -(-volume // WORD_BYTES))
+    heavy = heavy_contexts(kept, order)
     path = shared_dir(spark, "lm")
 
     def count(batches):
-        known = np.array(heavy, np.uint64)
+        known = np.array(heavy[order], np.uint64)
         held, n = [], 0
 
         def send():
-            prev, cur = (np.concatenate(x) for x in zip(*held))
-            rows = list(pair_records(prev, cur, known, pair_shards))
+            *chain, word = (np.concatenate(x) for x in zip(*held))
             held.clear()
+            _, first, times = distinct(pair_hash(chain[-1], word))
+            rows = list(gram_records([c[first] for c in chain], word[first], times, known, shards))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "record"])
 
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 raw, at = utf8_buffer(part.column(0))
                 hashes, sizes = tokens(raw.tobytes(), at)
-                held.append((contexts(hashes, sizes), hashes))
+                held.append((*contexts(hashes, sizes, order), hashes))
                 n += len(hashes)
                 if n >= FLUSH_TOKENS:
                     yield send()
@@ -349,25 +385,36 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
         if held:
             yield send()
 
-    def add_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [read_pairs(x) for x in table["record"].to_pylist()]
-        pair, prev, cur, n = count_pairs(*(np.concatenate(x) for x in zip(*parts)))
-        words, fields = word_stats(prev, cur, n)
-        out = [("pair", pair_block(key[0].as_py(), pair, n)), ("total", json.dumps({"pairs": len(pair), "n": counts_of_counts(n)}).encode())]
-        slot = words % np.uint64(word_shards)
-        for k in range(word_shards):
-            own = np.flatnonzero(slot == k)
-            if len(own):
-                record = word_record(words[own], [f[own] for f in fields])
-                out.append(("word", struct.pack("<QQ", k, len(record)) + record))
-        return pa.table([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], names=["kind", "value"])
+    def add_grams(level: int):
+        spread, below = np.array(heavy[level], np.uint64), np.array(heavy.get(level - 1, []), np.uint64)
+
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            number = key[0].as_py()
+            *chain, word, times = (np.concatenate(x) for x in zip(*[read_grams(x, level - 1) for x in table["record"].to_pylist()]))
+            grams, first, times = distinct(pair_hash(chain[-1], word), times)
+            chain, word = [c[first] for c in chain], word[first]
+            known, stats = context_stats(chain[-1], times)
+            hot = np.isin(known, spread)
+            out = [("model", block(KEY_MAGIC, level, number, grams, [times]) + b"\n" + block(CONTEXT_MAGIC, level, number, known[~hot], [x[~hot] for x in stats]))]
+            out.append(("total", json.dumps({"grams": len(grams), "n": counts_of_counts(times), "hot": [[int(k), *(int(x[i]) for x in stats)] for i, k in zip(np.flatnonzero(hot), known[hot])]}).encode()))
+            down = []
+            if level == order:
+                words, _, raw = distinct(word, times)
+                down += [(1, k, word_record(words[own], [raw[own], np.zeros(len(own), np.int64)])) for k, own in Model._each(words % np.uint64(word_shards))]
+            if level == 2:
+                words, _, preceding = distinct(word)
+                down += [(1, k, word_record(words[own], [np.zeros(len(own), np.int64), preceding[own]])) for k, own in Model._each(words % np.uint64(word_shards))]
+            else:  # each distinct gram is one occurrence of its last words
+                _, first, preceding = distinct(pair_hash(chain[-2], word))
+                down += [(level - 1, k, r) for k, r in gram_records([c[first] for c in chain[:-1]], word[first], preceding, below, shards)]
+            out += [(f"down{to}", struct.pack("<QQ", k, len(r)) + r) for to, k, r in down]
+            return pa.table([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], names=["kind", "value"])
+
+        return run
 
     def write(df: DataFrame, at: str) -> None:
         df.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("lineSep", "\n").text(at)
 
-    counted = kept.mapInArrow(count, "shard int, record binary").repartition(pair_shards, "shard")
-    write(counted.groupBy("shard").applyInArrow(add_pairs, "kind string, value binary"), f"{path}/a")
-
     def split_records(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
@@ -377,44 +424,82 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
                     slots.append(slot)
                     records.append(data[at + 16 : at + 16 + size])
                     at += 16 + size + 1
-                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(records, pa.binary())], names=["slot", "record"])
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(records, pa.binary())], names=["shard", "record"])
+
+    def handed_down(level: int) -> DataFrame:
+        """Records for an order, from the files of the orders above it."""
+        places = [p for k in range(2, order + 1) if (p := f"{path}/{k}/kind=down{level}") and _files(spark, p)]
+        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(places).select("content").mapInArrow(split_records, "shard int, record binary")
 
     def add_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [read_words(x) for x in table["record"].to_pylist()]
-        words, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        fields = [np.bincount(where, weights=np.concatenate([p[1][k] for p in parts]), minlength=len(words)).astype(np.int64) for k in range(len(WORD_FIELDS))]
-        total = {"N": int(fields[0].sum()), "V": int((fields[0] > 0).sum()), "m": counts_of_counts(fields[1]), "m3": int((fields[1] > 2).sum())}
-        out = [("word", word_block(key[0].as_py(), words, fields)), ("total", json.dumps(total).encode())]
+        words, *fields = (np.concatenate(x) for x in zip(*[read_words(x) for x in table["record"].to_pylist()]))
+        words, where = np.unique(words, return_inverse=True)
+        c, cont = (np.bincount(where, weights=f, minlength=len(words)).astype(np.int64) for f in fields)
+        total = {"N": int(c.sum()), "V": len(words), "m": counts_of_counts(cont), "m3": int((cont > 2).sum())}
+        out = [("model", block(WORD_MAGIC, 1, key[0].as_py(), words, [c, cont])), ("total", json.dumps(total).encode())]
         return pa.table([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], names=["kind", "value"])
 
-    spec = {"path": path, "heavy": heavy, "pair_shards": pair_shards, "word_shards": word_shards, "files": [], "N": 0, "V": 0, "pairs": 0, "D": [0.5, 1.0, 1.5], "E": [0.5, 1.0, 1.5], "m": [0, 0, 0]}
-    found = lambda at: sorted(_files(spark, at))
-    if not any("/kind=pair/" in x for x in found(f"{path}/a")):
+    spec = {"path": path, "order": order, "heavy": {m: {} for m in range(2, order + 1)}, "shards": shards, "word_shards": word_shards, "files": {}, "N": 0, "V": 0, "pairs": 0, "m": [0, 0, 0], "D": {str(m): [0.5, 1.0, 1.5] for m in range(1, order + 1)}}
+    if not kept.limit(1).count():
         return spec
-    partial = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/a/kind=word").select("content")
-    by_slot = partial.mapInArrow(split_records, "slot int, record binary").repartition(word_shards, "slot")
-    write(by_slot.groupBy("slot").applyInArrow(add_words, "kind string, value binary"), f"{path}/b")
-    totals = lambda at: [json.loads(r.value) for r in spark.read.text(f"{at}/kind=total").collect()]
-    for t in totals(f"{path}/b"):
+    records = kept.mapInArrow(count, "shard int, record binary")
+    for level in range(order, 1, -1):
+        placed = (records if level == order else handed_down(level)).repartition(shards, "shard")
+        write(placed.groupBy("shard").applyInArrow(add_grams(level), "kind string, value binary"), f"{path}/{level}")
+        n = [0] * 4
+        # a line a shard
+        for t in (json.loads(r.value) for r in spark.read.text(f"{path}/{level}/kind=total").toLocalIterator()):
+            n = [a + b for a, b in zip(n, t["n"])]
+            if level == 2:
+                spec["pairs"] += t["grams"]
+            for k, *stats in t["hot"]:
+                spec["heavy"][level][str(k)] = [a + b for a, b in zip(spec["heavy"][level].get(str(k), [0] * CONTEXT_FIELDS), stats)]
+        spec["D"][str(level)] = discounts(n)
+        if level < order:
+            _delete(spark, f"{path}/{level + 1}/kind=down{level}")
+    write(handed_down(1).repartition(word_shards, "shard").groupBy("shard").applyInArrow(add_words, "kind string, value binary"), f"{path}/1")
+    m4 = [0] * 4
+    for t in (json.loads(r.value) for r in spark.read.text(f"{path}/1/kind=total").toLocalIterator()):
         spec["N"] += t["N"]
         spec["V"] += t["V"]
         spec["m"] = [a + b for a, b in zip(spec["m"], [*t["m"][:2], t["m3"]])]
-        spec["m_of"] = [a + b for a, b in zip(spec.get("m_of", [0] * 4), t["m"])]
-    n = [0] * 4
-    for t in totals(f"{path}/a"):
-        spec["pairs"] += t["pairs"]
-        n = [a + b for a, b in zip(n, t["n"])]
-    spec |= {"D": discounts(n), "E": discounts(spec.pop("m_of")), "files": [x for x in found(f"{path}/a") + found(f"{path}/b") if "/kind=pair/" in x or ("/b/kind=word/" in x)]}
+        m4 = [a + b for a, b in zip(m4, t["m"])]
+    spec["D"]["1"] = discounts(m4)
+    for k in range(2, order + 1):
+        _delete(spark, f"{path}/{k}/kind=down1")
+    spec["files"] = _index(spark, path, order)
     if urlparse(path).scheme not in ("", "file"):
-        for x in spec["files"]:
+        for x in sorted({x for places in spec["files"].values() for x in places}):
             spark.sparkContext.addFile(x)
     return spec
 
 
+def _index(spark, path: str, order: int) -> dict[str, list[str]]:
+    """Files that hold each order's shards: of the model's files, the heads of their blocks are read."""
+
+    def run(batches):
+        for batch in batches:
+            places, names = [], []
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mapped, at = np.frombuffer(data, np.uint8), 0
+                while at < len(mapped):
+                    made = Table(mapped, at)
+                    names.append(f"{made.level}/{made.number}")
+                    places.append(place)
+                    at = made.end
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(places, pa.string())], names=["shard", "path"])
+
+    folders = [f"{path}/{k}/kind=model" for k in range(1, order + 1)]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folders).select("path", "content")
+    out: dict[str, list[str]] = {}
+    for r in files.mapInArrow(run, "shard string, path string").distinct().toLocalIterator():
+        out.setdefault(r.shard, []).append(r.path)
+    return out
+
+
 def _files(spark, path: str) -> list[str]:
     """URIs of the part files below a folder."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(where):
         return []
@@ -426,26 +511,33 @@ def _files(spark, path: str) -> list[str]:
     return out
 
 
+def _delete(spark, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def score(df: DataFrame, spec: dict, *carry: str, text_col: str = "text") -> DataFrame:
     """Carried columns, then n_tokens, n_known, train_tokens, base_score and score of every whole text."""
-    kept = pick(df, *carry, text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
+    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    places = [f"c{k}" for k in range(len(carry))]
+    kept = pick(df, *carry, text_col).toDF(*places, "text")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.schema[:-1])
 
     def run(batches):
         model = _model(spec)
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 raw, at = utf8_buffer(part.column(part.num_columns - 1))
                 hashes, sizes = tokens(raw.tobytes(), at)
                 known, base, full = model.score(hashes, sizes)
-                made = [sizes, known, np.full(len(sizes), spec["N"], np.int64), base, full]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, made)], names=[*part.schema.names[:-1], "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                columns = [sizes, known, np.full(len(sizes), spec["N"], np.int64), base, full]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, columns)], names=[*places, *made])
 
-    return kept.mapInArrow(run, f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return kept.mapInArrow(run, f"{schema}n_tokens long, n_known long, train_tokens long, base_score double, score double").toDF(*carry, *made)
 
 
-def train_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
+def train_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, order: int = ORDER) -> DataFrame:
     """Learn from the rows outside the held-out fold, score all."""
-    held_out = in_fold(F.col(f"`{id_col}`"), folds, held)
-    spec = train(pick(df, id_col, text_col).where(~held_out), text_col)
-    return score(pick(df, id_col, text_col).withColumn("held_out", held_out), spec, id_col, "held_out", text_col=text_col)
+    rows = pick(df, id_col, text_col).toDF("id", "text").withColumn("held_out", in_fold(F.col("id"), folds, held))
+    spec = train(rows.where("not held_out"), order=order)
+    return score(rows, spec, "id", "held_out").withColumnRenamed("id", id_col)
