@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,19 @@ from newsloom.sources.tables import shared_dir  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def with_row_key(df: DataFrame, places: list[str], label: str) -> DataFrame:
+    """``df`` under other column names, and row, which tells its rows apart on every reading.
+
+    Rows that come straight from files are known by file and place (nothing is
+    written); others are written first.
+    """
+    try:
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(df.columns, places)], place.alias("row"))
+    except AnalysisException:
+        return materialize(df.toDF(*places).withColumn("row", F.monotonically_increasing_id()), label)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

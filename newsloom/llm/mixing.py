@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, word_count
+from .common import materialize, pick, with_row_key, word_count
 
 #: The weights in turn, the share of all sizes, the most a source is repeated.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -274,9 +274,9 @@ def draw_documents(df: DataFrame, seed: int = 20, shards: int = 16, text_col: st
     places = {c: f"c{k}" for k, c in enumerate(df.columns)}
     names = {"id_col": "doc_id", "source_col": "source"} | {k: v for k, v in options.items() if k in ("id_col", "source_col")}
     rest = {k: v for k, v in options.items() if k not in names}
-    keyed = materialize(df.toDF(*places.values()).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    keyed = with_row_key(df, list(places.values()), "mix-rows")
     mixed = mix(keyed, seed, shards, text_col=places[text_col], carry="row", whole=True, **{k: places[v] for k, v in names.items()}, **rest)
     drawn = mixed.select("row", "size", F.explode_outer("pieces").alias("p")).where("p is not null or size = 0")
-    drawn = drawn.select("row", F.coalesce("p.shard", F.pmod("row", F.lit(shards)).cast("int")).alias("shard"), F.coalesce("p.place", F.xxhash64(F.lit(seed), "row")).alias("place"))
+    drawn = drawn.select("row", F.coalesce("p.shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).alias("shard"), F.coalesce("p.place", F.xxhash64(F.lit(seed), "row")).alias("place"))
     laid = keyed.join(drawn, "row").repartition(F.col("shard"), F.pmod("place", F.lit(64)))
     return laid.sortWithinPartitions("shard", "place", "row").select(*places.values()).toDF(*df.columns)

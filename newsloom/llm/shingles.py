@@ -16,9 +16,9 @@ A group of k near copies does not cost k * k / 2 pairs.  Rounds of stars come
 first: in the postings of the prefixes each node meets one other node, one that has
 few edits, each node's best one is verified, and components grow.  Only
 then do all nodes of a posting that are still in different components meet;
-these pairs are counted, what is shared up to the earlier end of the two prefixes,
-and all of that text's other shingles, bound the overlap, and what passes is
-verified.  Texts of equal sets are one node from the start.
+what 512 parity bits of the two sets leave possible, and then what is shared up to
+the earlier end of the two prefixes with all of that text's other shingles, bound
+the overlap from above, and what passes is verified.  Texts of equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -45,6 +45,9 @@ LATE = np.uint64(1 << 62)
 #: Differing bits up to which operator 6's index gives candidates, rounds of stars, and candidates' ids that are broadcast at most.
 BITS, STARS, BROADCAST_IDS = 2, 1, 1 << 20
 
+#: Words of 64 bits in a set's parity bits.
+PARITY = 8
+
 #: Pairs sent at once.
 PAIRS = 1 << 18
 
@@ -54,6 +57,12 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width) >> np.uint64(2))
 
 
+def parity_bits(found: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY classes of hashes, whether the set has an odd number of them: two sets differ in at least as many shingles as bits."""
+    place = (found >> np.uint64(7)) % np.uint64(64 * PARITY)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=64 * PARITY) & 1, bitorder="little").view(np.int64)
+
+
 def prefix_length(n: int) -> int:
     """How many of a text's n shingles a linked text must share one of."""
     return n - -(-LEAST[0] * n // LEAST[1]) + 1 if n else 0
@@ -87,7 +96,7 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
-    """(row, fingerprint, digest of the set, n, tokens of the prefix in order)."""
+    """(row, fingerprint, digest of the set, n, tokens of the prefix in order, parity bits)."""
 
     def run(batches):
         from xxhash import xxh3_128_digest
@@ -95,19 +104,21 @@ def _sketches(rows: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 hashes = [shingle_hashes(x, width) for x in _byte_texts(part.column(1))]
-                digest, n, prefix = [], [], []
+                digest, n, prefix, parity = [], [], [], []
                 for found in hashes:
                     found = np.unique(found >> np.uint64(2))
                     late = np.isin(found, frequent, assume_unique=True)
                     digest.append(xxh3_128_digest(found.tobytes()))
                     n.append(len(found))
+                    parity.append(parity_bits(found))
                     ordered = np.concatenate([found[~late], found[late] | LATE])
                     prefix.append(ordered[: prefix_length(len(found))].view(np.int64))
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(votes(hashes).view(np.int64)), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), tokens], names=["row", "fp", "digest", "n", "tokens"])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * PARITY), pa.array(np.concatenate(parity)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(votes(hashes).view(np.int64)), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), tokens, bits], names=["row", "fp", "digest", "n", "tokens", "parity"])
 
-    return rows.mapInArrow(run, "row long, fp long, digest binary, n int, tokens array<long>")
+    return rows.mapInArrow(run, "row long, fp long, digest binary, n int, tokens array<long>, parity array<long>")
 
 
 def _postings(df: DataFrame, names: tuple[str, ...], work, schema: str) -> DataFrame:
@@ -171,39 +182,53 @@ def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return pairs[at, 0], pairs[at, 1], np.diff(np.append(at, len(pairs)))
 
 
-def cross_pairs(token: np.ndarray, row: np.ndarray, n: np.ndarray, label: np.ndarray):
-    """(a, b, shared) for rows of different components that stand under one token and whose sizes allow a link; entries are in order of token and n.
+def able_to_link(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the sizes and the parity bits of two entries leave a link possible."""
+    both = n[i] + n[j]
+    least = -(-LEAST[0] * both // sum(LEAST))  # what the sets share at least, if they link
+    apart = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return (LEAST[0] * np.maximum(n[i], n[j]) <= LEAST[1] * np.minimum(n[i], n[j])) & (apart <= both - 2 * least)
+
+
+def mixed_entries(token: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which entries stand in postings of more than one component."""
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    mixed = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
+    return np.repeat(mixed, np.diff(np.append(begin, len(token))))
 
-    In a posting, rows outside its largest component meet the others, so a
-    posting of one component costs nothing. Pairs come in parts: sums over all
-    are the shared tokens.
+
+def cross_pairs(token: np.ndarray, row: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray):
+    """(a, b, shared) for rows of different components that stand under one token and may link; entries are in order of token and n.
+
+    In a posting, rows outside its largest component meet the others. Pairs come
+    in parts: sums over all are the shared tokens.
     """
-    a, b, held = [], [], 0
-    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    if not len(token):
+        return
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     end = np.append(begin[1:], len(token))
-    mixed = np.flatnonzero(np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)) if len(begin) else []
-    for k in mixed:
-        lo, hi = begin[k], end[k]
-        own, size, at = label[lo:hi], n[lo:hi], row[lo:hi]
-        if hi - lo == 2:
-            if LEAST[0] * size[1] <= LEAST[1] * size[0]:
-                a.append(at[:1])
-                b.append(at[1:])
-                held += 1
-        else:
-            values, where, times = np.unique(own, return_inverse=True, return_counts=True)
-            others = where != int(np.argmax(times))
-            for i in np.flatnonzero(others):
-                first = int(np.searchsorted(size, -(-LEAST[0] * size[i] // LEAST[1])))
-                last = int(np.searchsorted(size, LEAST[1] * size[i] // LEAST[0], "right"))
-                met = np.arange(first, last)
-                met = met[(own[met] != own[i]) & (~others[met] | (met > i))]
-                a.append(np.full(len(met), at[i]))
-                b.append(at[met])
-                held += len(met)
-                if held > PAIRS:
-                    yield _counted(np.concatenate(a), np.concatenate(b))
-                    a, b, held = [], [], 0
+    # postings of two, at once
+    i = begin[end - begin == 2]
+    i = i[label[i] != label[i + 1]]
+    i = i[able_to_link(n, bits, i, i + 1)]
+    a, b, held = [row[i]], [row[i + 1]], len(i)
+    for lo, hi in zip(begin[end - begin > 2], end[end - begin > 2]):
+        values, where, times = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+        if len(values) == 1:
+            continue
+        others = where != int(np.argmax(times))
+        for k in np.flatnonzero(others):
+            first = int(np.searchsorted(n[lo:hi], -(-LEAST[0] * n[lo + k] // LEAST[1])))
+            last = int(np.searchsorted(n[lo:hi], LEAST[1] * n[lo + k] // LEAST[0], "right"))
+            met = np.arange(first, last)
+            met = met[(where[met] != where[k]) & (~others[met] | (met > k))]
+            met = met[able_to_link(n, bits, np.full(len(met), lo + k), lo + met)]
+            a.append(np.full(len(met), row[lo + k]))
+            b.append(row[lo + met])
+            held += len(met)
+            if held > PAIRS:
+                yield _counted(np.concatenate(a), np.concatenate(b))
+                a, b, held = [], [], 0
     if held:
         yield _counted(np.concatenate(a), np.concatenate(b))
 
@@ -230,14 +255,22 @@ def _star_round(entries: DataFrame, roots: DataFrame | None, turn: int) -> DataF
     return met.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def _closing_pairs(entries: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _closing_pairs(entries: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): pairs of nodes of different components whose prefixes allow a link."""
+    names = ("token", "row", "n", "label")
+
+    def mixed(*columns):
+        keep = mixed_entries(columns[0], columns[3])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=names)
 
-    def work(token, row, n, label):
-        for a, b, shared in cross_pairs(token, row, n, label):
+    def work(token, row, n, label, *bits):
+        for a, b, shared in cross_pairs(token, row, n, label, np.stack(bits, axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared.astype(np.int64))], names=["a", "b", "shared"])
 
-    met = _postings(_labelled(entries, roots), ("token", "row", "n", "label"), work, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    apart = materialize(_postings(_labelled(entries, roots), names, mixed, "token long, row long, n long, label long"), "near-mixed")
+    places = [f"p{k}" for k in range(PARITY)]
+    apart = apart.join(nodes.select("row", *[F.get("parity", F.lit(k)).alias(p) for k, p in enumerate(places)]), "row")
+    met = _postings(apart, (*names, *places), work, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     sizes = nodes.select("row", "n", F.size("tokens").alias("p"), F.element_at("tokens", -1).alias("end"))
     side = lambda k: sizes.toDF(k, f"n{k}", f"p{k}", f"end{k}")
     rest = F.when(F.col("enda") <= F.col("endb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))

@@ -93,15 +93,31 @@ def test_pairs_of_a_posting_in_parts(monkeypatch):
                 want[key] = want.get(key, 0) + 1
     monkeypatch.setattr(shingles, "PAIRS", 20)
     got = {}
-    for a, b, shared in shingles.cross_pairs(token, row, n, label):
+    bits = np.zeros((80, shingles.PARITY), np.int64)
+    for a, b, shared in shingles.cross_pairs(token, row, n, label, bits):
         for x, y, s in zip(a, b, shared):
             got[x, y] = got.get((x, y), 0) + s
     assert got == want
+    assert (shingles.mixed_entries(token, label) == (token != 0)).all()
     for turn in (0, 1):
         stars = list(zip(*shingles.star_pairs(token, row, n, label, rng.integers(1, 1000, 80), turn)))
         assert len(stars) > 10 and all(tuple(sorted(pair)) in want for pair in stars)
 
 
+def test_parity_bits_bound_from_above():
+    rng = np.random.default_rng(6)
+    for size in (5, 60, 2000):
+        base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        for changed in (0, size // 20, size // 9, size // 5, size // 2):
+            other = base.copy()
+            other[:changed] = rng.integers(0, 1 << 62, changed).astype(np.uint64)
+            a, b = np.unique(base), np.unique(other)
+            bits = np.stack([shingles.parity_bits(a), shingles.parity_bits(b)])
+            able = shingles.able_to_link(np.array([len(a), len(b)]), bits, np.array([0]), np.array([1]))[0]
+            assert able or not shingles.linked(a, b)
+    assert not able or size == 2000
+
+
 def test_a_group_of_near_copies_costs_no_square_of_pairs(spark, monkeypatch):
     rng = random.Random(2)
     base = [f"v{rng.randrange(10**6)}" for _ in range(200)]
