@@ -3,31 +3,32 @@
 Counting.  Words are hashed to 64 bits (XXH64, seed 42); an n-gram's key is a
 hash of its context's and its last word's.  Each task counts the n-grams of the
 highest order of about a million tokens and sends, for each shard, one packed
-record.  Shards go by the context's hash; contexts that a sample of all rows
-shows to be heavy (at most ``HEAVY`` an order) are spread over all shards by the
-key instead, so no context's continuations meet in one task.  The sample decides
-where n-grams meet and never what is counted.  A shard adds up its n-grams and
-writes the counts as arrays sorted by key, and what it knows of each context
-(occurrences; words seen once, twice, more often) as arrays sorted by context.
-Each distinct n-gram is then one occurrence of its last n - 1 words in the order
-below, whose counts are such continuation counts, and so on down to single words,
-whose raw counts come from the highest order.
-
-Files.  Blocks are written by Spark's text sink to the shared folder (the line
-separator is padding; blocks keep to 8-byte places) and are memory-mapped by the
-workers, which share their pages, when a shard is first asked for.  Where that
-folder is not a mounted one, Spark ships the files to the workers.  The driver
-holds a few totals a shard and the heavy contexts.
+record of words and counts.  Shards go by the word before the last: a shard then
+has all of its contexts whole, of every order from the highest down to two, and
+counts each distinct n-gram as one occurrence of its last n - 1 words (a
+continuation count) on the spot.  Words that a sample of all rows shows to be
+heavy (``HEAVY`` at most) do not meet in one task: their n-grams go by the whole
+context, and where that is heavy too by the key, and are handed down order by
+order.  The sample decides where n-grams meet and never what is counted.  The
+texts are read ``WAVES`` times, each time for a part of the shards, so that only
+that part of the shuffle is on disk at once.
+
+Files.  A shard writes, for each order, the keys with their counts, the contexts
+seen once, and the other contexts with what is known of them (occurrences; words
+seen once, twice, more often), as arrays sorted by hash.  Of large arrays the
+upper 16 bits of a hash are an index, which saves two bytes of eight.  Blocks are
+written by Spark's text sink to the shared folder (the line separator is padding;
+blocks keep to 8-byte places) and are memory-mapped by the workers, which share
+their pages, when a shard is first asked for.  Where that folder is not a mounted
+one, Spark ships the files to the workers.  The driver holds a few totals a shard
+and the heavy contexts.
 
 Scoring.  With c the counts of an order, D its discounts (from counts of counts)
 and h a context that was seen,
 p(w|h) = (max(c(hw) - D, 0) + (D1 N1(h) + D2 N2(h) + D3 N3+(h)) p(w|h')) / c(h),
 h' being h without its first word; an unseen context leaves p(w|h').  Single words
 end in the uniform 1 / (V + 1) that unseen words share.  A text is its words and
-an end, after order - 1 begins.
-
-Cost.  ``order`` is a parameter.  Nearly every triple of words occurs once, so
-shuffle and files grow with it: see the README for measured figures.
+an end, after order - 1 begins.  ``order`` is a parameter.
 
 Defined cases: null and empty texts are the end alone; a null doc_id hashes as
 the empty text and so trains; repeated rows count each time; with nothing to
@@ -37,13 +38,14 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_fold, pick, shared_dir, slices, utf8_buffer
@@ -53,13 +55,16 @@ from .simhash import FOLD, SEED
 ORDER = 3
 
 #: Tokens a task counts before it sends; text bytes of an n-gram shard and of a word shard; rows of the sample (about) and heavy contexts of an order at most.
-FLUSH_TOKENS, GRAM_BYTES, WORD_BYTES, SAMPLE_ROWS, HEAVY = 1_000_000, 16 << 20, 64 << 20, 4000, 1000
+FLUSH_TOKENS, GRAM_BYTES, WORD_BYTES, SAMPLE_ROWS, HEAVY = 1_000_000, 8 << 20, 64 << 20, 4000, 1000
+
+#: Passes over the texts, keys of a block that has an index of upper bits at least, and the share of a shard's tokens above which a word of the sample is heavy.
+WAVES, INDEXED, HEAVY_SHARE = 3, 1 << 16, 0.25
 
 #: Hashes of what is no word: the empty string ends a text, a space begins it.
 END_TOKEN, BEGIN_TOKEN = b"", b" "
 
 BLOCK_HEAD = struct.Struct("<8sQQQQ")
-KEY_MAGIC, CONTEXT_MAGIC, WORD_MAGIC = b"NLKNKEYS", b"NLKNCTXT", b"NLKNWORD"
+KEY_MAGIC, CONTEXT_MAGIC, ONCE_MAGIC, WORD_MAGIC = b"NLKNKEYS", b"NLKNCTXT", b"NLKNONCE", b"NLKNWORD"
 #: What is known of a context, and of a word.
 CONTEXT_FIELDS, WORD_FIELDS = 4, 2
 
@@ -92,22 +97,42 @@ def tokens(data: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(hashes, np.uint64), np.array(sizes, np.int64)
 
 
-def contexts(hashes: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order from 2 up, the hash of the words before each token; a text's begin is as many begins as needed."""
+def words_before(hashes: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each token the word before it, the one before that, and so on; before a text stand begins."""
     starts = np.cumsum(sizes) - sizes
     place = np.arange(len(hashes)) - np.repeat(starts, sizes)
-    begin, out, held = np.uint64(word_hash(BEGIN_TOKEN)), [], np.zeros(len(hashes), np.uint64)
+    out = []
     for back in range(1, order):
-        word = np.full(len(hashes), begin)
-        inside = place >= back
-        word[inside] = hashes[np.flatnonzero(inside) - back]
+        word = np.full(len(hashes), np.uint64(word_hash(BEGIN_TOKEN)))
+        inside = np.flatnonzero(place >= back)
+        word[inside] = hashes[inside - back]
+        out.append(word)
+    return out
+
+
+def contexts(before: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the last word before, of the last two, and so on."""
+    out, held = [], np.zeros(len(before[0]), np.uint64)
+    for word in before:
         held = pair_hash(word, held)
         out.append(held)
     return out
 
 
-def shard_of(context: np.ndarray, key: np.ndarray, heavy: np.ndarray, shards: int) -> np.ndarray:
-    return np.where(np.isin(context, heavy), key, context >> np.uint64(7)) % np.uint64(shards)
+class Layout:
+    """Which shard has an n-gram or a context of an order: numbers below ``shards`` are those of words that are not heavy."""
+
+    def __init__(self, shards: int, words: list[int], heavy: dict[int, list[int]]):
+        self.shards, self.words = shards, np.array(sorted(words), np.uint64)
+        self.heavy = {m: np.array(sorted(h), np.uint64) for m, h in heavy.items()}
+
+    def of_contexts(self, level: int, last: np.ndarray, context: np.ndarray) -> np.ndarray:
+        n, cut = np.uint64(self.shards), np.uint64(7)
+        return np.where(np.isin(last, self.words), n + (context >> cut) % n, (last >> cut) % n)
+
+    def of_grams(self, level: int, last: np.ndarray, context: np.ndarray, key: np.ndarray) -> np.ndarray:
+        n = np.uint64(self.shards)
+        return np.where(np.isin(last, self.words) & np.isin(context, self.heavy[level]), n + key % n, self.of_contexts(level, last, context))
 
 
 def _pack_counts(x: np.ndarray) -> bytes:
@@ -139,27 +164,26 @@ def distinct(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarr
     return key[order[at]], order[at], summed
 
 
-def gram_records(chain: list[np.ndarray], word: np.ndarray, count: np.ndarray, heavy: np.ndarray, shards: int):
-    """(shard, record) of distinct n-grams: ``chain`` has the hashes of a gram's contexts, the whole one last."""
-    shard = shard_of(chain[-1], pair_hash(chain[-1], word), heavy, shards)
-    order = np.lexsort((chain[-1], shard))
-    shard, word, count, chain = shard[order], word[order], count[order], [c[order] for c in chain]
+def gram_records(shard: np.ndarray, before: list[np.ndarray], word: np.ndarray, count: np.ndarray):
+    """(shard, record) of distinct n-grams: the last word before each, in runs, then the others before it, the word, and its count."""
+    order = np.lexsort((before[0], shard))
+    shard, word, count, before = shard[order], word[order], count[order], [c[order] for c in before]
     at = np.append(_starts(shard), len(shard))
     for lo, hi in zip(at[:-1], at[1:]):
-        runs = _starts(chain[-1][lo:hi])
+        runs = _starts(before[0][lo:hi])
         sizes = np.diff(np.append(runs, hi - lo))
-        heads = b"".join(c[lo:hi][runs].astype("<u8").tobytes() for c in chain)
-        yield int(shard[lo]), struct.pack("<QQ", len(runs), hi - lo) + heads + _pack_counts(sizes) + word[lo:hi].astype("<u8").tobytes() + _pack_counts(count[lo:hi])
+        rest = b"".join(c[lo:hi].astype("<u8").tobytes() for c in [*before[1:], word])
+        yield int(shard[lo]), struct.pack("<QQ", len(runs), hi - lo) + before[0][lo:hi][runs].astype("<u8").tobytes() + _pack_counts(sizes) + rest + _pack_counts(count[lo:hi])
 
 
 def read_grams(record: bytes, depth: int) -> list[np.ndarray]:
-    """The ``depth`` context hashes of each n-gram, its word and its count."""
+    """The ``depth`` words before each n-gram's last, that word, and its count."""
     n_runs, n = struct.unpack_from("<QQ", record)
-    heads = np.frombuffer(record, "<u8", depth * n_runs, 16).reshape(depth, n_runs)
-    sizes, at = _unpack_counts(record, n_runs, 16 + 8 * depth * n_runs)
-    word = np.frombuffer(record, "<u8", n, at)
-    count, _ = _unpack_counts(record, n, at + 8 * n)
-    return [*(np.repeat(h, sizes) for h in heads), word, count]
+    runs = np.frombuffer(record, "<u8", n_runs, 16)
+    sizes, at = _unpack_counts(record, n_runs, 16 + 8 * n_runs)
+    rest = np.frombuffer(record, "<u8", depth * n, at).reshape(depth, n)
+    count, _ = _unpack_counts(record, n, at + 8 * depth * n)
+    return [np.repeat(runs, sizes), *rest, count]
 
 
 def word_record(word: np.ndarray, fields: list[np.ndarray]) -> bytes:
@@ -187,12 +211,17 @@ def counts_of_counts(x: np.ndarray) -> list[int]:
 
 
 def block(magic: bytes, level: int, number: int, key: np.ndarray, fields: list[np.ndarray]) -> bytes:
-    """Keys in order, then each field as bytes and the places and values of its large ones. Padded so that block and separator end on an 8-byte place."""
-    parts = [BLOCK_HEAD.pack(magic, level, number, len(key), len(fields)), key.astype("<u8").tobytes()]
+    """Keys in order (large arrays: where those of each upper 16 bits begin, then 32 and 16 lower bits), then each field as bytes and the places and values of its large ones. Padded so that block and separator end on an 8-byte place."""
+    even = lambda x: x + b"\0" * (-len(x) % 8)
+    parts = [BLOCK_HEAD.pack(magic, level, number, len(key), len(fields))]
+    if len(key) < INDEXED:
+        parts.append(key.astype("<u8").tobytes())
+    else:
+        begins = np.searchsorted(key >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64))
+        parts += [even(begins.astype("<u4").tobytes()), even((key >> np.uint64(16)).astype("<u4").tobytes()), even(key.astype("<u2").tobytes())]
     for f in fields:
         large = np.flatnonzero(f >= 255)
-        small = np.minimum(f, 255).astype(np.uint8).tobytes()
-        parts += [struct.pack("<Q", len(large)), small + b"\0" * (-len(small) % 8), large.astype("<u8").tobytes(), f[large].astype("<u8").tobytes()]
+        parts += [struct.pack("<Q", len(large)), even(np.minimum(f, 255).astype(np.uint8).tobytes()), large.astype("<u8").tobytes(), f[large].astype("<u8").tobytes()]
     made = b"".join(parts)
     return made + b"\0" * ((7 - len(made)) % 8)
 
@@ -201,28 +230,50 @@ class Table:
     """A memory-mapped block."""
 
     def __init__(self, mapped: np.ndarray, at: int):
-        self.magic, self.level, self.number, n, k = BLOCK_HEAD.unpack(mapped[at : at + BLOCK_HEAD.size].tobytes())
-        if self.magic not in (KEY_MAGIC, CONTEXT_MAGIC, WORD_MAGIC):
+        self.magic, self.level, self.number, self.n, k = BLOCK_HEAD.unpack(mapped[at : at + BLOCK_HEAD.size].tobytes())
+        if self.magic not in (KEY_MAGIC, CONTEXT_MAGIC, ONCE_MAGIC, WORD_MAGIC):
             raise ValueError(f"no block at byte {at}")
-        at += BLOCK_HEAD.size
-        take = lambda kind, count, lo: mapped[lo : lo + count * np.dtype(kind).itemsize].view(kind)
-        self.keys, self.fields = take("<u8", n, at), []
-        at += 8 * n
+        self.at = at + BLOCK_HEAD.size
+
+        def take(kind, count):
+            size = count * np.dtype(kind).itemsize
+            out = mapped[self.at : self.at + size].view(kind)
+            self.at += size + -size % 8
+            return out
+
+        self.keys = take("<u8", self.n) if self.n < INDEXED else None
+        if self.keys is None:
+            self.begins, self.middle, self.low = take("<u4", (1 << 16) + 1), take("<u4", self.n), take("<u2", self.n)
+        self.fields = []
         for _ in range(k):
-            large = int(take("<u8", 1, at)[0])
-            small = take("u1", n, at + 8)
-            at += 8 + n + -n % 8
-            self.fields.append((small, take("<u8", large, at), take("<u8", large, at + 8 * large)))
-            at += 16 * large
-        self.end = at + (7 - at) % 8 + 1
+            large = int(take("<u8", 1)[0])
+            self.fields.append((take("u1", self.n), take("<u8", large), take("<u8", large)))
+        self.end = self.at + (7 - self.at) % 8 + 1
+
+    def _places(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ascending ``wanted`` that are there, their places here)."""
+        if self.keys is not None:
+            at = np.searchsorted(self.keys, wanted)
+            hit = np.flatnonzero((at < self.n) & (self.keys[np.minimum(at, self.n - 1)] == wanted))
+            return hit, at[hit]
+        upper, lower = (wanted >> np.uint64(48)).astype(np.int64), wanted & np.uint64((1 << 48) - 1)
+        lo, end = self.begins[upper].astype(np.int64), self.begins[upper + 1].astype(np.int64)
+        value = lambda i: (self.middle[i].astype(np.uint64) << np.uint64(16) | self.low[i]) & np.uint64((1 << 48) - 1)
+        hi = end.copy()
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = value(mid) < lower[open_]
+            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+        hit = np.flatnonzero(lo < end)
+        hit = hit[value(lo[hit]) == lower[hit]]
+        return hit, lo[hit]
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """(places in ascending ``wanted`` that are there, their fields)."""
-        if not len(self.keys):
+        if not self.n:
             return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * len(self.fields)
-        at = np.searchsorted(self.keys, wanted)
-        hit = np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == wanted))
-        at, out = at[hit], []
+        hit, at = self._places(wanted)
+        out = []
         for small, where, value in self.fields:
             found = small[at].astype(np.int64)
             big = np.flatnonzero(found == 255)
@@ -250,7 +301,9 @@ class Model:
 
     def __init__(self, spec: dict):
         self.spec, self.tables, self.read = spec, {}, set()
-        self.heavy = {int(m): (np.array(sorted(map(int, h)), np.uint64), np.array([h[k] for k in sorted(h, key=int)], np.int64).reshape(-1, CONTEXT_FIELDS)) for m, h in spec["heavy"].items()}
+        known = {int(m): sorted((int(k), x) for k, x in h.items()) for m, h in spec["heavy"].items()}
+        self.heavy = {m: (np.array([k for k, _ in h], np.uint64), np.array([x for _, x in h], np.int64).reshape(-1, CONTEXT_FIELDS)) for m, h in known.items()}
+        self.layout = Layout(spec["shards"], spec["heavy_words"], {int(m): h for m, h in spec["heavy_contexts"].items()})
 
     def _table(self, magic: bytes, level: int, number: int) -> Table | None:
         for place in self.spec["files"].get(f"{level}/{number}", ()):
@@ -280,6 +333,15 @@ class Model:
                     to[own[hit]] = x
         return out
 
+    def _once(self, level: int, wanted: np.ndarray, route: np.ndarray) -> np.ndarray:
+        """Which of ascending contexts were seen once."""
+        out = np.zeros(len(wanted), bool)
+        for number, own in self._each(route):
+            table = self._table(ONCE_MAGIC, level, number)
+            if table is not None:
+                out[own[table.find(wanted[own])[0]]] = True
+        return out
+
     def score(self, hashes: np.ndarray, sizes: np.ndarray):
         """(known tokens, base score, score) of each text."""
         s, uniform = self.spec, 1.0 / (self.spec["V"] + 1)
@@ -289,12 +351,17 @@ class Model:
         e, m, pairs = s["D"]["1"], s["m"], max(s["pairs"], 1)
         spare = (e[0] * m[0] + e[1] * m[1] + e[2] * m[2]) / pairs if s["pairs"] else 1.0
         p = (np.maximum(cont - _discount(cont, e), 0) / pairs + spare * uniform)[where]
-        for level, context in enumerate(contexts(hashes, sizes, s["order"]), 2):
+        before = words_before(hashes, sizes, s["order"])
+        for level, context in enumerate(contexts(before), 2):
             d, (heavy, stats) = s["D"][str(level)], self.heavy[level]
             key, first, back = np.unique(pair_hash(context, hashes), return_index=True, return_inverse=True)
-            (count,) = self._fields(KEY_MAGIC, level, key, shard_of(context[first], key, heavy, s["shards"]), 1)
-            known, at = np.unique(context, return_inverse=True)
-            total, *n = self._fields(CONTEXT_MAGIC, level, known, (known >> np.uint64(7)) % np.uint64(s["shards"]), CONTEXT_FIELDS)
+            (count,) = self._fields(KEY_MAGIC, level, key, self.layout.of_grams(level, before[0][first], context[first], key), 1)
+            known, first, at = np.unique(context, return_index=True, return_inverse=True)
+            route = self.layout.of_contexts(level, before[0][first], known)
+            total, *n = self._fields(CONTEXT_MAGIC, level, known, route, CONTEXT_FIELDS)
+            rest = np.flatnonzero(total == 0)
+            once = self._once(level, known[rest], route[rest])
+            total[rest[once]] = n[0][rest[once]] = 1
             if len(heavy):
                 place = np.minimum(np.searchsorted(heavy, known), len(heavy) - 1)
                 own = heavy[place] == known
@@ -328,27 +395,32 @@ def _model(spec: dict) -> Model:
     return _MODELS[spec["path"]]
 
 
-def heavy_contexts(kept: DataFrame, order: int) -> dict[int, list[int]]:
-    """Contexts of each order that are most frequent in about ``SAMPLE_ROWS`` rows, picked by hashes of the texts from all."""
-    n = kept.count()
-    sample = kept.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE_ROWS))) == 0)
+def heavy_ones(kept: DataFrame, order: int, shards: int) -> tuple[list[int], dict[int, list[int]]]:
+    """(words, contexts of each order) that would fill a shard (a context is spread if its last word is heavy too), by about ``SAMPLE_ROWS`` rows that hashes of the texts pick from all."""
+    sample = kept.where(F.pmod(F.xxhash64("text"), F.lit(max(1, kept.count() // SAMPLE_ROWS))) == 0)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 raw, at = utf8_buffer(part.column(0))
                 hashes, sizes = tokens(raw.tobytes(), at)
-                for level, context in enumerate(contexts(hashes, sizes, order), 2):
+                before = words_before(hashes, sizes, order)
+                for level, context in enumerate([before[0], *contexts(before)], 1):
                     known, times = np.unique(context, return_counts=True)
                     top = np.argsort(-times, kind="stable")[: 2 * HEAVY]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), level, np.int32)), pa.array(known[top].view(np.int64)), pa.array(times[top])], names=["level", "context", "n"])
+                    share = np.append(times[top], len(hashes))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top) + 1, level, np.int32)), pa.array([*known[top].view(np.int64).tolist(), None], pa.int64()), pa.array(share)], names=["level", "context", "n"])
 
     counts = sample.mapInArrow(run, "level int, context long, n long").groupBy("level", "context").agg(F.sum("n").alias("n"))
-    out = {}
-    for level in range(2, order + 1):
-        top = counts.where(F.col("level") == level).orderBy(F.desc("n"), "context").limit(HEAVY).collect()
-        out[level] = sorted(r.context % (1 << 64) for r in top)
-    return out
+    # of each order the most frequent ones, and the number of all tokens
+    best = F.row_number().over(Window.partitionBy("level").orderBy(F.col("context").isNull().desc(), F.desc("n"), "context"))
+    rows = counts.withColumn("place", best).where(F.col("place") <= HEAVY + 1).collect()
+    total = max([1, *(r.n for r in rows if r.context is None)])
+    large = {m: sorted(r.context % (1 << 64) for r in rows if r.level == m and r.context is not None and r.n * shards > HEAVY_SHARE * total) for m in range(1, order + 1)}
+    words = large.pop(1)
+    # the contexts of order two are the heavy words themselves
+    large[2] = sorted(pair_hash(np.array(words, np.uint64), np.zeros(len(words), np.uint64)).tolist())
+    return words, large
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
@@ -359,54 +431,78 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
     kept = pick(docs, text_col).toDF("text")
     volume = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, word_shards = max(1, -(-volume // GRAM_BYTES)), max(1, -(-volume // WORD_BYTES))
-    heavy = heavy_contexts(kept, order)
+    heavy_words, heavy = heavy_ones(kept, order, shards)
     path = shared_dir(spark, "lm")
 
-    def count(batches):
-        known = np.array(heavy[order], np.uint64)
-        held, n = [], 0
-
-        def send():
-            *chain, word = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            _, first, times = distinct(pair_hash(chain[-1], word))
-            rows = list(gram_records([c[first] for c in chain], word[first], times, known, shards))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "record"])
+    def count(wave: int):
+        def run(batches):
+            layout, held, n = Layout(shards, heavy_words, heavy), [], 0
+
+            def send():
+                shard, key, word, *before = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                _, first, times = distinct(key)
+                rows = list(gram_records(shard[first], [c[first] for c in before], word[first], times))
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "record"])
+
+            for batch in batches:
+                for part in slices(batch, "text", 1 << 20):
+                    raw, at = utf8_buffer(part.column(0))
+                    hashes, sizes = tokens(raw.tobytes(), at)
+                    before = words_before(hashes, sizes, order)
+                    context = contexts(before)[-1]
+                    key = pair_hash(context, hashes)
+                    shard = layout.of_grams(order, before[0], context, key)
+                    own = np.flatnonzero(shard % np.uint64(WAVES) == wave)
+                    held.append([x[own] for x in (shard, key, hashes, *before)])
+                    n += len(own)
+                    if n >= FLUSH_TOKENS:
+                        yield send()
+                        n = 0
+            if n:
+                yield send()
 
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                raw, at = utf8_buffer(part.column(0))
-                hashes, sizes = tokens(raw.tobytes(), at)
-                held.append((*contexts(hashes, sizes, order), hashes))
-                n += len(hashes)
-                if n >= FLUSH_TOKENS:
-                    yield send()
-                    n = 0
-        if held:
-            yield send()
+        return run
 
     def add_grams(level: int):
-        spread, below = np.array(heavy[level], np.uint64), np.array(heavy.get(level - 1, []), np.uint64)
+        def tables(at: int, number: int, before: list[np.ndarray], word: np.ndarray, times: np.ndarray | None, spread: np.ndarray):
+            """The model's blocks of one order, its totals, and one of each distinct n-gram."""
+            context = contexts(before)[-1]
+            grams, first, times = distinct(pair_hash(context, word), times)
+            known, stats = context_stats(context[first], times)
+            hot = np.isin(known, spread)
+            once = ~hot & (stats[0] == 1)
+            many = ~hot & ~once
+            blocks = [block(KEY_MAGIC, at, number, grams, [times]), block(CONTEXT_MAGIC, at, number, known[many], [x[many] for x in stats]), block(ONCE_MAGIC, at, number, known[once], [])]
+            total = {"level": at, "grams": len(grams), "n": counts_of_counts(times), "hot": [[int(known[i]), *(int(x[i]) for x in stats)] for i in np.flatnonzero(hot)]}
+            return [("model", b"\n".join(blocks)), ("total", json.dumps(total).encode())], first, times
+
+        def to_words(words: np.ndarray, raw: np.ndarray, preceding: np.ndarray):
+            return [(1, k, word_record(words[own], [raw[own], preceding[own]])) for k, own in Model._each(words % np.uint64(word_shards))]
 
         def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            number = key[0].as_py()
-            *chain, word, times = (np.concatenate(x) for x in zip(*[read_grams(x, level - 1) for x in table["record"].to_pylist()]))
-            grams, first, times = distinct(pair_hash(chain[-1], word), times)
-            chain, word = [c[first] for c in chain], word[first]
-            known, stats = context_stats(chain[-1], times)
-            hot = np.isin(known, spread)
-            out = [("model", block(KEY_MAGIC, level, number, grams, [times]) + b"\n" + block(CONTEXT_MAGIC, level, number, known[~hot], [x[~hot] for x in stats]))]
-            out.append(("total", json.dumps({"grams": len(grams), "n": counts_of_counts(times), "hot": [[int(k), *(int(x[i]) for x in stats)] for i, k in zip(np.flatnonzero(hot), known[hot])]}).encode()))
-            down = []
+            number, layout = key[0].as_py(), Layout(shards, heavy_words, heavy)
+            *before, word, times = (np.concatenate(x) for x in zip(*[read_grams(x, level - 1) for x in table["record"].to_pylist()]))
+            out, down = [], []
             if level == order:
                 words, _, raw = distinct(word, times)
-                down += [(1, k, word_record(words[own], [raw[own], np.zeros(len(own), np.int64)])) for k, own in Model._each(words % np.uint64(word_shards))]
-            if level == 2:
-                words, _, preceding = distinct(word)
-                down += [(1, k, word_record(words[own], [np.zeros(len(own), np.int64), preceding[own]])) for k, own in Model._each(words % np.uint64(word_shards))]
-            else:  # each distinct gram is one occurrence of its last words
-                _, first, preceding = distinct(pair_hash(chain[-2], word))
-                down += [(level - 1, k, r) for k, r in gram_records([c[first] for c in chain[:-1]], word[first], preceding, below, shards)]
+                down += to_words(words, raw, np.zeros(len(raw), np.int64))
+            for at in range(level, 1, -1):
+                made, first, _ = tables(at, number, before, word, times, layout.heavy[at] if number >= shards else np.zeros(0, np.uint64))
+                out += made
+                before, word, times = [c[first] for c in before], word[first], None
+                if at == 2:
+                    words, _, preceding = distinct(word)
+                    down += to_words(words, np.zeros(len(words), np.int64), preceding)
+                    break
+                before.pop()  # each distinct gram is one occurrence of its last words
+                if number >= shards:  # heavy words: the order below is added up by shards of its own
+                    context = contexts(before)[-1]
+                    grams, first, preceding = distinct(pair_hash(context, word))
+                    before, word = [c[first] for c in before], word[first]
+                    shard = layout.of_grams(at - 1, before[0], context[first], grams)
+                    down += [(at - 1, k, r) for k, r in gram_records(shard, before, word, preceding)]
+                    break
             out += [(f"down{to}", struct.pack("<QQ", k, len(r)) + r) for to, k, r in down]
             return pa.table([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], names=["kind", "value"])
 
@@ -426,10 +522,10 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
                     at += 16 + size + 1
                 yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(records, pa.binary())], names=["shard", "record"])
 
-    def handed_down(level: int) -> DataFrame:
+    def handed_down(level: int) -> DataFrame | None:
         """Records for an order, from the files of the orders above it."""
-        places = [p for k in range(2, order + 1) if (p := f"{path}/{k}/kind=down{level}") and _files(spark, p)]
-        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(places).select("content").mapInArrow(split_records, "shard int, record binary")
+        places = [p for f in folders if _files(spark, p := f"{f}/kind=down{level}")]
+        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(places).select("content").mapInArrow(split_records, "shard int, record binary") if places else None
 
     def add_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         words, *fields = (np.concatenate(x) for x in zip(*[read_words(x) for x in table["record"].to_pylist()]))
@@ -439,42 +535,53 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
         out = [("model", block(WORD_MAGIC, 1, key[0].as_py(), words, [c, cont])), ("total", json.dumps(total).encode())]
         return pa.table([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], names=["kind", "value"])
 
-    spec = {"path": path, "order": order, "heavy": {m: {} for m in range(2, order + 1)}, "shards": shards, "word_shards": word_shards, "files": {}, "N": 0, "V": 0, "pairs": 0, "m": [0, 0, 0], "D": {str(m): [0.5, 1.0, 1.5] for m in range(1, order + 1)}}
+    spec = {"path": path, "order": order, "heavy_words": heavy_words, "heavy_contexts": heavy, "heavy": {m: {} for m in range(2, order + 1)}, "shards": shards, "word_shards": word_shards, "files": {}}
+    spec |= {"N": 0, "V": 0, "pairs": 0, "m": [0, 0, 0], "D": {str(m): [0.5, 1.0, 1.5] for m in range(1, order + 1)}}
     if not kept.limit(1).count():
         return spec
-    records = kept.mapInArrow(count, "shard int, record binary")
-    for level in range(order, 1, -1):
-        placed = (records if level == order else handed_down(level)).repartition(shards, "shard")
-        write(placed.groupBy("shard").applyInArrow(add_grams(level), "kind string, value binary"), f"{path}/{level}")
-        n = [0] * 4
-        # a line a shard
-        for t in (json.loads(r.value) for r in spark.read.text(f"{path}/{level}/kind=total").toLocalIterator()):
-            n = [a + b for a, b in zip(n, t["n"])]
-            if level == 2:
-                spec["pairs"] += t["grams"]
-            for k, *stats in t["hot"]:
-                spec["heavy"][level][str(k)] = [a + b for a, b in zip(spec["heavy"][level].get(str(k), [0] * CONTEXT_FIELDS), stats)]
-        spec["D"][str(level)] = discounts(n)
-        if level < order:
-            _delete(spark, f"{path}/{level + 1}/kind=down{level}")
-    write(handed_down(1).repartition(word_shards, "shard").groupBy("shard").applyInArrow(add_words, "kind string, value binary"), f"{path}/1")
+    folders = []
+    for wave in range(WAVES):
+        placed = kept.mapInArrow(count(wave), "shard int, record binary").repartition(max(1, -(-2 * shards // WAVES)), "shard")
+        folders.append(f"{path}/{order}-{wave}")
+        write(placed.groupBy("shard").applyInArrow(add_grams(order), "kind string, value binary"), folders[-1])
+        # what a wave has shuffled is held until the driver's garbage is collected
+        del placed
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    for level in range(order - 1, 1, -1):
+        below = handed_down(level)
+        if below is not None:
+            write(below.repartition(shards, "shard").groupBy("shard").applyInArrow(add_grams(level), "kind string, value binary"), f"{path}/{level}-0")
+            folders.append(f"{path}/{level}-0")
+    n = {m: [0] * 4 for m in range(2, order + 1)}
+    # a line a shard and order
+    for t in (json.loads(r.value) for f in folders if _files(spark, f"{f}/kind=total") for r in spark.read.text(f"{f}/kind=total").toLocalIterator()):
+        level = t["level"]
+        n[level] = [a + b for a, b in zip(n[level], t["n"])]
+        if level == 2:
+            spec["pairs"] += t["grams"]
+        for k, *stats in t["hot"]:
+            spec["heavy"][level][str(k)] = [a + b for a, b in zip(spec["heavy"][level].get(str(k), [0] * CONTEXT_FIELDS), stats)]
+    spec["D"] |= {str(m): discounts(x) for m, x in n.items()}
+    write(handed_down(1).repartition(word_shards, "shard").groupBy("shard").applyInArrow(add_words, "kind string, value binary"), f"{path}/1-0")
     m4 = [0] * 4
-    for t in (json.loads(r.value) for r in spark.read.text(f"{path}/1/kind=total").toLocalIterator()):
+    for t in (json.loads(r.value) for r in spark.read.text(f"{path}/1-0/kind=total").toLocalIterator()):
         spec["N"] += t["N"]
         spec["V"] += t["V"]
         spec["m"] = [a + b for a, b in zip(spec["m"], [*t["m"][:2], t["m3"]])]
         m4 = [a + b for a, b in zip(m4, t["m"])]
     spec["D"]["1"] = discounts(m4)
-    for k in range(2, order + 1):
-        _delete(spark, f"{path}/{k}/kind=down1")
-    spec["files"] = _index(spark, path, order)
+    for f in folders:
+        for level in range(1, order):
+            _delete(spark, f"{f}/kind=down{level}")
+    spec["files"] = _index(spark, [f"{f}/kind=model" for f in [*folders, f"{path}/1-0"] if _files(spark, f"{f}/kind=model")])
     if urlparse(path).scheme not in ("", "file"):
         for x in sorted({x for places in spec["files"].values() for x in places}):
             spark.sparkContext.addFile(x)
     return spec
 
 
-def _index(spark, path: str, order: int) -> dict[str, list[str]]:
+def _index(spark, folders: list[str]) -> dict[str, list[str]]:
     """Files that hold each order's shards: of the model's files, the heads of their blocks are read."""
 
     def run(batches):
@@ -489,7 +596,6 @@ def _index(spark, path: str, order: int) -> dict[str, list[str]]:
                     at = made.end
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(places, pa.string())], names=["shard", "path"])
 
-    folders = [f"{path}/{k}/kind=model" for k in range(1, order + 1)]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folders).select("path", "content")
     out: dict[str, list[str]] = {}
     for r in files.mapInArrow(run, "shard string, path string").distinct().toLocalIterator():

@@ -75,6 +75,7 @@ def test_equals_dictionaries_over_many_shards(spark, odd_docs, no_docs, monkeypa
     monkeypatch.setattr(lm, "WORD_BYTES", 30_000)
     monkeypatch.setattr(lm, "FLUSH_TOKENS", 2_000)
     monkeypatch.setattr(lm, "HEAVY", 3)
+    monkeypatch.setattr(lm, "INDEXED", 40)
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     compare(lm.train_and_score(odd_docs, order=order).collect(), brute(rows, order)[0])
     assert lm.train_and_score(no_docs, order=order).count() == 0
@@ -107,6 +108,8 @@ def test_prose_of_many_documents(spark, monkeypatch):
 
     monkeypatch.setattr(lm, "GRAM_BYTES", 4_000)
     monkeypatch.setattr(lm, "HEAVY", 5)
+    monkeypatch.setattr(lm, "HEAVY_SHARE", 0.001)
+    monkeypatch.setattr(lm, "INDEXED", 20)
     rng = random.Random(1)
     rows = [(k, " ".join(rng.choices([f"w{i}" for i in range(40)], [1 / (i + 1) for i in range(40)], k=rng.randrange(60)))) for k in range(150)]
     compare(lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute(rows)[0])
