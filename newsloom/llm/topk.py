@@ -8,15 +8,18 @@ weights) into their scores.  Then each query keeps its k best of the block by
 partition selection, and the blocks' lists are merged by rank.
 
 Every query meets every block of candidates: the work is the product, in blocks
-of bounded memory, and blocks of queries and candidates are spread over tasks.
-Lists of k per query and block are all that is shuffled after that.
+of bounded memory, and each pair of blocks is a task of its own: both sides are
+dealt to as many partitions as there are pairs.  Lists of k per query and block
+are all that is shuffled after that.  Where one block would hold everything, the
+candidates are cut finer, so that small tables use all cores too.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite
 components take no part; rows that share a query's id are its own rows; of
 repeated query rows the smallest vector asks; repeated candidate rows are
 candidates each; vectors of other lengths score over the terms they share; fewer
 candidates than k give all of them; a null id takes no part; an empty table
-gives an empty table; extra columns are ignored.
+gives an empty table; extra columns are ignored.  Components so large that a
+score could pass 2^63 raise an error: no score is wrapped.
 """
 
 from __future__ import annotations
@@ -31,11 +34,15 @@ from .common import pick
 #: Rows of a block of candidates, of a block of queries, and cells of a dense score array.
 CANDIDATE_ROWS, QUERY_ROWS, CELLS = 16_384, 4_096, 1 << 20
 
+#: Components are below this, candidates of a block at least so many where blocks are cut finer, and pairs of blocks wanted at least.
+MOST, LEAST_ROWS, PAIRS = float(1 << 62), 1_024, 64
+
 
 def quantized(vector: Column, scale: float) -> Column:
     """floor(scale * x) of every component as array<bigint>; null if the vector takes no part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    too_large = F.raise_error(F.lit("a component is too large for exact scores"))
+    whole = F.transform(vector, lambda x: F.when(F.abs(x.cast("double") * scale) < MOST, F.floor(x.cast("double") * scale).cast("long")).otherwise(too_large.cast("long")))
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)), whole)
 
 
@@ -58,6 +65,8 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
     ids, vectors = ids[order], vectors[order]
     terms = min(queries.shape[1], vectors.shape[1])
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(terms, 1)
+    if top >= 2**63:
+        raise ValueError("components are too large for exact scores")
     kind = np.int32 if top < 2**31 else np.int64
     postings = []
     for t in range(terms):
@@ -96,6 +105,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     queries = kept.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     n, n_asking = kept.agg(F.count("*"), F.count_if("asks")).first()
     row_blocks, query_blocks = max(1, -(-n // CANDIDATE_ROWS)), max(1, -(-n_asking // QUERY_ROWS))
+    if row_blocks * query_blocks < PAIRS:
+        row_blocks = max(row_blocks, min(-(-PAIRS // query_blocks), n // LEAST_ROWS))
+    pairs = row_blocks * query_blocks
     block = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     candidates = kept.select("id", "v", block(row_blocks, 1).alias("rows"), every(query_blocks).alias("asked"))
@@ -107,6 +119,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
             found = best_of_block(left["id"].to_numpy(), _matrix(left["v"]), right["id"].to_numpy(), _matrix(right["v"]), k)
         return pa.table([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
+    asking, candidates = (side.repartition(pairs, "rows", "asked") for side in (asking, candidates))
     lists = asking.groupBy("rows", "asked").cogroup(candidates.groupBy("rows", "asked")).applyInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

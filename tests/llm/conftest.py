@@ -1,6 +1,6 @@
 import pytest
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, ids string, spans string, h long, `size` long, s string, fp long, node long"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, ids string, spans string, h long, `size` long, s string, fp long, node long, _row int, _draw int, _runs string, _score double, __order int, __row int, _text string, n_words long, `row` long, c0 int, held_out string, n long, _metadata string"
 LONG = "Lorem ipsum dolor " * 6000
 
 
@@ -19,7 +19,7 @@ def odd_docs(spark):
         (None, "one two", None, "b", 7),
         (8, "password = hunter2secret; key AKIA" + "A1B2C3D4E5F6G7H8" + " " + "0123456789abcdef01234567", "en", "b", 80),
     ]
-    return spark.createDataFrame([(*r, "x", "y", 1, 2, "z", 3, 4) for r in rows], ODD)
+    return spark.createDataFrame([(*r, "x", "y", 1, 2, "z", 3, 4, -7, -8, "r", 0.25, -9, -10, "t", 99, 77, 5, "no", 6, "m") for r in rows], ODD)
 
 
 @pytest.fixture(scope="session")

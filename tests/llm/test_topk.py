@@ -34,3 +34,12 @@ def test_fewer_candidates_than_k_and_empty_table(spark):
     df = spark.createDataFrame([(0, [1.0], 1, 2, "x", 3, 4), (7, [2.0], 1, 2, "x", 3, 4)], SCHEMA)
     assert [tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 7, 64 * 128)]
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_components_that_are_too_large_raise(spark):
+    import pytest
+
+    for x in (1e30, 1e8):
+        df = spark.createDataFrame([(0, [x] * 3, 1, 2, "x", 3, 4), (7, [x] * 3, 1, 2, "x", 3, 4)], SCHEMA.replace("array<float>", "array<double>"))
+        with pytest.raises(Exception, match="too large"):
+            topk.search(df, F.col("vec_id") % 20 == 0).collect()
