@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,11 +123,45 @@ def quote_regex(text: str) -> str:
     return "".join(c if c.isalnum() or c in " _" or ord(c) > 127 else "\\" + c for c in text)
 
 
-def has_phrase(text: Column, phrase: str, blank: bool = False) -> Column:
+class Phrases:
+    """Phrase tests of a folded text, each distinct phrase tested once a row; see ``with_phrases``."""
+
+    def __init__(self, tests: dict[str, Column] | None = None):
+        self.asked, self.tests = {}, tests
+
+    def has(self, needle: str) -> Column:
+        self.asked.setdefault(needle)
+        return F.lit(False) if self.tests is None else self.tests[needle]
+
+
+def with_phrases(df: DataFrame, column: str, *uses: Callable[[Phrases], object]) -> tuple[DataFrame, Phrases]:
+    """The rows with helper columns, and the tests that ``uses`` need in place of the text.
+
+    Phrases of one word are looked up among the words that the text and the phrases share, found in one pass; others are
+    searched, each once. Helper columns begin with ``_phrase``.
+    """
+    asked = Phrases()
+    for use in uses:
+        use(asked)
+    words = [n for n in asked.asked if all(c == "_" or unicodedata.category(c)[0] in "LN" for c in n)]
+    tests, made = {}, {}
+    if words:
+        spoken = F.regexp_extract_all(F.col(column), F.lit(f"({WORD_CHAR}+)"), 1)
+        made["_phrase_words"] = F.array_intersect(spoken, F.array(*[F.lit(w) for w in words]))
+        tests |= {w: F.coalesce(F.array_contains("_phrase_words", w), F.lit(False)) for w in words}
+    for k, needle in enumerate(n for n in asked.asked if n not in tests):
+        made[f"_phrase_{k}"] = has_phrase(F.col(column), needle)
+        tests[needle] = F.col(f"_phrase_{k}")
+    return df.select("*", *[c.alias(n) for n, c in made.items()]), Phrases(tests)
+
+
+def has_phrase(text: Column | Phrases, phrase: str, blank: bool = False) -> Column:
     """The folded phrase stands in folded text with no word character at either side; of a blank phrase the answer is given."""
     needle = fold_phrase(phrase)
     if not needle:
         return F.lit(blank)
+    if isinstance(text, Phrases):
+        return text.has(needle)
     return F.coalesce(text.rlike(f"(?<!{WORD_CHAR}){quote_regex(needle)}(?!{WORD_CHAR})"), F.lit(False))
 
 

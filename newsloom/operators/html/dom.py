@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "template"))
@@ -26,6 +27,20 @@ IMPLIED = {
 }
 
 
+class Measure(NamedTuple):
+    """Pieces of text, their characters, commas among these, and characters within links (of links in links, again)."""
+
+    pieces: int
+    size: int
+    commas: int
+    linked: int
+
+    @property
+    def spaced(self) -> int:
+        """Length of the pieces with a blank between each two."""
+        return self.size + max(self.pieces - 1, 0)
+
+
 class Node:
     __slots__ = ("attrs", "children", "name", "parent")
 
@@ -67,6 +82,22 @@ class Node:
             return between.join(self.strings())
         return between.join(s for x in self.strings() if (s := x.strip()))
 
+    def measures(self) -> dict[int, Measure]:
+        """Of the stripped text below each element, by its id: one pass from the leaves."""
+        out: dict[int, Measure] = {}
+        for node in reversed([self, *self.walk()]):
+            pieces = size = commas = linked = 0
+            for child in node.children if node.name not in RAW else ():
+                if isinstance(child, str):
+                    bare = child.strip()
+                    pieces, size, commas = pieces + bool(bare), size + len(bare), commas + bare.count(",")
+                else:
+                    own = out[id(child)]
+                    pieces, size, commas = pieces + own.pieces, size + own.size, commas + own.commas
+                    linked += own.linked + (own.size if child.name == "a" else 0)
+            out[id(node)] = Measure(pieces, size, commas, linked)
+        return out
+
     def raw(self) -> str:
         return "".join(c for c in self.children if isinstance(c, str))
 

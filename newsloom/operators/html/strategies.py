@@ -41,7 +41,7 @@ class Page:
         self.description = next((m["content"].strip() for m in self.metas if m.get("name") == "description" and m.get("content")), None)
         words = next((m["content"] for m in self.metas if m.get("name") == "keywords" and m.get("content")), "")
         self.keywords = [w.strip() for w in words.split(",") if w.strip()]
-        self._clean = False
+        self._clean, self._measures = False, None
 
     def _language(self) -> str | None:
         top = self.root.first("html")
@@ -74,6 +74,12 @@ class Page:
             self._clean = True
         return self.root
 
+    def measured(self) -> dict:
+        """Measures of the cleaned tree."""
+        if self._measures is None:
+            self._measures = self.cleaned().measures()
+        return self._measures
+
     def media(self, url: str | None) -> str | None:
         url = (url or "").strip()
         try:
@@ -260,11 +266,12 @@ def _body(page: Page) -> Node:
 
 def from_readability(page: Page) -> dict:
     points: dict[int, list] = {}
+    measured = page.measured()
     for node in _body(page).all(*SCORED):
-        text = node.text(" ", strip=True)
-        if len(text) < 25:
+        own = measured[id(node)]
+        if own.spaced < 25:
             continue
-        worth = 1.0 + text.count(",") + min(len(text) // 100, 3)
+        worth = 1.0 + own.commas + min(own.spaced // 100, 3)
         for holder, share in zip(node.above(), (1.0, 0.5)):
             if id(holder) not in points:
                 marks = f"{' '.join((holder.get('class') or '').split())} {holder.get('id') or ''}"
@@ -274,8 +281,8 @@ def from_readability(page: Page) -> dict:
         return failed("nothing to score")
 
     def unlinked(node: Node) -> float:
-        size = len(node.text(strip=True))
-        return 1 - min(1.0, sum(len(a.text(strip=True)) for a in node.all("a")) / size) if size else 1.0
+        own = measured[id(node)]
+        return 1 - min(1.0, own.linked / own.size) if own.size else 1.0
 
     node, worth = max(((n, w * unlinked(n)) for n, w in points.values()), key=lambda x: x[1])
     if worth <= 0:
@@ -297,12 +304,18 @@ def from_dom(page: Page, class_hints: bool = False) -> dict:
         if class_hints:
             tests.append(lambda n, h=hint: h.lower() in (n.get("class") or "").lower())
         tests.append(lambda n, h=hint: h.lower() in (n.get("id") or "").lower())
-    found = list({id(n): n for test in tests for n in body.where(test)}.values())
+    fits: list[list[Node]] = [[] for _ in tests]
+    for n in body.walk():
+        for k, test in enumerate(tests):
+            if test(n):
+                fits[k].append(n)
+    found = list({id(n): n for nodes in fits for n in nodes}.values())
     if not found:
         return failed("no container by tag, role or id")
-    size = lambda n: sum(len(p.text(strip=True)) for p in n.all("p", "li")) or len(n.text(strip=True))
-    node = max(found, key=size)
-    if size(node) < 150:
+    measured = page.measured()
+    sizes = {id(n): sum(measured[id(p)].size for p in n.all("p", "li")) or measured[id(n)].size for n in found}
+    node = max(found, key=lambda n: sizes[id(n)])
+    if sizes[id(node)] < 150:
         return failed("text of the largest container is under 150 characters")
     text = clean.tidy(clean.fragment_text(node))
     made, words = _of_container(page, node, text, ("h1",), False), len(_WORDS.findall(text))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom.config import RelevanceConfig
 from newsloom.functions.dates import parse_iso, recency
-from newsloom.functions.text import fold_phrase, fold_text, has_phrase
+from newsloom.functions.text import Phrases, fold_phrase, fold_text, has_phrase, with_phrases
 
 from .rules import compile_rule
 
@@ -62,7 +62,7 @@ def article_date(df: DataFrame) -> Column:
     return F.coalesce(*picks) if picks else F.lit(None).cast("timestamp")
 
 
-def keyword_matches(text: Column, config: RelevanceConfig) -> Column:
+def keyword_matches(text: Column | Phrases, config: RelevanceConfig) -> Column:
     """array<struct<group, keyword, weight>> in the order of the settings; a needle once a group, in its first spelling."""
     found, seen = [], set()
     for group in config.keyword_groups:
@@ -76,13 +76,13 @@ def keyword_matches(text: Column, config: RelevanceConfig) -> Column:
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<group:string,keyword:string,weight:double>>")
 
 
-def rule_matches(text: Column, config: RelevanceConfig) -> Column:
+def rule_matches(text: Column | Phrases, config: RelevanceConfig) -> Column:
     """array<struct<name, weight>>."""
     made = [F.when(compile_rule(r.expression, text), F.struct(F.lit(r.name).alias("name"), F.lit(float(r.weight)).alias("weight"))) for r in config.boolean_rules]
     return F.array_compact(F.array(*made)) if made else F.array().cast("array<struct<name:string,weight:double>>")
 
 
-def geography_matches(text: Column, config: RelevanceConfig) -> Column:
+def geography_matches(text: Column | Phrases, config: RelevanceConfig) -> Column:
     """array<struct<name, weight>>: any alias."""
     made = [
         F.when(reduce(or_, [has_phrase(text, a) for a in r.aliases], F.lit(False)), F.struct(F.lit(r.name).alias("name"), F.lit(float(r.weight)).alias("weight")))
@@ -118,7 +118,7 @@ def weighted(parts: list[Column], weights: tuple[float, ...]) -> Column:
 def score(df: DataFrame, config: RelevanceConfig, as_of: Column, exact: bool = False) -> DataFrame:
     """Adds decision, score, matched_keywords, matched_rules, matched_geographies, matched_entities (empty) and reasons."""
     df = df.select("*", article_text(df, exact).alias("_text"), article_source(df, exact).alias("_source"), article_date(df).alias("_date"))
-    text = F.col("_text")
+    df, text = with_phrases(df, "_text", *[lambda t, f=f: f(t, config) for f in (keyword_matches, rule_matches, geography_matches)])
     df = df.select("*", keyword_matches(text, config).alias("_kw"), rule_matches(text, config).alias("_rules"), geography_matches(text, config).alias("_geo"))
     parts = [
         F.least(F.lit(1.0), group_weight_sum(F.col("_kw"), config) / 3.0),
@@ -140,7 +140,7 @@ def score(df: DataFrame, config: RelevanceConfig, as_of: Column, exact: bool = F
         .withColumn("matched_geographies", names("_geo", "name"))
         .withColumn("matched_entities", F.array().cast("array<string>"))
         .withColumn("reasons", F.when(F.size(why) > 0, why).otherwise(F.array(F.lit(NO_REASON))))
-        .drop("_text", "_source", "_date", "_kw", "_rules", "_geo", "_prio", "_new")
+        .drop("_text", "_source", "_date", "_kw", "_rules", "_geo", "_prio", "_new", *[c for c in df.columns if c.startswith("_phrase_")])
     )
 
 

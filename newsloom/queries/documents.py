@@ -83,25 +83,28 @@ def _folded(load):
     f"WITH {ARTICLES}, k AS (SELECT doc_id, unnest([" + ", ".join(f"CASE WHEN {has(k)} THEN '{g}:{k}' END" for g, k, _ in KW) + "]) AS hit FROM articles) SELECT doc_id, split_part(hit, ':', 1) AS keyword_group, split_part(hit, ':', 2) AS keyword FROM k WHERE hit IS NOT NULL"
 )
 def keyword_match(load):
-    return _folded(load).select("doc_id", F.explode(relevance.keyword_matches(F.col("f"), CONFIG)).alias("m")).select("doc_id", F.col("m.group").alias("keyword_group"), "m.keyword")
+    rows, f = text.with_phrases(_folded(load), "f", lambda t: relevance.keyword_matches(t, CONFIG))
+    return rows.select("doc_id", F.explode(relevance.keyword_matches(f, CONFIG)).alias("m")).select("doc_id", F.col("m.group").alias("keyword_group"), "m.keyword")
 
 
 @query(f"WITH {ARTICLES} SELECT doc_id, CAST({GROUP['english']} AS DOUBLE) AS english, CAST({GROUP['romance']} AS DOUBLE) AS romance, CAST({GROUP['licences']} AS DOUBLE) AS licences FROM articles")
 def keyword_group_max(load):
-    found = _folded(load).select("doc_id", relevance.keyword_matches(F.col("f"), CONFIG).alias("m"))
+    rows, f = text.with_phrases(_folded(load), "f", lambda t: relevance.keyword_matches(t, CONFIG))
+    found = rows.select("doc_id", relevance.keyword_matches(f, CONFIG).alias("m"))
     best = lambda g: F.aggregate(F.filter("m", lambda m: m["group"] == g), F.lit(0.0), lambda s, m: F.greatest(s, m["weight"])).alias(g)
     return found.select("doc_id", *[best(g) for g in ("english", "romance", "licences")])
 
 
 @query(f"WITH {ARTICLES} SELECT doc_id, {PROSE} AS prose, {LICENSED} AS licensed FROM articles")
 def boolean_rule_match(load):
-    f = F.col("f")
-    return _folded(load).select("doc_id", compile_rule(CONFIG.boolean_rules[0].expression, f).alias("prose"), compile_rule(CONFIG.boolean_rules[1].expression, f).alias("licensed"))
+    rows, f = text.with_phrases(_folded(load), "f", lambda t: relevance.rule_matches(t, CONFIG))
+    return rows.select("doc_id", compile_rule(CONFIG.boolean_rules[0].expression, f).alias("prose"), compile_rule(CONFIG.boolean_rules[1].expression, f).alias("licensed"))
 
 
 @query(f"WITH {ARTICLES} SELECT doc_id, array_to_string(list_filter([CASE WHEN {NORTH} THEN 'north' END, CASE WHEN {SOUTH} THEN 'south' END], lambda x: x IS NOT NULL), ',') AS places FROM articles")
 def geography_match(load):
-    return _folded(load).select("doc_id", F.array_join(F.transform(relevance.geography_matches(F.col("f"), CONFIG), lambda m: m["name"]), ",").alias("places"))
+    rows, f = text.with_phrases(_folded(load), "f", lambda t: relevance.geography_matches(t, CONFIG))
+    return rows.select("doc_id", F.array_join(F.transform(relevance.geography_matches(f, CONFIG), lambda m: m["name"]), ",").alias("places"))
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS INTEGER) AS words, CASE WHEN len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) > 0 THEN round(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) / 225.0, 1) ELSE 0.0 END AS minutes FROM documents")
