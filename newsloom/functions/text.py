@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 #: White space left after control characters went: the union of what Java and Python call space.
 SPACE = r"[\n\t\p{Z}]"
+#: Runs of space that are not one plain blank: what there is to replace, as most runs are one.
+UNEVEN = r"(?:[\n\t\p{Z}&&[^ ]][\n\t\p{Z}]*| [\n\t\p{Z}]+)"
 #: A word character as this engine counts words.
 WORD_CHAR = r"[\p{L}\p{N}_]"
 DASHES, SINGLE_QUOTES, DOUBLE_QUOTES = "‐‑‒–—−", "‘’‚‛", "“”„‟"
@@ -55,14 +57,14 @@ def trim_space(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return trim_space(F.regexp_replace(text, rf"{SPACE}+", " "))
+    return trim_space(F.regexp_replace(text, UNEVEN, " "))
 
 
 def tidy_whitespace(text: Column, exact: bool = False) -> Column:
     """Runs of spaces to one, three or more newlines to two, then every line and the whole trimmed. Null stays null."""
     text = drop_controls(_compose(text) if exact else text)
     text = F.regexp_replace(text, r"(?m)^[ \t]+$", "")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(text, r"\t[ \t]*| [ \t]+", " ")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return trim_space(F.array_join(F.transform(F.split(text, "\n"), trim_space), "\n"))
 
