@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.components import connected, join_hot
+from newsloom.sources.tables import scratch
 
-from .common import materialize, pick, slices, utf8_buffer
+from .common import materialize, pick, shared_dir, slices, utf8_buffer
 from .simhash import fingerprint_edges, shingle_hashes, votes
 
 #: The least Jaccard of a link, as a fraction.
@@ -325,11 +326,15 @@ def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     keyed = materialize(df.toDF(*places.values()).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
     rows = pick(keyed, "row", places[text_col]).toDF("row", "text")
     ids = pick(keyed, "row", places[id_col]).toDF("row", "id").select("row", F.struct(F.col("id").isNull().alias("absent"), "id", "row").alias("order"))
-    sketches = materialize(_sketches(rows, width, _frequent(rows, width)), "sketches")
-    firsts = sketches.select("row", "digest").join(ids, "row").groupBy("digest").agg(F.min("order").alias("first"))
-    firsts = materialize(firsts.select("first", F.col("first.row").alias("node")), "nodes")
-    nodes = materialize(sketches.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").where("n > 0").drop("digest"), "near-nodes")
-    roots = materialize(near_components(nodes, rows, width), "near-groups")
-    alone = firsts.join(roots, "node", "left_anti").select(F.col("node").alias("row"))
-    lowest = firsts.join(roots, "node").groupBy("root").agg(F.min("first").alias("low")).select(F.col("low.row").alias("row"))
-    return keyed.join(alone.unionByName(lowest), "row", "left_semi").select(*places.values()).toDF(*df.columns)
+    path = shared_dir(df.sparkSession, "near-kept")
+    with scratch(df.sparkSession):  # but for the rows that stay, all that is written on the way goes
+        sketches = materialize(_sketches(rows, width, _frequent(rows, width)), "sketches")
+        firsts = sketches.select("row", "digest").join(ids, "row").groupBy("digest").agg(F.min("order").alias("first"))
+        firsts = materialize(firsts.select("first", F.col("first.row").alias("node")), "nodes")
+        nodes = materialize(sketches.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").where("n > 0").drop("digest"), "near-nodes")
+        roots = materialize(near_components(nodes, rows, width), "near-groups")
+        alone = firsts.join(roots, "node", "left_anti").select(F.col("node").alias("row"))
+        lowest = firsts.join(roots, "node").groupBy("root").agg(F.min("first").alias("low")).select(F.col("low.row").alias("row"))
+        alone.unionByName(lowest).write.parquet(path)
+    kept = df.sparkSession.read.schema("row long").parquet(path)
+    return keyed.join(kept, "row", "left_semi").select(*places.values()).toDF(*df.columns)
