@@ -41,6 +41,7 @@ from __future__ import annotations
 import gc
 import json
 import struct
+import time
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -477,23 +478,25 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
             total = {"level": at, "grams": len(grams), "n": counts_of_counts(times), "hot": [[int(known[i]), *(int(x[i]) for x in stats)] for i in np.flatnonzero(hot)]}
             return [("model", b"\n".join(blocks)), ("total", json.dumps(total).encode())], first, times
 
-        def to_words(words: np.ndarray, raw: np.ndarray, preceding: np.ndarray):
-            return [(1, k, word_record(words[own], [raw[own], preceding[own]])) for k, own in Model._each(words % np.uint64(word_shards))]
+        def to_words(words: np.ndarray, fields: list[np.ndarray]):
+            """Occurrences of words, and distinct words before them."""
+            return [(1, k, word_record(words[own], [f[own] for f in fields])) for k, own in Model._each(words % np.uint64(word_shards)) if len(own)]
 
         def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             number, layout = key[0].as_py(), Layout(shards, heavy_words, heavy)
             *before, word, times = (np.concatenate(x) for x in zip(*[read_grams(x, level - 1) for x in table["record"].to_pylist()]))
             out, down = [], []
-            if level == order:
-                words, _, raw = distinct(word, times)
-                down += to_words(words, raw, np.zeros(len(raw), np.int64))
+            spoken = distinct(word, times)[::2] if level == order else (word[:0], times[:0])
             for at in range(level, 1, -1):
                 made, first, _ = tables(at, number, before, word, times, layout.heavy[at] if number >= shards else np.zeros(0, np.uint64))
                 out += made
                 before, word, times = [c[first] for c in before], word[first], None
                 if at == 2:
-                    words, _, preceding = distinct(word)
-                    down += to_words(words, np.zeros(len(words), np.int64), preceding)
+                    known, _, preceding = distinct(word)
+                    words, where = np.unique(np.concatenate([spoken[0], known]), return_inverse=True)
+                    both = [np.zeros(len(words), np.int64) for _ in range(WORD_FIELDS)]
+                    both[0][where[: len(spoken[0])]], both[1][where[len(spoken[0]) :]] = spoken[1], preceding
+                    down += to_words(words, both)
                     break
                 before.pop()  # each distinct gram is one occurrence of its last words
                 if number >= shards:  # heavy words: the order below is added up by shards of its own
@@ -502,6 +505,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
                     before, word = [c[first] for c in before], word[first]
                     shard = layout.of_grams(at - 1, before[0], context[first], grams)
                     down += [(at - 1, k, r) for k, r in gram_records(shard, before, word, preceding)]
+                    down += to_words(spoken[0], [spoken[1], np.zeros(len(spoken[1]), np.int64)])
                     break
             out += [(f"down{to}", struct.pack("<QQ", k, len(r)) + r) for to, k, r in down]
             return pa.table([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], names=["kind", "value"])
@@ -544,10 +548,12 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
         placed = kept.mapInArrow(count(wave), "shard int, record binary").repartition(max(1, -(-2 * shards // WAVES)), "shard")
         folders.append(f"{path}/{order}-{wave}")
         write(placed.groupBy("shard").applyInArrow(add_grams(order), "kind string, value binary"), folders[-1])
-        # what a wave has shuffled is held until the driver's garbage is collected
+        # what a wave has shuffled is held until the driver's garbage is collected, in two steps: the plan, then its shuffle
         del placed
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(1)
     for level in range(order - 1, 1, -1):
         below = handed_down(level)
         if below is not None:
