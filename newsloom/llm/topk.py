@@ -10,8 +10,9 @@ partition selection, and the blocks' lists are merged by rank.
 Every query meets every block of candidates: the work is the product, in blocks
 of bounded memory, and each pair of blocks is a task of its own: both sides are
 dealt to as many partitions as there are pairs.  Lists of k per query and block
-are all that is shuffled after that.  Where one block would hold everything, the
-candidates are cut finer, so that small tables use all cores too.
+are all that is shuffled after that.  Where there are few pairs, queries are cut
+finer (which adds no work, as a posting is scattered once a query), so that small
+tables use all cores too.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite
 components take no part; rows that share a query's id are its own rows; of
@@ -34,8 +35,8 @@ from .common import pick
 #: Rows of a block of candidates, of a block of queries, and cells of a dense score array.
 CANDIDATE_ROWS, QUERY_ROWS, CELLS = 16_384, 4_096, 1 << 20
 
-#: Components are below this, candidates of a block at least so many where blocks are cut finer, and pairs of blocks wanted at least.
-MOST, LEAST_ROWS, PAIRS = float(1 << 62), 1_024, 64
+#: Components are below this, queries of a block at least so many where blocks are cut finer, and pairs of blocks wanted at least.
+MOST, LEAST_ROWS, PAIRS = float(1 << 62), 256, 24
 
 
 def quantized(vector: Column, scale: float) -> Column:
@@ -106,7 +107,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     n, n_asking = kept.agg(F.count("*"), F.count_if("asks")).first()
     row_blocks, query_blocks = max(1, -(-n // CANDIDATE_ROWS)), max(1, -(-n_asking // QUERY_ROWS))
     if row_blocks * query_blocks < PAIRS:
-        row_blocks = max(row_blocks, min(-(-PAIRS // query_blocks), n // LEAST_ROWS))
+        query_blocks = max(query_blocks, min(-(-PAIRS // row_blocks), n_asking // LEAST_ROWS))
     pairs = row_blocks * query_blocks
     block = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
