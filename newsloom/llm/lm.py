@@ -56,7 +56,7 @@ from .simhash import FOLD, SEED
 ORDER = 3
 
 #: Tokens a task counts before it sends; text bytes of an n-gram shard and of a word shard; rows of the sample (about) and heavy contexts of an order at most.
-FLUSH_TOKENS, GRAM_BYTES, WORD_BYTES, SAMPLE_ROWS, HEAVY = 1_000_000, 8 << 20, 64 << 20, 4000, 1000
+FLUSH_TOKENS, GRAM_BYTES, WORD_BYTES, SAMPLE_ROWS, HEAVY = 700_000, 8 << 20, 64 << 20, 4000, 1000
 
 #: Passes over the texts, keys of a block that has an index of upper bits at least, and the share of a shard's tokens above which a word of the sample is heavy.
 WAVES, INDEXED, HEAVY_SHARE = 3, 1 << 16, 0.25
@@ -165,6 +165,17 @@ def distinct(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarr
     return key[order[at]], order[at], summed
 
 
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending values, where one of each stands, the place of each entry's value)."""
+    order = np.argsort(x)
+    held = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = held[1:] != held[:-1]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return held[new], order[new], back
+
+
 def gram_records(shard: np.ndarray, before: list[np.ndarray], word: np.ndarray, count: np.ndarray):
     """(shard, record) of distinct n-grams: the last word before each, in runs, then the others before it, the word, and its count."""
     order = np.lexsort((before[0], shard))
@@ -252,7 +263,7 @@ class Table:
         self.end = self.at + (7 - self.at) % 8 + 1
 
     def _places(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in ascending ``wanted`` that are there, their places here)."""
+        """(places in ``wanted`` that are there, their places here)."""
         if self.keys is not None:
             at = np.searchsorted(self.keys, wanted)
             hit = np.flatnonzero((at < self.n) & (self.keys[np.minimum(at, self.n - 1)] == wanted))
@@ -270,7 +281,7 @@ class Table:
         return hit, lo[hit]
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(places in ascending ``wanted`` that are there, their fields)."""
+        """(places in ``wanted`` that are there, their fields)."""
         if not self.n:
             return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * len(self.fields)
         hit, at = self._places(wanted)
@@ -310,7 +321,7 @@ class Model:
         for place in self.spec["files"].get(f"{level}/{number}", ()):
             if place not in self.read:
                 self.read.add(place)
-                mapped, at = np.memmap(_local(place), np.uint8, "r"), 0
+                mapped, at = np.asarray(np.memmap(_local(place), np.uint8, "r")), 0
                 while at < len(mapped):
                     made = Table(mapped, at)
                     self.tables[made.magic, made.level, made.number], at = made, made.end
@@ -318,13 +329,15 @@ class Model:
 
     @staticmethod
     def _each(route: np.ndarray):
-        order = np.argsort(route, kind="stable")
+        """(number, its places): sorted by few bits where numbers are small."""
+        small = route.astype(np.uint16) if len(route) and int(route.max()) < 1 << 16 else route
+        order = np.argsort(small, kind="stable")
         at = np.append(_starts(route[order]), len(order))
         for lo, hi in zip(at[:-1], at[1:]):
             yield int(route[order[lo]]), order[lo:hi]
 
     def _fields(self, magic: bytes, level: int, wanted: np.ndarray, route: np.ndarray, fields: int) -> list[np.ndarray]:
-        """Of ascending keys; zeros where there is nothing."""
+        """Of keys; zeros where there is nothing."""
         out = [np.zeros(len(wanted), np.int64) for _ in range(fields)]
         for number, own in self._each(route):
             table = self._table(magic, level, number)
@@ -335,7 +348,7 @@ class Model:
         return out
 
     def _once(self, level: int, wanted: np.ndarray, route: np.ndarray) -> np.ndarray:
-        """Which of ascending contexts were seen once."""
+        """Which contexts were seen once."""
         out = np.zeros(len(wanted), bool)
         for number, own in self._each(route):
             table = self._table(ONCE_MAGIC, level, number)
@@ -346,7 +359,7 @@ class Model:
     def score(self, hashes: np.ndarray, sizes: np.ndarray):
         """(known tokens, base score, score) of each text."""
         s, uniform = self.spec, 1.0 / (self.spec["V"] + 1)
-        words, where = np.unique(hashes, return_inverse=True)
+        words, _, where = _unique(hashes)
         c, cont = self._fields(WORD_MAGIC, 1, words, words % np.uint64(s["word_shards"]), WORD_FIELDS)
         base = np.log10((c + 0.5) / (s["N"] + 0.5 * (s["V"] + 1)))
         e, m, pairs = s["D"]["1"], s["m"], max(s["pairs"], 1)
@@ -355,9 +368,10 @@ class Model:
         before = words_before(hashes, sizes, s["order"])
         for level, context in enumerate(contexts(before), 2):
             d, (heavy, stats) = s["D"][str(level)], self.heavy[level]
-            key, first, back = np.unique(pair_hash(context, hashes), return_index=True, return_inverse=True)
-            (count,) = self._fields(KEY_MAGIC, level, key, self.layout.of_grams(level, before[0][first], context[first], key), 1)
-            known, first, at = np.unique(context, return_index=True, return_inverse=True)
+            # most n-grams of a slice are distinct, its contexts less so
+            key = pair_hash(context, hashes)
+            (count,) = self._fields(KEY_MAGIC, level, key, self.layout.of_grams(level, before[0], context, key), 1)
+            known, first, at = _unique(context)
             route = self.layout.of_contexts(level, before[0][first], known)
             total, *n = self._fields(CONTEXT_MAGIC, level, known, route, CONTEXT_FIELDS)
             rest = np.flatnonzero(total == 0)
@@ -370,7 +384,7 @@ class Model:
                 for k in range(3):
                     n[k][own] = stats[place[own], k + 1]
             held = (d[0] * n[0] + d[1] * n[1] + d[2] * n[2])[at]
-            count, total = count[back], total[at]
+            total = total[at]
             p = np.where(total > 0, (np.maximum(count - _discount(count, d), 0) + held * p) / np.maximum(total, 1), p)
         starts = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, starts)
@@ -638,7 +652,7 @@ def score(df: DataFrame, spec: dict, *carry: str, text_col: str = "text") -> Dat
     def run(batches):
         model = _model(spec)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 raw, at = utf8_buffer(part.column(part.num_columns - 1))
                 hashes, sizes = tokens(raw.tobytes(), at)
                 known, base, full = model.score(hashes, sizes)
