@@ -127,6 +127,10 @@ class Layout:
         self.shards, self.words = shards, np.array(sorted(words), np.uint64)
         self.heavy = {m: np.array(sorted(h), np.uint64) for m, h in heavy.items()}
 
+    def may_be_in(self, last: np.ndarray, wave: int, waves: int) -> np.ndarray:
+        """Places of n-grams by the word before their last: those whose shard is one of a pass, or not known by that word."""
+        return np.flatnonzero(np.isin(last, self.words) | ((last >> np.uint64(7)) % np.uint64(self.shards) % np.uint64(waves) == wave))
+
     def of_contexts(self, level: int, last: np.ndarray, context: np.ndarray) -> np.ndarray:
         n, cut = np.uint64(self.shards), np.uint64(7)
         return np.where(np.isin(last, self.words), n + (context >> cut) % n, (last >> cut) % n)
@@ -465,11 +469,14 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
                     raw, at = utf8_buffer(part.column(0))
                     hashes, sizes = tokens(raw.tobytes(), at)
                     before = words_before(hashes, sizes, order)
+                    # of words that are not heavy the last alone tells the shard: only those of this pass are looked at
+                    able = layout.may_be_in(before[0], wave, WAVES)
+                    before, word = [b[able] for b in before], hashes[able]
                     context = contexts(before)[-1]
-                    key = pair_hash(context, hashes)
+                    key = pair_hash(context, word)
                     shard = layout.of_grams(order, before[0], context, key)
                     own = np.flatnonzero(shard % np.uint64(WAVES) == wave)
-                    held.append([x[own] for x in (shard, key, hashes, *before)])
+                    held.append([x[own] for x in (shard, key, word, *before)])
                     n += len(own)
                     if n >= FLUSH_TOKENS:
                         yield send()
