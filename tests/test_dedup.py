@@ -195,3 +195,35 @@ def test_components_of_a_hub_and_a_chain(spark, monkeypatch):
     edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1060)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(400)}, **{k: 1000 for k in range(1000, 1061)}}
+
+
+def test_links_of_sets_equal_all_pairs_and_no_pair_is_moved(spark, capsys):
+    rng = random.Random(6)
+    base = [rng.sample(range(400), rng.choice((1, 3, 20, 60))) for _ in range(12)]
+    bags = []
+    for k in range(150):
+        own = set(rng.choice(base))
+        for _ in range(rng.choice((0, 1, 2, 6))):
+            own ^= {rng.randrange(400)}
+        bags.append((k, [f"w{x}" for x in own]))
+    df = spark.createDataFrame(bags, "k long, toks array<string>")
+    for least in (0.4, 0.7, 1.0):
+        members, links = dedup.jaccard_classes(df, "k", "toks", least)
+        reps = {}
+        for k, toks in bags:
+            if toks:
+                reps.setdefault(frozenset(toks), k)
+        assert {r.k: r.rep for r in members.collect()} == {k: reps[frozenset(t)] for k, t in bags if t}
+        want = {(max(a, b), min(a, b)): len(s & t) / len(s | t) for (s, a), (t, b) in itertools.combinations(reps.items(), 2)}
+        assert {(r.a, r.b): r.jaccard for r in links.collect()} == {p: j for p, j in want.items() if j >= least}
+        links.explain()
+        assert "Join" not in capsys.readouterr().out
+
+
+def test_tokens_of_content_by_less_work(spark):
+    from newsloom.functions import text
+
+    rows = [("ΟΔΟΣ‛Α b  c",), ("ΟΔΟΣ’Α ΟΔΟΣ — x",), ("Straße\x00n “q” a−b\n\n a",), ("",), (None,), ("İstanbul x_1",)]
+    t = F.col("t")
+    made = spark.createDataFrame(rows, "t string").select(text.content_tokens(t).alias("a"), text.tokens(text.fold_content(t)).alias("b")).collect()
+    assert [r.a for r in made] == [r.b for r in made]
