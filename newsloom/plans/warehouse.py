@@ -106,11 +106,23 @@ def trend(hits: DataFrame, key: str, ts: str, lag_days: int = 7) -> DataFrame:
     return daily.withColumn("hits_before", before).withColumn("change", F.col("hits") - F.col("hits_before"))
 
 
+#: Mentions in a task that pairs them: with more input come more tasks and not larger ones.
+MENTIONS_A_TASK = 250_000
+
+
 def cooccurrence(mentions: DataFrame, doc: str, entity: str, confidence: Column | None = None) -> DataFrame:
-    """(e1, e2, frequency[, confidence]) of entities in one document, e1 < e2. Mentions are made distinct first."""
-    base = mentions.groupBy(F.col(doc).alias("d"), F.col(entity).alias("e")).agg(F.max(confidence if confidence is not None else F.lit(1.0)).alias("c"))
-    left, right = base.select("d", F.col("e").alias("e1"), F.col("c").alias("c1")), base.select("d", F.col("e").alias("e2"), F.col("c").alias("c2"))
-    pairs = left.join(right, "d").where("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("frequency"), F.avg(F.least("c1", "c2")).alias("confidence"))
+    """(e1, e2, frequency[, confidence]) of entities in one document, e1 < e2. Mentions are made distinct first.
+
+    A document's entities are one list, whose pairs are counted as they are made: nothing is joined or sorted.
+    """
+    sure = confidence if confidence is not None else F.lit(1.0)
+    rows = mentions.select(F.col(doc).alias("d"), F.col(entity).alias("e"), sure.alias("c")).where("d is not null and e is not null")
+    tasks = max(int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mentions.count() // MENTIONS_A_TASK))
+    base = rows.repartition(tasks, "d").groupBy("d", "e").agg(F.max("c").alias("c"))
+    lists = base.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("e", "c"))).alias("all")).where(F.size("all") > 1)
+    firsts = lists.select("all", F.posexplode("all").alias("i", "x")).where(F.col("i") + 1 < F.size("all"))
+    each = firsts.select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
+    pairs = each.groupBy(F.col("x.e").alias("e1"), F.col("y.e").alias("e2")).agg(F.count("*").alias("frequency"), F.avg(F.least("x.c", "y.c")).alias("confidence"))
     return pairs if confidence is not None else pairs.drop("confidence")
 
 

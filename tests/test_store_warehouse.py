@@ -158,3 +158,21 @@ def test_tables_go_with_their_block(spark):
         path = made.inputFiles()[0].removeprefix("file://")
         assert made.count() == 3 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_cooccurrence_pairs_lists_and_joins_nothing(spark, capsys, monkeypatch):
+    from itertools import combinations
+
+    from newsloom.plans import warehouse
+
+    monkeypatch.setattr(warehouse, "MENTIONS_A_TASK", 10)
+    rows = [(d, e, ((d + e) % 7) / 8) for d in range(12) for e in range(d % 5 + 1) for _ in range(2)] + [(None, 1, 0.5), (3, None, 0.5)]
+    made = warehouse.cooccurrence(spark.createDataFrame(rows, "d long, e long, c double"), "d", "e", F.col("c"))
+    made.explain()
+    shown = capsys.readouterr().out
+    assert "Join" not in shown and "REPARTITION_BY_NUM" in shown
+    want = {}
+    for d in range(12):
+        for a, b in combinations(range(d % 5 + 1), 2):
+            want.setdefault((a, b), []).append(min((d + a) % 7, (d + b) % 7) / 8)
+    assert {(r.e1, r.e2): (r.frequency, round(r.confidence, 9)) for r in made.collect()} == {k: (len(v), round(sum(v) / len(v), 9)) for k, v in want.items()}
