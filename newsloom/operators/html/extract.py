@@ -23,6 +23,8 @@ RESULT = (
 #: Strategies that give a body, characters a body has at least, weights of completeness, warnings.
 BODY_STRATEGIES = ("json_ld", "article_library", "readability", "dom_heuristic", "fallback")
 LEAST_BODY = 100
+#: Bytes and pages whose results a task holds at once: six results a page take many times its size.
+SLICE, SLICE_PAGES = 1 << 20, 64
 FIELDS = (
     "title", "subtitle", "summary", "authors", "published_at", "updated_at", "language", "categories", "tags", "images", "videos",
     "canonical_url", "meta_description", "meta_keywords", "json_ld", "open_graph", "twitter_card",
@@ -42,19 +44,27 @@ def run_strategies(pages: DataFrame, registry: StrategyRegistry | None = None, i
 
     def run(batches):
         for batch in batches:
-            results, sizes = [], []
-            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found, size = run_page(html, url, strategies)
-                for f in found:
-                    for k in ("open_graph", "twitter_card"):
-                        if f.get(k) is not None:
-                            f[k] = list(f[k].items())
-                results.append(found)
-                sizes.append(size)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(results, pa.list_(arrow))],
-                names=[id_col, "url", "text_length", "results"],
-            )
+            lo = size = 0
+            for at, html in enumerate(batch.column(2)):
+                size += len(html.as_buffer()) if html.is_valid else 0
+                if size >= SLICE or at - lo + 1 >= SLICE_PAGES or at + 1 == batch.num_rows:
+                    yield of(batch.slice(lo, at + 1 - lo))
+                    lo, size = at + 1, 0
+
+    def of(batch):
+        results, sizes = [], []
+        for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            found, size = run_page(html, url, strategies)
+            for f in found:
+                for k in ("open_graph", "twitter_card"):
+                    if f.get(k) is not None:
+                        f[k] = list(f[k].items())
+            results.append(found)
+            sizes.append(size)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(results, pa.list_(arrow))],
+            names=[id_col, "url", "text_length", "results"],
+        )
 
     shape = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in kind)
     return kept.mapInArrow(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, url string, text_length long, results array<struct<{shape}>>")

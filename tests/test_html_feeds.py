@@ -103,3 +103,29 @@ def test_collector_registry():
     made.unregister("rss")
     with pytest.raises(LookupError):
         made.get("rss")
+
+
+def test_results_of_few_pages_are_held_at_once(spark, monkeypatch):
+    from newsloom.operators.html import extract
+
+    runs = []
+
+    class Frame:
+        schema = spark.createDataFrame([], "page_id long, url string, html string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, shape):
+            runs.append(run)
+
+    import pyarrow as pa
+
+    extract.run_strategies(Frame())
+    pages = [None, "", *["<h1>t</h1><p>" + "word " * 20 + "</p>"] * 148]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(["http://e.org/"] * 150), pa.array(pages)], names=["page_id", "url", "html"])
+    sizes = [x.num_rows for x in runs[0](iter([batch]))]
+    assert sum(sizes) == 150 and max(sizes) <= 64
+    monkeypatch.setattr(extract, "SLICE", 1)
+    out = list(runs[0](iter([batch])))
+    assert sum((x.column(0).to_pylist() for x in out), []) == list(range(150)) and max(x.num_rows for x in out[1:]) == 1
