@@ -227,3 +227,47 @@ def test_tokens_of_content_by_less_work(spark):
     t = F.col("t")
     made = spark.createDataFrame(rows, "t string").select(text.content_tokens(t).alias("a"), text.tokens(text.fold_content(t)).alias("b")).collect()
     assert [r.a for r in made] == [r.b for r in made]
+
+
+def test_nearest_equals_all_pairs_where_thresholds_are_low_and_no_pair_is_moved(spark, capsys):
+    rng = random.Random(8)
+    base = [[f"{k}{rng.choice('bcdfg')}{n}" for n in range(20)] for k in range(4)]
+    rows = []
+    for k in range(90):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice((0, 1, 4, 20))):
+            w[rng.randrange(20)] = f"x{rng.randrange(10_000)}"
+        rows.append({"title": rng.choice(("Morning news", "Evening", " ".join(w[:3]))), "body": " ".join(w[: rng.choice((20, 20, 12))]), "source": rng.choice(("s1", "s1", "s2")), "at": AT + timedelta(hours=rng.randrange(700)), "url": f"https://e.org/{k}"})
+    for config in (DedupConfig(possible_duplicate_threshold=0.40), DedupConfig(possible_duplicate_threshold=0.6, publication_window_hours=0, candidate_lookback_days=5), DedupConfig()):
+        got, want = run(spark, *rows, config=config), brute(rows, config) if config.publication_window_hours else {}
+        for k, (score, j, kind) in want.items():
+            assert (got[k].status, got[k].matched_id) == (kind, None if j is None else f"d{j}"), k
+            assert got[k].confidence == pytest.approx(score)
+    marked = dedup.fingerprints(spark.createDataFrame([(f"d{k}", k, r["url"], None, r["title"], r["body"], r["at"], r["source"], None) for k, r in enumerate(rows)], SCHEMA))
+    near = dedup.nearest_matches(dedup._identities(marked), lambda places: places, CONFIG)
+    assert near.count()
+    capsys.readouterr()
+    near.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_undated_rows_and_rows_without_source_or_tokens_are_scored(spark):
+    other = BODY.replace("long", "lengthy")
+    got = run(spark, {"title": "T", "body": BODY, "url": "a"}, {"title": "T", "body": other, "at": None, "url": "b"}, {"title": "T", "body": "!!!", "url": "c"}, {"title": None, "body": None, "url": "d"}, {"title": "T", "body": other + " x", "at": AT + timedelta(days=15), "url": "e"}, config=DedupConfig())
+    # no time term, and two rows without a source are of different sources: the second is near by content and title, not by score
+    assert (got[1].status, got[1].matched_id) == ("near_duplicate", "d0") and got[1].reasons[-1] == dedup.REASON_SOURCE
+    assert [got[k].status for k in (0, 2, 3)] == ["new_document"] * 3
+    assert got[4].matched_id == "d1"  # the first is out of reach, the undated one never is
+
+
+def test_matched_characters_equal_the_library(monkeypatch):
+    from newsloom.functions import similarity
+
+    monkeypatch.setattr(similarity, "_PLAIN", 50)
+    rng = random.Random(9)
+    for letters in ("ab", "abcde ü", "abcdefghijklmnop 😀"):
+        for _ in range(30):
+            a = [rng.choice(letters) for _ in range(rng.randrange(1, 300))]
+            b = [rng.choice(letters) if rng.random() < 0.1 else x for x in a[rng.randrange(len(a)) :] + a[:20]]
+            a, b = "".join(a), "".join(b)
+            assert similarity.sequence_matches(a, b) == sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
